@@ -29,6 +29,8 @@ from docloom.session import cut
 
 #: Rows of at most so many are broadcast (each under 100 bytes here, so 20 MB at most).
 BROADCAST_ROWS = 200_000
+#: An n-gram that so many documents at most have is a seed even where its window isn't in any document as a whole.
+RARE = 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 
 
@@ -42,9 +44,11 @@ def words_of(text: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """Hashes of the n-grams of a word array, in order."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    """Hashes of the n-grams of a word array, in order. The array is bound as a lambda variable: were it put into the inner
+    function as an expression, the text would be cut into words again for each n-gram."""
+    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
+    each = lambda w: F.transform(starts(w), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+    return F.get(F.transform(F.array(words), each), 0)
 
 
 def align(doc: list[str], item: list[str]) -> tuple[float, int]:
@@ -92,11 +96,13 @@ def leak_candidates(docs: DataFrame, items: DataFrame, doc: str, item: str, text
         grams.join(frequency, "_gram")
         .select("_item", F.explode(windows).alias("_window"), F.struct("_df", "_pos", "_gram").alias("_own"))
         .groupBy("_item", "_window")
-        .agg(F.min("_own").alias("_rarest"))
+        .agg(F.min("_own").alias("_rarest"), F.count("*").alias("_occurring"))
+        .where((F.col("_occurring") == run - n + 1) | (F.col("_rarest._df") <= RARE))
         .select("_item", F.col("_rarest._gram").alias("_gram"))
         .distinct()
     )
-    # Only n-grams that occur have a frequency: a window of which none occurs is in no document.
+    # Only n-grams that occur have a frequency: a window with one that doesn't is in no document as a whole. Its rarest n-gram
+    # is a seed all the same if few documents have it, so that edited copies are aligned too.
     seeds = broadcast_checked(cut(seeds))
     pairs = found.join(seeds, "_gram").select("_doc", "_item").distinct()
     return pairs, words
