@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import quantities
+
 FLAGSHIP = "p3_found"
+MODULES = (quantities,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
