@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import quantities
+from . import documents, quantities, retrieval
 
 FLAGSHIP = "p3_found"
-MODULES = (quantities,)
+MODULES = (quantities, documents, retrieval)
 
 
 def queries() -> dict:
