@@ -135,7 +135,7 @@ def citation(book: Column | str, path: Column | str, start: Column | str, end: C
 def snippet(text: Column | str, needle: Column | str, before: int = 40, after: int = 80) -> Column:
     """The surroundings of the first occurrence of a text in lower case, with ellipses where it was cut; null without one."""
     text, needle = text_of(text), F.lower(text_of(needle))
-    at = F.charindex(needle, F.lower(text))
+    at = F.position(needle, F.lower(text))
     begin = F.greatest(at - before, F.lit(1))
     end = F.least(at + F.length(needle) + after - 1, F.length(text))
     body = F.substr(text, begin, end - begin + 1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, quantities, retrieval
+from . import documents, knowledge, quantities, retrieval
 
 FLAGSHIP = "p3_found"
-MODULES = (quantities, documents, retrieval)
+MODULES = (quantities, documents, retrieval, knowledge)
 
 
 def queries() -> dict:
