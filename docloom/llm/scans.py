@@ -30,7 +30,7 @@ from docloom.session import cut
 
 # Glyphs that scanning confuses: single ones, then groups, in this order.
 SINGLE_GLYPHS = ("j1059e8f|!$", "ilosgcbtlls")
-GROUPED_GLYPHS = (("rn", "m"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("cl", "d"))
+GROUPED_GLYPHS = (("m", "rn"), ("w", "vv"), ("h", "li"), ("u", "ii"), ("d", "cl"))
 # The marks that end a broken line.
 HYPHENS = "-‐‑¬­"
 #: A form is misread if a form of its group is so many times more frequent, and clean text has it so many times less often than scanned text has.
@@ -42,10 +42,11 @@ _WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
 def skeleton(word: Column) -> Column:
-    """A word in lower case with confusable glyphs made equal."""
+    """A word in lower case with confusable glyphs made equal. Glyphs that look like two are written as the two: taken the other
+    way round, overlapping groups (`liil`) would depend on where one begins to read."""
     out = F.translate(F.lower(word), *SINGLE_GLYPHS)
-    for pair, one in GROUPED_GLYPHS:
-        out = F.replace(out, F.lit(pair), F.lit(one))
+    for one, pair in GROUPED_GLYPHS:
+        out = F.replace(out, F.lit(one), F.lit(pair))
     return out
 
 
