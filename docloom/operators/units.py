@@ -26,6 +26,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
 # Prefixes with symbol, name and factor.
 PREFIXES = {"m": ("milli", 1e-3), "c": ("centi", 1e-2), "h": ("hecto", 1e2), "k": ("kilo", 1e3), "M": ("mega", 1e6), "G": ("giga", 1e9)}
 # Units that take prefixes: dimension, factor, prefixes in the order of use (more usual ones first), other symbols, names.
@@ -219,7 +221,7 @@ def quantities(spec: DataFrame, table: DataFrame, unit_ref: DataFrame) -> DataFr
     rows = rows.join(F.broadcast(units.select(F.col("unit_key").alias("_b"))), F.lower("bracket") == F.col("_b"), "left")
     rows = rows.withColumn("subject", F.when(F.col("_b").isNotNull(), F.col("base")).otherwise(F.col("subject"))).drop("_b", "base", "bracket")
     records = spec_records(spec.select("spec_id", "book_id", "subject", "unit", "value", "raw").distinct()).unionByName(rows)
-    return resolve(with_candidates(records, units), unit_ref)
+    return resolve(cut(with_candidates(records, units)), unit_ref)  # read for the certain units and for all records
 
 
 def equal_in_other_units(converted: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -232,6 +234,7 @@ def equal_in_other_units(converted: DataFrame, tolerance: float = 0.01) -> DataF
         "rec_id", "book_id", "subject", "dimension", F.when(F.col("dimension") == "temperature", F.col("unit")).otherwise(F.format_string("%.9e", "factor")).alias("kind"), "converted",
         F.signum(value).cast("int").alias("sign"), F.coalesce(F.floor(F.log(F.when(value != 0, F.abs(value))) / band), F.lit(0)).alias("band"),
     ).distinct()
+    rows = cut(rows)  # both sides of the join
     left = rows.select(*(F.col(c).alias(f"{c}_a" if c in ("rec_id", "kind", "converted") else c) for c in rows.columns))
     left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     right = rows.select(*(F.col(c).alias(f"{c}_b" if c in ("rec_id", "kind", "converted") else c) for c in rows.columns))
