@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import cut
+
 from .sentences import _SPACED, ATERM, CLOSE, STERM, _flat
 
 #: A limit shows at least so many texts of one length, and they hold this share of the source's texts at least.
@@ -201,6 +203,7 @@ def truncation(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     seen = df.where(F.length(F.trim(F.col(text))) > 0)
     seen = seen.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).alias("_shown"), end_signs(F.col(text)).alias("_s"))
     seen = seen.select("_key", "_source", "_shown", "_s.*").where(F.col("script").isNotNull()).distinct()
+    seen = cut(seen)  # signs without texts, read by the five branches below: the automaton runs once
     open_end = ~F.col("terminated") & ~F.col("structured") & (F.col("broken") == "")
 
     # Limits: lengths at which the texts of a source pile up, in characters or bytes.
