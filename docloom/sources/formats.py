@@ -74,7 +74,7 @@ def html_to_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for entity, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r" *\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t\x{a0}]+", " "), r" *\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def write_books(df: DataFrame, path: str) -> None:
