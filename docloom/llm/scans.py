@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 
 from docloom.session import cut
 
+from .leaks import broadcast_checked
+
 # Glyphs that scanning confuses: single ones, then groups, in this order.
 SINGLE_GLYPHS = ("j1059e8f|!$", "ilosgcbtlls")
 GROUPED_GLYPHS = (("m", "rn"), ("w", "vv"), ("h", "li"), ("u", "ii"), ("d", "cl"))
@@ -81,18 +83,40 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def misread_forms(counts: DataFrame) -> DataFrame:
-    """(word, right): the misread forms and the form to replace each with: the most frequent of its group. Only forms of
-    letters are right; forms with digits are looked at if letters outnumber them, so that codes and values with units are left."""
+    """(word, skeleton, right, n_rivals): the misread forms, the most frequent form of each one's group, and how many forms of the
+    group are frequent. Only forms of letters are right; forms with digits are looked at if letters outnumber them, so that codes and
+    values with units are left."""
     forms = counts.where(~F.col("word").contains("-") & (F.length("word") >= 2)).withColumn("skeleton", skeleton(F.col("word")))
     letters = ~F.col("word").rlike(r"\p{N}")
     total = F.col("n_clean") + F.col("n_scan")
-    best = forms.where(letters).groupBy("skeleton").agg(F.max(F.struct(total.alias("n"), "n_clean", "word")).alias("best"), F.sum(total).alias("_group"))
+    best = forms.where(letters).groupBy("skeleton").agg(F.max(F.struct(total.alias("n"), "n_clean", "word")).alias("best"), F.count_if(_in_use()).alias("n_rivals"))
     digits = F.length(F.regexp_replace("word", r"[^\p{N}]", ""))
     plausible = letters | (~F.col("word").rlike(r"^\p{N}+\p{L}{1,2}$") & (digits * 2 <= F.length("word")) & ~F.col("word").rlike(r"^\p{L}\p{N}{2,}$"))
     plausible = plausible & ~F.col("word").rlike("^[ivxlcdm]+$")
     rows = forms.where(plausible).join(best, "skeleton").where(F.col("word") != F.col("best.word"))
     rows = rows.where((F.col("best.n") >= LEAD * total) & (F.col("n_clean") * CLEAN_LEAD <= F.col("n_scan")) & (F.col("n_scan") > 0))
-    return rows.select("word", F.col("best.word").alias("right"))
+    return rows.select("word", "skeleton", F.col("best.word").alias("right"), "n_rivals")
+
+
+def _in_use() -> Column:
+    """A form that clean text uses more than once."""
+    return ~F.col("word").rlike(r"\p{N}") & (F.col("n_clean") > 1)
+
+
+def with_context(misread: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Misread words (.., word, skeleton, right, n_rivals, before) with `right` chosen by context where several forms of the group are in use:
+    the form that follows the same word most often in clean text, else the most frequent. Only pairs with such forms are counted."""
+    used = counts.where(~F.col("word").contains("-") & (F.length("word") >= 2) & _in_use()).withColumn("skeleton", skeleton(F.col("word")))
+    rivals = used.join(used.groupBy("skeleton").agg(F.count("*").alias("_n")).where("_n > 1"), "skeleton").select("skeleton", F.col("word").alias("form"), F.col("n_clean").alias("n_form"))
+    rivals = broadcast_checked(cut(rivals))
+    words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
+    clean = texts.where(~F.coalesce("ocr", F.lit(False)) & F.col("text").isNotNull()).select("src", "rec_id", "text").distinct().select(words.alias("_w"))
+    pairs = clean.select(F.inline(F.zip_with("_w", F.concat(F.array(F.lit("")), "_w"), lambda w, before: F.struct(w.alias("form"), before.alias("before"))))).where(F.col("form").isNotNull())
+    pairs = pairs.join(rivals.select("form"), "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("n_pair"))
+    several = misread.where("n_rivals > 1").join(rivals, "skeleton").join(pairs, ["before", "form"], "left")
+    keys = [c for c in misread.columns if c != "right"]
+    chosen = several.groupBy(*keys).agg(F.max(F.struct(F.coalesce("n_pair", F.lit(0)).alias("n_pair"), "n_form", "form")).alias("_best")).select(*keys, F.col("_best.form").alias("right"))
+    return misread.where("n_rivals <= 1").unionByName(chosen)
 
 
 def _hyphen_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
@@ -168,14 +192,15 @@ def _edges(lines: DataFrame) -> DataFrame:
 
 
 def _misread_lines(lines: DataFrame, forms: DataFrame) -> DataFrame:
-    """(src, rec_id, line_no, word, right) of misread words; parts of words broken over lines are left out."""
+    """(src, rec_id, line_no, word, skeleton, right, n_rivals, before) of misread words; parts of words broken over lines are left out."""
     order = Window.partitionBy("src", "rec_id").orderBy("line_no")
     body = F.regexp_replace("line", rf"[\p{{L}}\p{{M}}\p{{N}}]+[{HYPHENS}]\s*$", "")
     broken = F.lag(F.col("line").rlike(rf"[\p{{L}}\p{{M}}\p{{N}}][{HYPHENS}]\s*$"), 1, False).over(order)
     rows = lines.withColumn("_broken", broken).withColumn("_body", body)
     rows = rows.withColumn("_body", F.when(F.col("_broken"), F.regexp_replace("_body", r"^\s*[\p{L}\p{M}\p{N}]+", "")).otherwise(F.col("_body")))
-    words = rows.select("src", "rec_id", "line_no", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("_body", F.lit(_WORD), F.lit(0)), F.lower))).alias("word"))
-    return words.join(forms, "word").select("src", "rec_id", "line_no", "word", "right")
+    rows = rows.withColumn("_words", F.transform(F.regexp_extract_all("_body", F.lit(_WORD), F.lit(0)), F.lower))
+    words = rows.select("src", "rec_id", "line_no", F.inline(F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), lambda w, before: F.struct(w.alias("word"), before.alias("before")))))
+    return words.where(F.col("word").isNotNull()).join(forms, "word").select("src", "rec_id", "line_no", "word", "skeleton", "right", "n_rivals", "before").distinct()
 
 
 def _broken_misreads(lines: DataFrame, forms: DataFrame) -> DataFrame:
@@ -204,7 +229,7 @@ def scan_defects(texts: DataFrame) -> DataFrame:
     last_page, the pages over which a text runs, are equal for a page and may be null. Defects: hyphen_break, misread, running_head, page_number."""
     counts = cut(word_counts(texts))
     lines = scan_lines(texts.where(F.coalesce("ocr", F.lit(False))))
-    misread = _misread_lines(lines, misread_forms(counts)).select("src", "rec_id", "line_no")
+    misread = with_context(_misread_lines(lines, misread_forms(counts)), counts, texts).where("word <> right").select("src", "rec_id", "line_no")
     misread = misread.unionByName(_broken_misreads(lines, _frequent_shapes(counts))).withColumn("defect", F.lit("misread"))
     breaks = _hyphen_breaks(lines, counts).withColumn("defect", F.lit("hyphen_break"))
     return misread.unionByName(breaks).unionByName(_edges(lines)).distinct()
@@ -217,7 +242,8 @@ def repaired(texts: DataFrame) -> DataFrame:
     key = ["src", "rec_id", "line_no"]
     dropped = _edges(lines).select(*key).distinct()
     breaks = _hyphen_breaks(lines, counts).distinct().withColumn("_join", F.lit(True))
-    fixes = _misread_lines(lines, misread_forms(counts)).groupBy(*key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "right")))).alias("_fixes"))
+    # A word that is misread twice in a line gets one form.
+    fixes = with_context(_misread_lines(lines, misread_forms(counts)), counts, texts).groupBy(*key, "word").agg(F.min("right").alias("right")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("_fixes"))
     rows = lines.select("src", "rec_id", "line_no", "line").join(dropped, key, "left_anti").join(breaks, key, "left").join(fixes, key, "left")
 
     parts = F.regexp_extract_all("line", F.lit(rf"{_WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
