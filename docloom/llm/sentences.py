@@ -117,6 +117,8 @@ def _stop_ends(text: str, at: int, nxt: str, after: int, spaced: bool) -> bool:
             return not nxt.isdigit()
         return False
     if len(word) == 1 and word.isalpha():
+        if text[after + 1 : after + 2] == "." and f"{low}.{nxt.lower()}" in _flat["title"] | _flat["open"]:
+            return False  # the first part of an abbreviation, as in z. B.
         before = window[: len(window) - 1]
         if re.search(r"\d[\s\u00a0]*[°]?$", before) or (re.search(r"(?:annex|part|type|class|stage|App\.|Annex)\s$", before)):
             return True
@@ -199,9 +201,13 @@ def _ends_udf(texts: pd.Series) -> pd.Series:
     return texts.map(sentence_ends)
 
 
+#: Not deterministic for the planner only: it would else filter on the positions before it computes them again.
+_ends_once = _ends_udf.asNondeterministic()
+
+
 def sentence_positions(text: Column) -> Column:
     """The end of each sentence of a text, as an array of positions counted in characters."""
-    return _ends_udf(text)
+    return _ends_once(text)
 
 
 def sentence_rows(df: DataFrame, key: list[str], text: str) -> DataFrame:
