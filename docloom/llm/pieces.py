@@ -120,22 +120,20 @@ def piece_bounds(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -
 
 def pieces(df: DataFrame, key: str, text: str, carry: list[str] | None = None, limit: int = LIMIT, overlap: int = OVERLAP, whole: bool = False) -> DataFrame:
     """(key, piece_no, begin_pos, end_pos, piece, *carry) of every oversized text; with `whole`, of the others too."""
-    bounds = _bounds_udf(limit, overlap)
+    bounds = _bounds_udf(limit, overlap, whole)
     rows = df if whole else df.where(F.length(text) > limit)  # in the scan, before any Python
     rows = rows.select(key, F.col(text).alias("_text"), *(carry or [])).distinct()
-    cut = rows.withColumn("_bounds", bounds(F.col("_text")))
-    if not whole:
-        cut = cut.where(F.size("_bounds") > 1)
-    cut = cut.select(key, "_text", *(carry or []), F.posexplode("_bounds").alias("piece_no", "_b"))
+    cut = rows.withColumn("_bounds", bounds(F.col("_text"))).select(key, "_text", *(carry or []), F.posexplode("_bounds").alias("piece_no", "_b"))
     piece = F.substring(F.col("_text"), F.col("_b.begin_pos") + 1, F.col("_b.end_pos") - F.col("_b.begin_pos"))
     return cut.select(key, "piece_no", "_b.begin_pos", "_b.end_pos", piece.alias("piece"), *(carry or []))
 
 
-def _bounds_udf(limit: int, overlap: int):
+def _bounds_udf(limit: int, overlap: int, whole: bool):
     kind = T.ArrayType(T.StructType([T.StructField("begin_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]))
 
     @F.pandas_udf(kind)
     def bounds(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"begin_pos": b, "end_pos": e} for b, e in piece_bounds(t, limit, overlap)])
+        found = texts.map(lambda t: piece_bounds(t, limit, overlap))
+        return found.map(lambda own: [{"begin_pos": b, "end_pos": e} for b, e in own] if whole or len(own) > 1 else [])
 
-    return bounds
+    return bounds.asNondeterministic()  # for the planner only, which else filters on the bounds and computes them again
