@@ -194,8 +194,11 @@ def _signs_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([None if r is None else r[n] for r in rows], dtype="object") for n in names})
 
 
+_signs_once = _signs_udf.asNondeterministic()  # for the planner only, which else computes the signs again for each field
+
+
 def end_signs(text: Column) -> Column:
-    return _signs_udf(text)
+    return _signs_once(text)
 
 
 def truncation(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
