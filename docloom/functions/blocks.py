@@ -19,22 +19,33 @@ def _earlier(key: list[str], block: str):
     return Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def running(df: DataFrame, key: list[str], block: str, seq: str, sums: dict[str, Column] | None = None, lasts: dict[str, tuple[Column, object]] | None = None) -> DataFrame:
+    """Several running states in one pass, in the order of (block, seq): for `sums` the sum of a value up to and including each row, for
+    `lasts` its last non-null value, or the initial one before the first."""
+    sums, lasts = sums or {}, lasts or {}
+    rows = df.select("*", *(v.alias(f"_v_{n}") for n, v in sums.items()), *(v.alias(f"_v_{n}") for n, (v, _) in lasts.items()))
+    total = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
+    total += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(seq))).alias(f"_t_{n}") for n in lasts]
+    earlier, within = _earlier(key, block), _within(key, block, seq)
+    before = [F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums]
+    before += [F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in lasts]
+    carried = rows.groupBy(*key, block).agg(*total).select(*key, block, *before)
+    own = [F.sum(f"_v_{n}").over(within).alias(f"_o_{n}") for n in sums]
+    own += [F.last(f"_v_{n}", ignorenulls=True).over(within).alias(f"_o_{n}") for n in lasts]
+    joined = rows.select(*df.columns, *own).join(carried, [*key, block])
+    out = [(F.col(f"_o_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums]
+    out += [F.coalesce(f"_o_{n}", f"_b_{n}", F.lit(initial)).alias(n) for n, (_, initial) in lasts.items()]
+    return joined.select(*df.columns, *out)
+
+
 def running_sum(df: DataFrame, key: list[str], block: str, seq: str, value: Column, out: str) -> DataFrame:
-    """`out`: the sum of `value` up to and including each row, in the order of (block, seq)."""
-    rows = df.withColumn("_v", value)
-    totals = rows.groupBy(*key, block).agg(F.sum("_v").alias("_t"))
-    carried = totals.select(*key, block, F.coalesce(F.sum("_t").over(_earlier(key, block)), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_own", F.sum("_v").over(_within(key, block, seq)))
-    return rows.join(carried, [*key, block]).withColumn(out, F.col("_own") + F.col("_before")).drop("_v", "_own", "_before")
+    """`out`: the sum of `value` up to and including each row."""
+    return running(df, key, block, seq, sums={out: value})
 
 
 def running_last(df: DataFrame, key: list[str], block: str, seq: str, value: Column, out: str, initial) -> DataFrame:
     """`out`: the last non-null `value` up to and including each row, `initial` before the first."""
-    rows = df.withColumn("_v", value)
-    lasts = rows.groupBy(*key, block).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(seq))).alias("_t"))
-    carried = lasts.select(*key, block, F.last("_t", ignorenulls=True).over(_earlier(key, block)).alias("_before"))
-    rows = rows.withColumn("_own", F.last("_v", ignorenulls=True).over(_within(key, block, seq)))
-    return rows.join(carried, [*key, block]).withColumn(out, F.coalesce("_own", "_before", F.lit(initial))).drop("_v", "_own", "_before")
+    return running(df, key, block, seq, lasts={out: (value, initial)})
 
 
 def breadcrumbs(headers: DataFrame, key: str, block: str, seq: str, level: str, title: str, out: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions import text as X
-from docloom.functions.blocks import breadcrumbs, running_last, running_sum
+from docloom.functions.blocks import breadcrumbs, running, running_last, running_sum
+from docloom.session import cut
 
 #: Blocks shorter than this aren't chunks.
 MIN_BLOCK = 20
@@ -32,7 +33,8 @@ def pages_of(lines: DataFrame) -> DataFrame:
 
 def sections_of(lines: DataFrame) -> DataFrame:
     """(book_id, section_id, level, title, start_page, end_page, content, n_lines, seq, block); section 0 is the text before the first header."""
-    rows = running_sum(with_page(lines), ["book_id"], "block", "seq", X.header_level("line").isNotNull().cast("int"), "section_id")
+    states = {"section_id": X.header_level("line").isNotNull().cast("int")}
+    rows = running(lines, ["book_id"], "block", "seq", sums=states, lasts={"page": (X.page_marker("line"), 1)})
     is_header = X.header_level("line").isNotNull()
     body = F.when(~is_header, F.struct("seq", "line"))
     grouped = rows.groupBy("book_id", "section_id").agg(
@@ -76,7 +78,8 @@ def runs_of(sections: DataFrame) -> DataFrame:
 def chunks_of(lines: DataFrame) -> DataFrame:
     """(chunk_id, book_id, chunk_index, section_id, path, level, start_page, end_page, type, content, parent_id). A section takes one number,
     and each of its chunks another; ids are UUIDs of book, path, kind, block and number."""
-    sections = section_paths(sections_of(lines))
+    # Sections are read for the headers, the blocks and the numbers: they are written once, as the table that they are.
+    sections = cut(section_paths(cut(sections_of(lines))))
     emitted = runs_of(sections).where(F.length("content") >= MIN_BLOCK)
     emitted = emitted.withColumn("_rank", F.row_number().over(Window.partitionBy("book_id", "section_id").orderBy("run")))
     counts = emitted.groupBy("book_id", "section_id").agg(F.count("*").alias("_n"))

@@ -21,11 +21,12 @@ ENTITY_PATTERN = r"^[A-Z][a-z]{5,}$"
 
 
 def spec_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, subject, value_text, value, unit): the quantities in running text whose subject names something."""
-    found = lambda g: F.regexp_extract_all(F.col(text), F.lit("(?i)" + SPEC_PATTERN), F.lit(g))
-    rows = texts.select(key, F.posexplode(F.arrays_zip(found(1).alias("subject"), found(2).alias("value_text"), found(3).alias("unit"))).alias("pos", "_m"))
-    subject = F.lower(X.strip("_m.subject"))
-    rows = rows.select(key, "pos", subject.alias("subject"), F.col("_m.value_text").alias("value_text"), F.regexp_replace("_m.value_text", ",", "").try_cast("double").alias("value"), F.lower("_m.unit").alias("unit"))
+    """(key, pos, subject, value_text, value, unit): the quantities in running text whose subject names something. A text is searched
+    once for whole matches; the parts are taken from these, anchored at both ends."""
+    found = F.regexp_extract_all(F.col(text), F.lit("(?i)" + SPEC_PATTERN), F.lit(0))
+    rows = texts.where(F.col(text).rlike("[0-9]")).select(key, F.posexplode(found).alias("pos", "_m"))
+    part = lambda g: F.regexp_extract("_m", "(?i)^" + SPEC_PATTERN.removesuffix(r"\b") + "$", g)
+    rows = rows.select(key, "pos", F.lower(X.strip(part(1))).alias("subject"), part(2).alias("value_text"), F.regexp_replace(part(2), ",", "").try_cast("double").alias("value"), F.lower(part(3)).alias("unit"))
     ignored = F.col("subject").isin(IGNORED_SUBJECTS.split())
     return rows.where(~ignored & (F.length("subject") >= 3) & ~F.col("subject").rlike("^[0-9]") & F.col("value").isNotNull())
 
