@@ -29,7 +29,7 @@ from docloom.session import cut
 from .sentences import _SPACED, ATERM, CLOSE, STERM, _flat
 
 #: A limit shows at least so many texts of one length, and they hold this share of the source's texts at least.
-LIMIT_TEXTS = 4
+LIMIT_TEXTS, LIMIT_SHARE = 4, 0.02
 #: Texts with an ellipsis are cut up to so many characters short of the limit, at the end of a word.
 ELLIPSIS_SLACK = 16
 #: A script (or a source's texts of a script) does without terminators if this share of its texts ends without.
@@ -47,9 +47,12 @@ _ESCAPE = re.compile(r"(?:\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#\d*|#x[0-9
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "p", "li", "td", "tr", "th", "dd", "dt"}
 _STRUCTURE = re.compile(
     r"(?:#{1,6}\s+\S.*|[-*+•]\s+\S.*|\(?\d{1,3}[.)]\s+\S.*|\|.*\||(?:[-—–]{1,2}|~)\s?\S.*|[=\-_*]{3,}"
-    r"|(?:ref|see|see also|rev|revision|source|sources|fig|table|page|p|note|siehe|voir|véase|cf|doc|id|version|v|appendix|annex|©|https?)\b[.:]?\s*\S.*|\[\d+\].*|https?://\S+)",
+    r"|(?:ref|rev|revision|version|v|doc|id|page|p|annex|appendix|©)\b[.:#]?\s*\S{1,30}"
+    r"|(?:see|see also|siehe|siehe auch|voir|voir aussi|véase|véase también|note|source|sources|quelle|fuente)\s*:\s*\S.*|\[\d+\].*|https?://\S+)",
     re.IGNORECASE,
 )
+#: A line with the end of a sentence within it is prose, whatever it begins with.
+_PROSE = re.compile(r"\w{3,}[.!?。！？।]\s+\S")
 _WORD_END = re.compile(r"(\S+)$")
 _TERMINAL = set(STERM + ATERM)
 _CLOSING = set(CLOSE.replace("\\", "")) | set("*_`")
@@ -142,7 +145,7 @@ def signs_of(text: str | None) -> dict | None:
         broken = "escape"
     elif last_line.startswith("|") and not last_line.endswith("|"):
         broken = "table"
-    structured = not broken and bool(_STRUCTURE.fullmatch(last_line)) and len(last_line) < 120 and (len(last_line) < len(body) or last_line[:1] == "#")
+    structured = not broken and bool(_STRUCTURE.fullmatch(last_line)) and not _PROSE.search(last_line, 4) and len(last_line) < 120 and (len(last_line) < len(body) or last_line[:1] == "#")
     if not broken and not structured:
         left = open_marks(body)
         if terminated and left:
@@ -212,7 +215,8 @@ def truncation(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     # Limits: lengths at which the texts of a source pile up, in characters or bytes.
     sizes = seen.where(~F.col("structured")).select("_source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("_z"), (open_end | (F.col("broken") != "")).cast("int").alias("_open"))
     piles = sizes.groupBy("_source", "_z.unit", "_z.size").agg(F.count("*").alias("_n"), F.sum("_open").alias("_o"))
-    limits = piles.where((F.col("_n") >= LIMIT_TEXTS) & (F.col("_o") >= 0.6 * F.col("_n")))
+    totals = seen.groupBy("_source").agg(F.count("*").alias("_all"))
+    limits = piles.join(totals, "_source").where((F.col("_n") >= F.greatest(F.lit(LIMIT_TEXTS), LIMIT_SHARE * F.col("_all"))) & (F.col("_o") >= 0.6 * F.col("_n")))
     limits = limits.groupBy("_source").agg(
         F.max_by(F.when(F.col("unit") == "chars", F.col("size")), F.when(F.col("unit") == "chars", F.col("_n"))).alias("_chars_limit"),
         F.max_by(F.when(F.col("unit") == "bytes", F.col("size")), F.when(F.col("unit") == "bytes", F.col("_n"))).alias("_bytes_limit"),
