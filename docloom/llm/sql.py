@@ -20,6 +20,13 @@ WHERE length(regexp_replace(regexp_replace(content, '^[\s\p{Z}]+', ''), '[\s\p{Z
     "p6_found": f"""
 WITH {_KEYS}
 SELECT DISTINCT book_id, page_number, CAST(line_no AS INTEGER) AS line_no FROM lines JOIN keys USING (book_id, k)
+""",
+    "p6_pages": rf"""
+WITH {_KEYS},
+full_lines AS (SELECT book_id, page_number, unnest(string_split(full_content, chr(10))) AS line, unnest(range(0, len(string_split(full_content, chr(10))))) AS line_no
+  FROM (SELECT DISTINCT book_id, page_number, full_content FROM page WHERE full_content IS NOT NULL)),
+marked AS (SELECT f.*, keys.k FROM full_lines f LEFT JOIN keys ON keys.book_id = f.book_id AND keys.k = lower(regexp_replace(line, '[^\p{{L}}]+', '', 'g')))
+SELECT book_id, page_number, coalesce(string_agg(CASE WHEN k IS NULL THEN line END, chr(10) ORDER BY line_no), '') AS clean_text, count(k) AS n_removed FROM marked GROUP BY book_id, page_number
 """,
     "p8_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
