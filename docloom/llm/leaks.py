@@ -1,13 +1,13 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Words are maximal runs of letters and digits in lower case. The words of each evaluation item are cut into n-grams, whose
-document frequency in the corpus is counted over all documents. Of every window of `run` words of an item the rarest
-n-gram becomes a seed; any passage of `run` words that a document shares with an item therefore holds a seed, and no pair
-is lost, however common its words are. Seeds join documents to items. Each pair found is aligned word by word with
-Smith-Waterman (match 2, mismatch -1, gap -1); the score shows edited and paraphrased copies, and the longest exact run on
-a diagonal of the same table decides what counts as a passage.
-
-Scale: documents are read narrowly, twice for n-grams and once for the alignment, and never shuffled whole unless the
+Words are maximal runs of letters and digits in lower case. Seeds join documents to items. Every n-gram of an item is a
+seed, so a pair that shares one is aligned, however many documents hold it and however the copy has been edited. Where only
+passages of `run` words are asked for, the seeds are fewer: of every window of `run` words whose n-grams all occur, the one
+of the least document frequency; any such passage holds a seed, and no pair is lost, however common its words are. Each pair
+found is aligned word by word with Smith-Waterman (match 2, mismatch -1, gap -1); the score shows edited and paraphrased
+copies, and the longest exact run on a diagonal of the same table decides what counts as a passage.
+
+Scale: documents are read narrowly, once for n-grams (twice with `run`) and once for the alignment, and never shuffled whole unless the
 candidates are too many to broadcast. Frequencies are partial sums before the shuffle, so a frequent n-gram is no hot key.
 Evaluation items, their n-grams and the seeds are broadcast only after their number has been checked; beyond the bound the
 same joins run with a shuffle.
@@ -29,8 +29,6 @@ from docloom.session import cut
 
 #: Rows of at most so many are broadcast (each under 100 bytes here, so 20 MB at most).
 BROADCAST_ROWS = 200_000
-#: An n-gram that so many documents at most have is a seed even where its window isn't in any document as a whole.
-RARE = 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 
 
@@ -82,34 +80,39 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def leak_candidates(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int = 5, run: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(_doc, _item) pairs that share a seed, and the items with their words."""
+def leak_candidates(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int = 5, run: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(_doc, _item) pairs that share a seed, and the items with their words. Without `run` these are all pairs that share an
+    n-gram; with it, all that share a passage of `run` words, and others by chance."""
     words = items.select(F.col(item).alias("_item"), words_of(F.col(text)).alias("_item_words")).where(F.size("_item_words") > 0).distinct()
     words = broadcast_checked(cut(words))
     grams = words.select("_item", F.posexplode(_grams(F.col("_item_words"), n)).alias("_pos", "_gram"))
-    distinct = broadcast_checked(cut(grams.select("_gram").distinct()))
     corpus = docs.select(F.col(doc).alias("_doc"), F.array_distinct(_grams(words_of(F.col(text)), n)).alias("_grams"))
     found = corpus.select("_doc", F.explode("_grams").alias("_gram"))
+    seeds = grams.select("_item", "_gram").distinct() if run is None else _rarest(grams, found, n, run)
+    pairs = found.join(broadcast_checked(cut(seeds)), "_gram").select("_doc", "_item").distinct()
+    return pairs, words
+
+
+def _rarest(grams: DataFrame, found: DataFrame, n: int, run: int) -> DataFrame:
+    """(_item, _gram): the rarest n-gram of every window of `run` words. Only n-grams that occur have a frequency: a window with
+    one that doesn't is in no document as a whole and needs no seed."""
+    distinct = broadcast_checked(cut(grams.select("_gram").distinct()))
     frequency = found.join(distinct, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
     windows = F.sequence(F.greatest(F.lit(0), F.col("_pos") - (run - n)), F.col("_pos"))
-    seeds = (
+    return (
         grams.join(frequency, "_gram")
         .select("_item", F.explode(windows).alias("_window"), F.struct("_df", "_pos", "_gram").alias("_own"))
         .groupBy("_item", "_window")
         .agg(F.min("_own").alias("_rarest"), F.count("*").alias("_occurring"))
-        .where((F.col("_occurring") == run - n + 1) | (F.col("_rarest._df") <= RARE))
+        .where(F.col("_occurring") == run - n + 1)
         .select("_item", F.col("_rarest._gram").alias("_gram"))
         .distinct()
     )
-    # Only n-grams that occur have a frequency: a window with one that doesn't is in no document as a whole. Its rarest n-gram
-    # is a seed all the same if few documents have it, so that edited copies are aligned too.
-    seeds = broadcast_checked(cut(seeds))
-    pairs = found.join(seeds, "_gram").select("_doc", "_item").distinct()
-    return pairs, words
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int = 5, run: int = 12) -> DataFrame:
-    """(doc, item, score, similarity, longest_run) of every document and item that share a seed. Similarity is the score
+def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int = 5, run: int | None = None) -> DataFrame:
+    """(doc, item, score, similarity, longest_run) of every document and item that share an n-gram; with `run`, of those at least
+    that share a passage of so many words. Similarity is the score
     over that of the whole item, 1 for an unchanged copy; longest_run is the longest exact passage in words."""
     pairs, words = leak_candidates(docs, items, doc, item, text, n, run)
     pairs = broadcast_checked(cut(pairs))

@@ -96,14 +96,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and item that share a rare n-gram, with the score of their alignment."""
+    """Every document and item that share an n-gram, with the score of their alignment."""
     out = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_item"), "doc_id", "item_id", "text")
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold at least 12 consecutive words of an item."""
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_item"), "doc_id", "item_id", "text").where("longest_run >= 12").select("doc_id", "item_id")
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_item"), "doc_id", "item_id", "text", run=12).where("longest_run >= 12").select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_leaks_against_brute_force(spark):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
     assert leaks(df.limit(0), it, "doc_id", "item_id", "text").count() == 0
     assert leaks(df, it.limit(0), "doc_id", "item_id", "text").count() == 0
+
+
+def test_edited_copies_are_aligned_however_common(spark):
+    item = " ".join(f"w{i}" for i in range(24))
+    edited = [w if i % 6 != 5 else "x" for i, w in enumerate(item.split())]  # four runs of five words, none of twelve
+    docs = [(d, item) for d in range(30)] + [(100 + d, " ".join(edited)) for d in range(30)] + [(200, "w0 w1 w2 w3 x")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.score, r.longest_run) for r in leaks(df, it, "doc_id", "item_id", "text").collect()}
+    assert set(got) == {d for d, _ in docs if d < 200}
+    assert got[100] == align(edited, item.split()) and got[100][1] == 5
+    assert {r.doc_id for r in leaks(df, it, "doc_id", "item_id", "text", run=12).collect() if r.longest_run >= 12} == set(range(30))
