@@ -93,3 +93,15 @@ def needs_second_pass(ranked: DataFrame, questions: DataFrame, threshold: float
     best = ranked.groupBy("query_id").agg(F.max("rerank_score").alias("_best"))
     rows = questions.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("_best", F.lit(0.0)).alias("top_score"))
     return rows.where(F.col("top_score") < threshold)
+
+
+def widened(questions: DataFrame, failing: DataFrame) -> DataFrame:
+    """The failing questions with the limits of their second search."""
+    rows = questions.join(failing.select("query_id").distinct(), "query_id", "left_semi")
+    return rows.withColumns({c: F.col(c) * K.ADAPTIVE_FACTOR for c in ("prop_limit", "sect_limit")})
+
+
+def second_pass(first: DataFrame, again: DataFrame) -> DataFrame:
+    """The merged candidates of both searches, once each: those of the second that the first already has keep the better scores."""
+    rows = first.select(*again.columns).unionByName(again)
+    return rows.groupBy("query_id", "chunk_id").agg(F.max("direct_score").alias("direct_score"), F.max("child_score").alias("child_score"), F.bool_or("from_direct").alias("from_direct"))

@@ -58,6 +58,19 @@ class Stages:
     def ranked(self) -> DataFrame:
         return self.kept("ranked", lambda: R.reranked(self.candidates(), self.chunks, self.questions))
 
+    def adaptive(self, threshold: float = K.ADAPTIVE_THRESHOLD) -> DataFrame:
+        """The ranking after the second pass: failing questions are searched again with wider limits, merged and reranked."""
+        failing = cut(R.needs_second_pass(self.ranked(), self.questions, threshold))
+        wider = cut(R.widened(self.questions, failing))
+        hits = R.search(self.props.select("proposition_id", "book_id", "text"), "proposition_id", wider, "prop_limit")
+        hits = cut(hits.join(self.props.select("proposition_id", "parent_chunk_id", "section_path", "book_id"), "proposition_id"))
+        direct = R.search(self.texts, "chunk_id", wider, "sect_limit")
+        again = R.merged(R.parents_of(hits, self.chunks), R.orphan_parents(hits, self.chunks), direct)
+        first = self.candidates().join(wider.select("query_id"), "query_id", "left_semi")
+        reranked = R.reranked(R.from_graph(R.second_pass(first, again), self.chunks, wider), self.chunks, wider)
+        kept = self.ranked().join(failing.select("query_id"), "query_id", "left_anti")
+        return kept.withColumn("pass", F.lit(1)).unionByName(reranked.withColumn("pass", F.lit(2)))
+
     def pages(self) -> DataFrame:
         page = self.read("page")
         return self.kept("pages", lambda: C.trimmed(C.expansions(self.ranked(), self.chunks, self.questions, page), page))
@@ -152,6 +165,11 @@ def adaptive_second_pass(spark, sf_dir):
     return R.needs_second_pass(s.ranked(), s.questions, threshold=1.5)
 
 
+def adaptive_ranked(spark, sf_dir):
+    """The ranked candidates after the second pass of the questions below the threshold; `pass` tells which pass ranked them."""
+    return Stages(spark, sf_dir).adaptive().select("query_id", "chunk_id", "rerank_score", "rank", "pass")
+
+
 def page_expansion(spark, sf_dir):
     """The pages around the first two chunks."""
     s = Stages(spark, sf_dir)
@@ -201,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_questions, route_limits, bm25_stats, bm25_topk, prop_topk, vector_topk, two_stage_topk, mmr_select, rrf_fuse, small_to_big, orphan_fallback, merge_candidates, rerank_boost,
-        adaptive_second_pass, page_expansion, page_trim, pack_greedy, pack_priority, sources_report, section_tree, score_distribution,
+        adaptive_second_pass, adaptive_ranked, page_expansion, page_trim, pack_greedy, pack_priority, sources_report, section_tree, score_distribution,
     )
 }
 

@@ -157,3 +157,22 @@ def test_formats(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("book_id", "v").collect()} == {("a", 1), ("b", 3)}
     S.remove_books(spark, str(tmp_path / "t"), ["a"], str(tmp_path / "u"))
     assert spark.read.parquet(str(tmp_path / "u")).count() == 1 and S.duplicate_keys(books, ["book_id"]).count() == 0
+
+
+def test_second_pass_searches_again(spark):
+    from docloom.operators import retrieval as Q
+    from docloom.plans.retrieval import Stages
+
+    stages = Stages(spark, "/root/testdata/sf0.01")
+    pairs = lambda df: {(r.query_id, r.chunk_id, r.rank) for r in df.collect()}
+    first = stages.ranked().where("rerank_score is not null")
+    most = max(r.rerank_score for r in first.collect())
+    assert pairs(stages.adaptive(-1.0)) == pairs(first)
+    every = stages.adaptive(most + 1).collect()
+    assert every and {r["pass"] for r in every} == {2}
+    limits = {r.query_id: (r.prop_limit, r.sect_limit) for r in stages.questions.collect()}
+    wider = Q.widened(stages.questions, stages.questions)
+    assert {r.query_id: (r.prop_limit, r.sect_limit) for r in wider.collect()} == {q: (2 * p, 2 * s) for q, (p, s) in limits.items()}
+    one = spark.createDataFrame([(1, "a", 1.0, None, True), (1, "b", None, 2.0, False)], "query_id long, chunk_id string, direct_score double, child_score double, from_direct boolean")
+    two = spark.createDataFrame([(1, "a", 1.0, 3.0, True), (1, "c", 0.5, None, True)], one.schema)
+    assert {tuple(r) for r in Q.second_pass(one, two).collect()} == {(1, "a", 1.0, 3.0, True), (1, "b", None, 2.0, False), (1, "c", 0.5, None, True)}
