@@ -39,8 +39,8 @@ def spec_nodes(spec: DataFrame) -> DataFrame:
 
 
 def spec_lookup(terms: DataFrame, spec: DataFrame, limit: int = 50) -> DataFrame:
-    """(query_id, book_id, subject): specs whose subject holds a term of the question or the other way round. Terms are matched to words of the distinct
-    subjects by an equi join: a term of letters, digits and underscores that lies in a subject is part of a word of it."""
+    """(query_id, book_id, subject): specs of whose subject a term of the question is a whole word. Terms are matched to words of the distinct
+    subjects by an equi join; `spec_matches` matches parts of words and both ways."""
     subjects = spec.select(F.lower("subject").alias("subject")).distinct()
     words = subjects.select("subject", F.explode(F.array_distinct(F.split("subject", r"\s+"))).alias("term"))
     hits = terms.join(words, "term").select("query_id", "subject").distinct()
@@ -49,6 +49,27 @@ def spec_lookup(terms: DataFrame, spec: DataFrame, limit: int = 50) -> DataFrame
     return ranked.where(F.col("_n") <= limit).select("query_id", "book_id", "subject")
 
 
+def contained(inner: DataFrame, outer: DataFrame, a: str, b: str, head: int = 4) -> DataFrame:
+    """(a, b): the distinct texts of `outer` that hold one of `inner`. They are joined on the first characters of what is held, which is a part
+    of what holds it; empty texts are held by none."""
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.substring(F.col(b), i, F.lit(n)))
+    keyed = outer.select(b).where(F.length(b) > 0).distinct().select(b, F.explode(F.array_distinct(F.concat(*(parts(n) for n in range(1, head + 1))))).alias("_key"))
+    heads = inner.select(a).where(F.length(a) > 0).distinct().select(a, F.substring(a, 1, head).alias("_key"))
+    return heads.join(keyed, "_key").where(F.contains(F.col(b), F.col(a))).select(a, b)
+
+
+def spec_matches(terms: DataFrame, spec: DataFrame, limit: int = 50) -> DataFrame:
+    """(query_id, book_id, subject): specs whose subject holds a term of the question or lies in one. `terms` (query_id, term, book_ids,
+    cross_book) carry the books of their question."""
+    rows = spec.select("book_id", F.lower("subject").alias("subject")).where(F.col("subject").isNotNull()).distinct()
+    either = contained(terms, rows, "term", "subject").unionByName(contained(rows, terms, "subject", "term")).distinct()
+    hits = terms.join(either, "term").join(rows, "subject")
+    inside = F.col("cross_book") | F.coalesce(F.size("book_ids") <= 0, F.lit(True)) | F.coalesce(F.array_contains("book_ids", F.col("book_id")), F.lit(False))
+    hits = hits.where(inside).select("query_id", "book_id", "subject").distinct()
+    ranked = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("book_id", "subject")))
+    return ranked.where(F.col("_n") <= limit).drop("_n")
+
+
 def entity_mentions(sentences: DataFrame) -> DataFrame:
     """(chunk_id, book_id, section, pos, at, name): capitalised words of six letters and more, the stand-in for a recognition model."""
     words = F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))

@@ -9,11 +9,13 @@ from docloom.operators import graph as G
 from docloom.operators import jobs as J
 from docloom.operators import propositions as P
 from docloom.operators import reports as R
+from docloom.operators.retrieval import routed_questions
 from docloom.session import read
 from docloom.sources.formats import duplicate_keys, split_units
 from docloom.streaming import events as E
 
 from .documents import SENTENCES, _STRIP
+from .retrieval import QUESTIONS
 
 
 def _mentions(spark, sf_dir):
@@ -39,6 +41,13 @@ def spec_lookup(spark, sf_dir):
     return G.spec_lookup(rows.where(F.length("term") >= 4), read(spark, sf_dir, "spec"))
 
 
+def spec_matches(spark, sf_dir):
+    """Specs whose subject holds a term of the stated questions or lies in one, within their books."""
+    questions = routed_questions(read(spark, sf_dir, "ask_log"))
+    terms = questions.select("query_id", "book_ids", "cross_book", F.explode(F.array_distinct(X.bm25_tokens("question"))).alias("term"))
+    return G.spec_matches(terms.where(F.length("term") >= 3), read(spark, sf_dir, "spec"))
+
+
 def entity_mentions(spark, sf_dir):
     """Entities with their mentions and sections."""
     return G.entities(_mentions(spark, sf_dir))
@@ -212,7 +221,7 @@ def job_rollup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        spec_extract, spec_upsert, spec_lookup, entity_mentions, cooccurrence, section_hierarchy, next_section, entity_sections, table_parents, coverage_report, page_counts, batch_units, extraction_units, label_topk,
+        spec_extract, spec_upsert, spec_lookup, spec_matches, entity_mentions, cooccurrence, section_hierarchy, next_section, entity_sections, table_parents, coverage_report, page_counts, batch_units, extraction_units, label_topk,
         timing_stats, prior_messages, history_block, chat_search_snippets, library_view, message_counters, idempotent_upsert, delete_book, collection_counts, key_check, job_fsm, job_progress, worker_liveness,
         progress_latest, events_tumbling, events_sliding, events_sessions, stream_dedup, job_rollup,
     )
@@ -258,6 +267,9 @@ SQL = {
     "spec_lookup": f"""WITH t AS (SELECT DISTINCT ask_id AS query_id, unnest({_words}) AS term FROM ask_log WHERE ask_id % 100 = 0 AND question IS NOT NULL), w AS (SELECT DISTINCT lower(subject) AS subject, unnest(regexp_split_to_array(lower(subject), '\\s+')) AS term FROM spec),
         h AS (SELECT DISTINCT query_id, subject FROM t JOIN w USING (term) WHERE length(term) >= 4)
         SELECT query_id, book_id, subject FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, subject) AS n FROM h JOIN (SELECT DISTINCT book_id, lower(subject) AS subject FROM spec) USING (subject)) WHERE n <= 50""",
+    "spec_matches": f"""WITH {QUESTIONS}, t AS (SELECT DISTINCT query_id, term, book_ids, cross_book FROM qterms JOIN questions USING (query_id) WHERE length(term) >= 3), s AS (SELECT DISTINCT book_id, lower(subject) AS subject FROM spec WHERE subject <> ''),
+        h AS (SELECT DISTINCT query_id, book_id, subject FROM t JOIN s ON (contains(subject, term) OR contains(term, subject)) AND (cross_book OR coalesce(len(book_ids) = 0, true) OR coalesce(list_contains(book_ids, book_id), false)))
+        SELECT query_id, book_id, subject FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, subject) AS n FROM h) WHERE n <= 50""",
     "entity_mentions": f"WITH {MENTIONS} SELECT book_id, name, count(*) AS n_mentions, count(DISTINCT section) AS n_sections FROM ms GROUP BY ALL",
     "cooccurrence": f"""WITH {MENTIONS}, d AS (SELECT DISTINCT chunk_id, book_id, section, pos, name FROM ms),
         p AS (SELECT x.book_id, x.name AS a, y.name AS b, x.section FROM d x JOIN d y ON x.chunk_id = y.chunk_id AND x.pos = y.pos AND x.name < y.name)

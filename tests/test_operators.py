@@ -176,3 +176,9 @@ def test_second_pass_searches_again(spark):
     one = spark.createDataFrame([(1, "a", 1.0, None, True), (1, "b", None, 2.0, False)], "query_id long, chunk_id string, direct_score double, child_score double, from_direct boolean")
     two = spark.createDataFrame([(1, "a", 1.0, 3.0, True), (1, "c", 0.5, None, True)], one.schema)
     assert {tuple(r) for r in Q.second_pass(one, two).collect()} == {(1, "a", 1.0, 3.0, True), (1, "b", None, 2.0, False), (1, "c", 0.5, None, True)}
+
+
+def test_spec_matches_both_ways(spark):
+    terms = spark.createDataFrame([(1, "warm", ["b"], False), (2, "pumps", None, False), (3, "warm", ["c"], False), (4, "warm", ["c"], True)], "query_id long, term string, book_ids array<string>, cross_book boolean")
+    spec = spark.createDataFrame([("b", "the warm-up time"), ("b", "Pump"), ("b", ""), ("b", None)], "book_id string, subject string")
+    assert {tuple(r) for r in G.spec_matches(terms, spec).collect()} == {(1, "b", "the warm-up time"), (2, "b", "pump"), (4, "b", "the warm-up time")}
