@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that hold for every size; sizes of partitions are left to the cluster and to adaptive execution.
 SETTINGS = {
@@ -15,7 +16,11 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more; to be set on a session that is made elsewhere.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+#: Frames of at most so many bytes are broadcast.
+BROADCAST_BYTES = 20_000_000
 
 
 def build_session(app: str = "docloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,7 +32,7 @@ def build_session(app: str = "docloom", master: str | None = None, **conf: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the engine needs on a session made elsewhere; all of it can change at run time."""
+    """Set what the engine needs on a session made elsewhere; all of it can change at run time, and it stays set."""
     for key in ("spark.sql.mapKeyDedupPolicy", "spark.sql.session.timeZone"):
         spark.conf.set(key, SETTINGS[key])
     return spark
@@ -50,6 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _width(column: str, kind: str) -> Column:
+    """The bytes of a value, about."""
+    if kind == "string":
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 24
+    if kind == "array<string>":
+        return F.coalesce(F.octet_length(F.array_join(column, "")) + 24 * F.size(column), F.lit(0)) + 24
+    if kind.startswith("array"):
+        return F.coalesce(F.size(column) * 16, F.lit(0)) + 24
+    return F.lit(8)
+
+
+def broadcast_checked(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame, to be broadcast if its rows have been measured to take `limit` bytes at most. The frame should have been cut."""
+    size = sum((_width(c, kind) for c, kind in df.dtypes), F.lit(16))
+    total = df.agg(F.sum(size.cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= limit else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
