@@ -7,10 +7,11 @@ of the least document frequency; any such passage holds a seed, and no pair is l
 found is aligned word by word with Smith-Waterman (match 2, mismatch -1, gap -1); the score shows edited and paraphrased
 copies, and the longest exact run on a diagonal of the same table decides what counts as a passage.
 
-Scale: documents are read narrowly, once for n-grams (twice with `run`) and once for the alignment, and never shuffled whole unless the
-candidates are too many to broadcast. Frequencies are partial sums before the shuffle, so a frequent n-gram is no hot key.
-Evaluation items, their n-grams and the seeds are broadcast only after their number has been checked; beyond the bound the
-same joins run with a shuffle.
+Scale: documents are cut into n-grams once, narrowly; of these only the ones that some item holds go further, and that small
+table gives frequencies, seeds and pairs. The alignment reads the documents once more; tables of many pairs are filled at the
+same time. Frequencies are partial sums before the shuffle, so a frequent n-gram is no hot key.
+Evaluation items, their n-grams, the seeds and the pairs are broadcast only after their bytes have been measured; beyond the
+bound the same joins run with a shuffle.
 
 Cases: null or empty texts have no words and leak nothing; items of fewer than `n` words have no n-gram and are in no
 pair; repeated rows come out once; other columns are ignored.
@@ -18,86 +19,149 @@ pair; repeated rows come out once; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from docloom.session import cut
-
-#: Rows of at most so many are broadcast (each under 100 bytes here, so 20 MB at most).
-BROADCAST_ROWS = 200_000
-MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-
-
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, to be broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def _grams(words: Column, n: int) -> Column:
-    """Hashes of the n-grams of a word array, in order. The array is bound as a lambda variable: were it put into the inner
-    function as an expression, the text would be cut into words again for each n-gram."""
-    starts = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n))
-    each = lambda w: F.transform(starts(w), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
-    return F.get(F.transform(F.array(words), each), 0)
+from pyspark.sql import types as T
+
+from docloom.session import broadcast_checked, cut
+
+MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of the tables that are filled at the same time.
+CELLS = 1 << 16
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def cut_words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+class _Hashes(dict):
+    """The hash of each word, computed once per batch."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def gram_hashes(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the hashes of its word n-grams, in order; equal n-grams have equal hashes."""
+    known = _Hashes()
+    hashes = [[known[w] for w in cut_words(t)] for t in texts]
+    sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+    flat = np.array([x for h in hashes for x in h], dtype=np.uint64)
+    if len(flat) < n:
+        return [np.empty(0, dtype=np.int64) for _ in texts]
+    count = len(flat) - n + 1
+    grams = flat[:count].copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, n):
+            grams *= np.uint64(0x9E3779B97F4A7C15)
+            grams += flat[k : k + count]
+        grams ^= grams >> np.uint64(29)
+    grams = grams.view(np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    return [grams[s : s + max(0, size - n + 1)] for s, size in zip(starts, sizes)]
+
+
+def _grams(n: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def grams(texts: pa.Array) -> pa.Array:
+        found = gram_hashes(texts.to_pylist(), n)
+        offsets = np.concatenate(([0], np.cumsum([len(g) for g in found]))).astype(np.int32)
+        values = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.int64()))
+
+    return grams.asNondeterministic()  # for the planner only, which would else compute them once more to drop empty arrays
+
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The Smith-Waterman score of each pair (document, item) of word numbers, and its longest common run. Pairs of like length are
+    aligned together: one step fills one item word's row of all their tables."""
+    score, longest = np.zeros(len(pairs), dtype=np.int32), np.zeros(len(pairs), dtype=np.int32)
+    order = sorted((i for i, (d, w) in enumerate(pairs) if len(d) and len(w)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    at = 0
+    while at < len(order):
+        end, width = at + 1, len(pairs[order[at]][0])
+        while end < len(order) and (end - at + 1) * max(width, len(pairs[order[end]][0])) <= CELLS:
+            width = max(width, len(pairs[order[end]][0]))
+            end += 1
+        own, at = order[at:end], end
+        docs = np.full((len(own), width), -1, dtype=np.int32)
+        items = np.full((len(own), max(len(pairs[i][1]) for i in own)), -2, dtype=np.int32)
+        for row, i in enumerate(own):
+            docs[row, : len(pairs[i][0])], items[row, : len(pairs[i][1])] = pairs[i]
+        ramp = np.arange(width, dtype=np.int32) * -GAP
+        table, run = np.zeros((len(own), width + 1), dtype=np.int32), np.zeros((len(own), width + 1), dtype=np.int32)
+        best, most = np.zeros(len(own), dtype=np.int32), np.zeros(len(own), dtype=np.int32)
+        for k in range(items.shape[1]):
+            same = docs == items[:, k : k + 1]
+            reach = table[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+            np.maximum(reach, table[:, 1:] + GAP, out=reach)
+            np.maximum(reach, 0, out=reach)
+            reach += ramp
+            np.maximum.accumulate(reach, axis=1, out=reach)  # gaps along the document
+            reach -= ramp
+            table[:, 1:] = reach
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            np.maximum(best, reach.max(axis=1), out=best)
+            np.maximum(most, run.max(axis=1), out=most)
+        score[own], longest[own] = best, most
+    return score, longest
 
 
 def align(doc: list[str], item: list[str]) -> tuple[float, int]:
-    """The Smith-Waterman score of two word lists and their longest common run; vectorised along the document."""
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in doc], dtype=np.int64)
-    b = [ids.get(w, -1) for w in item]
-    if not len(a) or not b:
-        return 0.0, 0
-    ramp = np.arange(len(a)) * -GAP
-    row, run = np.zeros(len(a) + 1), np.zeros(len(a) + 1, dtype=np.int64)
-    best, longest = 0.0, 0
-    for w in b:
-        same = a == w
-        reach = np.maximum(row[:-1] + np.where(same, MATCH, MISMATCH), row[1:] + GAP)
-        reach = np.maximum(reach, 0)
-        reach = np.maximum.accumulate(reach + ramp) - ramp  # gaps along the document
-        row[1:] = reach
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest = max(best, float(reach.max())), max(longest, int(run.max()))
-    return best, longest
+    """The score of two word lists and their longest common run."""
+    numbers: dict[str, int] = {}
+    a, b = (np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int32) for words in (doc, item))
+    score, longest = align_many([(a, b)])
+    return float(score[0]), int(longest[0])
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        scored = [align(list(d), list(i)) for d, i in zip(batch["_words"], batch["_item_words"])]
+        numbers: dict[str, int] = {}
+        known: dict[str, np.ndarray] = {}
+
+        def numbered(text: str) -> np.ndarray:
+            if text not in known:
+                known[text] = np.array([numbers.setdefault(w, len(numbers)) for w in cut_words(text)], dtype=np.int32)
+            return known[text]
+
+        pairs = [(numbered(d), numbered(i)) for d, i in zip(batch["_text"], batch["_item_text"])]
+        score, longest = align_many(pairs)
         out = batch[["_doc", "_item"]].copy()
-        out["score"] = [s for s, _ in scored]
-        out["longest_run"] = [r for _, r in scored]
-        out["similarity"] = [s / (MATCH * len(i)) for (s, _), i in zip(scored, batch["_item_words"])]
+        out["score"], out["longest_run"] = score.astype(float), longest.astype("int64")
+        out["similarity"] = score / (MATCH * np.array([max(1, len(i)) for _, i in pairs]))
         yield out
 
 
 def leak_candidates(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n: int = 5, run: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(_doc, _item) pairs that share a seed, and the items with their words. Without `run` these are all pairs that share an
+    """(_doc, _item) pairs that share a seed, and the items with their texts. Without `run` these are all pairs that share an
     n-gram; with it, all that share a passage of `run` words, and others by chance."""
-    words = items.select(F.col(item).alias("_item"), words_of(F.col(text)).alias("_item_words")).where(F.size("_item_words") > 0).distinct()
-    words = broadcast_checked(cut(words))
-    grams = words.select("_item", F.posexplode(_grams(F.col("_item_words"), n)).alias("_pos", "_gram"))
-    corpus = docs.select(F.col(doc).alias("_doc"), F.array_distinct(_grams(words_of(F.col(text)), n)).alias("_grams"))
-    found = corpus.select("_doc", F.explode("_grams").alias("_gram"))
+    texts = items.select(F.col(item).alias("_item"), F.col(text).alias("_item_text")).where(F.col("_item_text").isNotNull()).distinct()
+    texts = broadcast_checked(cut(texts))
+    grams = cut(texts.select("_item", F.posexplode(_grams(n)("_item_text")).alias("_pos", "_gram")))
+    distinct = broadcast_checked(cut(grams.select("_gram").distinct()))
+    corpus = docs.select(F.col(doc).alias("_doc"), _grams(n)(F.col(text)).alias("_grams"))
+    # The n-grams that both sides hold: all that the following steps need of the corpus.
+    found = cut(corpus.select("_doc", F.explode("_grams").alias("_gram")).join(distinct, "_gram", "left_semi").distinct())
     seeds = grams.select("_item", "_gram").distinct() if run is None else _rarest(grams, found, n, run)
     pairs = found.join(broadcast_checked(cut(seeds)), "_gram").select("_doc", "_item").distinct()
-    return pairs, words
+    return pairs, texts
 
 
 def _rarest(grams: DataFrame, found: DataFrame, n: int, run: int) -> DataFrame:
     """(_item, _gram): the rarest n-gram of every window of `run` words. Only n-grams that occur have a frequency: a window with
     one that doesn't is in no document as a whole and needs no seed."""
-    distinct = broadcast_checked(cut(grams.select("_gram").distinct()))
-    frequency = found.join(distinct, "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
+    frequency = found.groupBy("_gram").agg(F.count("*").alias("_df"))
     windows = F.sequence(F.greatest(F.lit(0), F.col("_pos") - (run - n)), F.col("_pos"))
     return (
         grams.join(frequency, "_gram")
@@ -114,11 +178,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str, n:
     """(doc, item, score, similarity, longest_run) of every document and item that share an n-gram; with `run`, of those at least
     that share a passage of so many words. Similarity is the score
     over that of the whole item, 1 for an unchanged copy; longest_run is the longest exact passage in words."""
-    pairs, words = leak_candidates(docs, items, doc, item, text, n, run)
+    pairs, texts = leak_candidates(docs, items, doc, item, text, n, run)
     pairs = broadcast_checked(cut(pairs))
-    texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    matched = texts.join(pairs, "_doc").join(words, "_item")
-    matched = matched.select("_doc", "_item", words_of(F.col("_text")).alias("_words"), "_item_words")
+    matched = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(pairs, "_doc").join(texts, "_item").select("_doc", "_item", "_text", "_item_text")
     kinds = dict(matched.dtypes)
     scored = matched.mapInPandas(_aligned, f"_doc {kinds['_doc']}, _item {kinds['_item']}, score double, longest_run long, similarity double")
     best = scored.groupBy("_doc", "_item").agg(*(F.max(c).alias(c) for c in ("score", "similarity", "longest_run")))

@@ -26,9 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.session import cut
-
-from .leaks import broadcast_checked
+from docloom.session import broadcast_checked, cut
 
 # Glyphs that scanning confuses: single ones, then groups, in this order.
 SINGLE_GLYPHS = ("j1059e8f|!$", "ilosgcbtlls")
@@ -42,7 +40,6 @@ TITLE_PAGES, LINE_PAGES, LINE_SHARE = 2, 5, 0.15
 
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 
-
 def skeleton(word: Column) -> Column:
     """A word in lower case with confusable glyphs made equal. Glyphs that look like two are written as the two: taken the other
     way round, overlapping groups (`liil`) would depend on where one begins to read."""
@@ -51,7 +48,6 @@ def skeleton(word: Column) -> Column:
         out = F.replace(out, F.lit(one), F.lit(pair))
     return out
 
-
 def scan_lines(texts: DataFrame) -> DataFrame:
     """Lines of (src, rec_id, book, page, last_page, text) with their number, and the numbers of the first and the last lines
     with content."""
@@ -61,16 +57,13 @@ def scan_lines(texts: DataFrame) -> DataFrame:
     rows = rows.select("src", "rec_id", "book", "page", "last_page", F.array_min(filled).alias("first_no"), F.array_max(filled).alias("last_no"), F.get(filled, F.size(filled) - 2).alias("before_last_no"), lines.alias("_lines"))
     return rows.select("src", "rec_id", "book", "page", "last_page", "first_no", "last_no", "before_last_no", F.posexplode("_lines").alias("line_no", "line"))
 
-
 def _next_lines(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("src", "rec_id").orderBy("line_no")
     return lines.withColumn("next_line", F.lead("line").over(order))
 
-
 _LAST_PART = rf"([\p{{L}}\p{{M}}]+(?:[-‐‑][\p{{L}}\p{{M}}]+)*)[{HYPHENS}]\s*$"
 _FIRST_PART = r"^\s*([\p{L}\p{M}]+(?:[-‐‑][\p{L}\p{M}]+)*)"
 
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n_clean, n_scan): how often each form occurs in all texts (src, rec_id, ocr, text), words broken over lines left out.
     Compounds with a hyphen count as a form of their own, beside their parts."""
@@ -81,7 +74,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     exploded = exploded.select("ocr", F.lower(F.regexp_replace("word", "[‐‑]", "-")).alias("word")).where(F.col("word").rlike(r"\p{L}"))
     return exploded.groupBy("word").agg(F.count_if(~F.col("ocr")).alias("n_clean"), F.count_if("ocr").alias("n_scan"))
 
-
 def misread_forms(counts: DataFrame) -> DataFrame:
     """(word, skeleton, right, n_rivals): the misread forms, the most frequent form of each one's group, and how many forms of the
     group are frequent. Only forms of letters are right; forms with digits are looked at if letters outnumber them, so that codes and
@@ -97,12 +89,10 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     rows = rows.where((F.col("best.n") >= LEAD * total) & (F.col("n_clean") * CLEAN_LEAD <= F.col("n_scan")) & (F.col("n_scan") > 0))
     return rows.select("word", "skeleton", F.col("best.word").alias("right"), "n_rivals")
 
-
 def _in_use() -> Column:
     """A form that clean text uses more than once."""
     return ~F.col("word").rlike(r"\p{N}") & (F.col("n_clean") > 1)
 
-
 def with_context(misread: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
     """Misread words (.., word, skeleton, right, n_rivals, before) with `right` chosen by context where several forms of the group are in use:
     the form that follows the same word most often in clean text, else the most frequent. Only pairs with such forms are counted."""
@@ -118,7 +108,6 @@ def with_context(misread: DataFrame, counts: DataFrame, texts: DataFrame) -> Dat
     chosen = several.groupBy(*keys).agg(F.max(F.struct(F.coalesce("n_pair", F.lit(0)).alias("n_pair"), "n_form", "form")).alias("_best")).select(*keys, F.col("_best.form").alias("right"))
     return misread.where("n_rivals <= 1").unionByName(chosen)
 
-
 def _hyphen_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """(src, rec_id, line_no) of lines that end inside a word without a hyphen of its own."""
     rows = _next_lines(lines)
@@ -145,7 +134,6 @@ def _hyphen_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
     )
     return rows.where(~own).select("src", "rec_id", "line_no")
 
-
 def _number_of(text: Column) -> Column:
     """The number that a page's number in figures or Roman numerals shows, confusable glyphs read as figures; null for another text."""
     figures = F.translate(text, "lios", "1105")
@@ -154,7 +142,6 @@ def _number_of(text: Column) -> Column:
     roman = F.aggregate(each, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda acc, v: F.struct((acc["sum"] + v - F.when(acc["last"] < v, 2 * acc["last"]).otherwise(0)).alias("sum"), v.alias("last")))["sum"]
     return F.when(text.rlike("^[0-9lios]{1,7}$") & text.rlike("[0-9]"), figures.try_cast("int")).when(text.rlike("^[ivxlcdm]{1,15}$"), roman)
 
-
 def _edges(lines: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, defect) of running heads and page numbers."""
     bare = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
@@ -190,7 +177,6 @@ def _edges(lines: DataFrame) -> DataFrame:
     numbers = rows.where("is_number").select("src", "rec_id", "line_no", F.lit("page_number").alias("defect"))
     return numbers.unionByName(heads.where(is_head).select("src", "rec_id", "line_no", F.lit("running_head").alias("defect")))
 
-
 def _misread_lines(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, word, skeleton, right, n_rivals, before) of misread words; parts of words broken over lines are left out."""
     order = Window.partitionBy("src", "rec_id").orderBy("line_no")
@@ -202,7 +188,6 @@ def _misread_lines(lines: DataFrame, forms: DataFrame) -> DataFrame:
     words = rows.select("src", "rec_id", "line_no", F.inline(F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), lambda w, before: F.struct(w.alias("word"), before.alias("before")))))
     return words.where(F.col("word").isNotNull()).join(forms, "word").select("src", "rec_id", "line_no", "word", "skeleton", "right", "n_rivals", "before").distinct()
 
-
 def _broken_misreads(lines: DataFrame, forms: DataFrame) -> DataFrame:
     """Misread words that are broken over two lines: (src, rec_id, line_no) of the part that holds the wrong glyph."""
     rows = _next_lines(lines)
@@ -216,14 +201,12 @@ def _broken_misreads(lines: DataFrame, forms: DataFrame) -> DataFrame:
     hit = F.filter(F.array(F.when(first, F.col("line_no")), F.when(second, F.col("line_no") + 1)), lambda x: x.isNotNull())
     return rows.select("src", "rec_id", F.explode(hit).alias("line_no"))
 
-
 def _frequent_shapes(counts: DataFrame, least: int = 5) -> DataFrame:
     """(shape, word): skeletons with one form of letters that is frequent in clean text."""
     forms = counts.where(~F.col("word").contains("-") & ~F.col("word").rlike(r"\p{N}") & (F.col("n_clean") >= least) & (F.length("word") >= 5))
     shapes = forms.groupBy(skeleton(F.col("word")).alias("shape")).agg(F.max(F.struct("n_clean", "word")).alias("_best"), F.count("*").alias("_forms"))
     return shapes.where(F.col("_forms") == 1).select("shape", F.col("_best.word").alias("word"))
 
-
 def scan_defects(texts: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, defect) of the scanned texts among (src, rec_id, book, page, last_page, ocr, text); page and
     last_page, the pages over which a text runs, are equal for a page and may be null. Defects: hyphen_break, misread, running_head, page_number."""
@@ -234,7 +217,6 @@ def scan_defects(texts: DataFrame) -> DataFrame:
     breaks = _hyphen_breaks(lines, counts).withColumn("defect", F.lit("hyphen_break"))
     return misread.unionByName(breaks).unionByName(_edges(lines)).distinct()
 
-
 def repaired(texts: DataFrame) -> DataFrame:
     """(src, rec_id, paragraph_no, paragraph): the scanned texts as continuous paragraphs."""
     counts = cut(word_counts(texts))

@@ -53,3 +53,37 @@ def test_edited_copies_are_aligned_however_common(spark):
     assert set(got) == {d for d, _ in docs if d < 200}
     assert got[100] == align(edited, item.split()) and got[100][1] == 5
     assert {r.doc_id for r in leaks(df, it, "doc_id", "item_id", "text", run=12).collect() if r.longest_run >= 12} == set(range(30))
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with a share of their words replaced at random: those that keep a run of five words are found, whatever their number."""
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(20)]
+    docs, want = [], set()
+    for d in range(600):
+        i, text = items[d % 20]
+        rate = (0.05, 0.1, 0.15, 0.2)[d % 4]
+        edited = ["x" + w if rng.random() < rate else w for w in text.split()]
+        docs.append((d, " ".join(rng.choice(words) for _ in range(30)) + " " + " ".join(edited)))
+        want.add((d, i))
+    docs += [(1000 + k, " ".join(w if p % 8 else "y" for p, w in enumerate(items[0][1].split()))) for k in range(40)]  # every eighth word
+    want |= {(1000 + k, 0) for k in range(40)}
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(df, it, "doc_id", "item_id", "text").collect()}
+    found = {p for p in want if got.get(p, 0) >= 0.4}
+    assert len(found) / len(want) >= 0.99
+
+
+def test_align_many_equals_align():
+    import numpy as np
+
+    from docloom.llm.leaks import align_many, gram_hashes
+
+    rng = random.Random(9)
+    lists = [([rng.choice("abcdef") for _ in range(rng.randint(0, 90))], [rng.choice("abcdef") for _ in range(rng.randint(0, 30))]) for _ in range(60)]
+    code = lambda ws: np.array([ord(w) for w in ws], dtype=np.int32)
+    score, longest = align_many([(code(d), code(i)) for d, i in lists])
+    assert [(float(s), int(r)) for s, r in zip(score, longest)] == [align(d, i) for d, i in lists]
+    a, b, c = gram_hashes(["one two three four five six", "x one two three four five", None], 5)
+    assert len(a) == 2 and len(b) == 2 and len(c) == 0 and a[0] == b[1] and a[1] not in b
