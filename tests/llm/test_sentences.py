@@ -53,3 +53,20 @@ def test_rows(spark):
     assert sorted(map(tuple, sentence_rows(df, ["rec"], "text").collect())) == [(1, 4), (1, 9)]
     assert sorted((r.rec, r.sentence_no, r.sentence) for r in sentence_units(df, ["rec"], "text").collect()) == [(1, 0, "A b."), (1, 1, "C d.")]
     assert sentence_rows(df.limit(0), ["rec"], "text").count() == 0
+
+
+def test_long_quotations_and_properties():
+    lines = "\n".join(f"Line {i} of what was said. And more of it." for i in range(30))
+    text = f"He wrote “{lines}” and left. The end."
+    assert [text[:e][-5:] for e in sentence_ends(text)] == ["left.", " end."]
+    assert len(sentence_ends(f"He wrote “{lines} and left")) == 60  # a mark that nothing closes quotes nothing
+    for mark in "؞܀។︒﹖𑁇":
+        assert sentence_ends(f"ab{mark} cd{mark}") == [3, 7], mark
+    assert sentence_ends("x" * 10_000 + ". Dr. Y came.") == [10_001, 10_013]
+
+
+def test_abbreviations_hold_in_the_languages_of_the_text():
+    german, english = "Der Wert ist max. Siehe die Tabelle und das Blatt.", "The value is at its max. See the table and the sheet."
+    assert len(sentence_ends(german)) == 1 and len(sentence_ends(english)) == 2
+    assert len(sentence_ends("Das ist z. B. Öl und nicht Wasser.")) == 1
+    assert len(sentence_ends("See annex B. The valve is shut.")) == 2 and len(sentence_ends("It is by J. Smith and not by me.")) == 1

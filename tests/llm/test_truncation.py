@@ -27,3 +27,22 @@ def test_baselines(spark):
     rates = {r.source: (r.n_texts, r.n_truncated) for r in truncation_rates(df, "doc_id", "source", "text").collect()}
     assert rates["limited"] == (9, 8) and rates["thai"] == (7, 1) and rates[None] == (1, 1) and rates["plain"] == (22, 0)
     assert truncation(df.limit(0), "doc_id", "source", "text").count() == 0
+
+
+def test_several_limits_of_one_source(spark):
+    text = lambda i, size: (f"word{i:02d} text goes on and " * 60)[:size]
+    rows = [(i, "a", f"Text number {chr(97 + i % 26)} stands {'here ' * (i % 20)}now.") for i in range(200)]
+    rows += [(1000 + i, "a", text(i, 200) if text(i, 200)[-1] != " " else text(i, 199) + "x") for i in range(6)] + [(1100 + i, "a", text(i, 320)) for i in range(5)]
+    # At a limit a number before the last full stop is a cut number; elsewhere it is none.
+    number = lambda size: ("a text goes on and " * 60)[: size - 4].rstrip().ljust(size - 4, "x") + " 12."
+    rows += [(2000, "a", number(200)), (2001, "a", number(320)), (2002, "a", "The pump gives 12.")]
+    got = {r.doc_id for r in truncation(spark.createDataFrame(rows, "doc_id long, source string, text string"), "doc_id", "source", "text").where("truncated").collect()}
+    assert got == {1000 + i for i in range(6)} | {1100 + i for i in range(5)} | {2000, 2001}
+
+
+def test_whole_texts_are_read():
+    long = "word " * 400
+    assert signs_of(f'He said "{long}and')["broken"] == "quote" and signs_of(f"normal (cf. {long}A")["broken"] == "bracket"
+    assert signs_of(f"see <a title='{long}")["broken"] == "markup"
+    assert signs_of("A text stands here.\n\n- " + "item of a long list " * 20 + "end")["structured"]
+    assert signs_of("An open (bracket\n\nin an earlier paragraph. The end.")["broken"] == ""
