@@ -12,9 +12,11 @@ known with a hyphen of its own.
 Repair: heads and numbers are dropped, misread words replaced, broken words joined, and lines reflowed into
 paragraphs with SQL windows over the lines of a text.
 
-Scale: counts are partial sums before the shuffle; words are joined to the misread forms by the word, broadcast by adaptive
-execution when small and split when skewed (a frequent word is never misread, so no form of the right side is hot). Windows run
-over the lines of one page or chunk. Nothing is collected.
+Scale: words are cut by three narrow passes in Arrow batches: one over all texts for the word counts, one over the scanned texts
+for everything that the rules look at, one over the clean texts for the contexts. Counts are summed up within each batch, before
+the shuffle. Of the words of scanned texts only those go on that are among the misread forms; these are broadcast after their bytes
+have been measured, and joined with a shuffle beyond the bound (a frequent word is never misread, so no form is hot). Texts themselves are shuffled only
+where exact copies of a row were found. Nothing is collected.
 
 Cases: null and empty texts have no lines; a text that was not scanned isn't touched; repeated rows count once; a book of one page has no
 repeated edges and its heads are found by their page number only.
@@ -22,12 +24,20 @@ repeated edges and its heads are found by their page number only.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.session import broadcast_checked, cut
 
+from .sentences import _BEYOND, having
+
 # Glyphs that scanning confuses: single ones, then groups, in this order.
 SINGLE_GLYPHS = ("j1059e8f|!$", "ilosgcbtlls")
 GROUPED_GLYPHS = (("m", "rn"), ("w", "vv"), ("h", "li"), ("u", "ii"), ("d", "cl"))
@@ -48,31 +58,74 @@ def skeleton(word: Column) -> Column:
         out = F.replace(out, F.lit(one), F.lit(pair))
     return out
 
-def scan_lines(texts: DataFrame) -> DataFrame:
-    """Lines of (src, rec_id, book, page, last_page, text) with their number, and the numbers of the first and the last lines
-    with content."""
-    rows = texts.where(F.col("text").isNotNull()).select("src", "rec_id", "book", "page", "last_page", "text").distinct()
-    lines = F.split("text", "\n")
-    filled = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) != "", i)), lambda i: i.isNotNull())
-    rows = rows.select("src", "rec_id", "book", "page", "last_page", F.array_min(filled).alias("first_no"), F.array_max(filled).alias("last_no"), F.get(filled, F.size(filled) - 2).alias("before_last_no"), lines.alias("_lines"))
-    return rows.select("src", "rec_id", "book", "page", "last_page", "first_no", "last_no", "before_last_no", F.posexplode("_lines").alias("line_no", "line"))
+def skeleton_of(word: str) -> str:
+    """`skeleton` of a Python string."""
+    out = word.lower().translate(_SINGLE)
+    for one, pair in GROUPED_GLYPHS:
+        out = out.replace(one, pair)
+    return out
+
+
+_SINGLE = str.maketrans(*SINGLE_GLYPHS)
+_LETTER = regex.compile(r"\p{L}")
+_COMPOUNDS = regex.compile(r"[\p{L}\p{M}]++(?:-[\p{L}\p{M}]++)+")
+_LINE_HYPHEN = re.compile(rf"[{HYPHENS}][^\S\n]*\n")
+_HYPHEN_SET = frozenset(HYPHENS)
+_LAST_PART = regex.compile(rf"([\p{{L}}\p{{M}}]+(?:[-‐‑][\p{{L}}\p{{M}}]+)*)([{HYPHENS}])\s*$")
+_FIRST_PART = regex.compile(r"\s*([\p{L}\p{M}]+(?:[-‐‑][\p{L}\p{M}]+)*)")
+_LAST_WORD = regex.compile(rf"({_WORD})[{HYPHENS}]\s*$")
+_FIRST_WORD = regex.compile(rf"\s*({_WORD})")
+
+
+def _word_patterns(marks: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Words, words with hyphens between, and words broken over lines. The underscore, which this class holds, must have been replaced."""
+    word = rf"[\w{marks}]"
+    return re.compile(f"{word}+"), re.compile(f"{word}++(?:-{word}++)*+"), re.compile(rf"{word}++[{HYPHENS}][^\S\n]*\n\s*{word}*")
+
+
+_ALL_MARKS = having(r"\p{M}")
+_NEAR_PATTERNS, _ALL_PATTERNS = _word_patterns("".join(c for c in _ALL_MARKS if c < "\U00010000")), _word_patterns(_ALL_MARKS)
 
-def _next_lines(lines: DataFrame) -> DataFrame:
-    order = Window.partitionBy("src", "rec_id").orderBy("line_no")
-    return lines.withColumn("next_line", F.lead("line").over(order))
 
-_LAST_PART = rf"([\p{{L}}\p{{M}}]+(?:[-‐‑][\p{{L}}\p{{M}}]+)*)[{HYPHENS}]\s*$"
-_FIRST_PART = r"^\s*([\p{L}\p{M}]+(?:[-‐‑][\p{L}\p{M}]+)*)"
+def _patterns(text: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    return _NEAR_PATTERNS if text.isascii() or not _BEYOND.search(text) else _ALL_PATTERNS
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """The distinct rows of (src, rec_id, ..., text) that have a text. Rows are compared by a hash of all columns; only those whose hash occurs more
+    than once are shuffled."""
+    rows = texts.where(F.col("text").isNotNull())
+    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
+    several = broadcast_checked(cut(hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")))
+    return hashed.join(several, "_hash", "left_anti").select(*rows.columns).unionByName(hashed.join(several, "_hash", "left_semi").select(*rows.columns).distinct())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs: tuple[Counter, Counter] = (Counter(), Counter())
+        for scanned, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            _, hyphened, broken = _patterns(text)
+            body = text.replace("_", " ")
+            body = broken.sub(" ", body) if _LINE_HYPHEN.search(body) else body
+            runs[bool(scanned)].update(hyphened.findall(body.lower().replace("‐", "-").replace("‑", "-")))
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for own, found in zip(counts, runs):
+            for run, n in found.items():
+                if "-" in run:
+                    for word in (*run.split("-"), *_COMPOUNDS.findall(run)):
+                        own[word] += n
+                else:
+                    own[run] += n
+        words = [w for w in counts[0].keys() | counts[1].keys() if _LETTER.search(w)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "n_clean", "n_scan"])
+
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n_clean, n_scan): how often each form occurs in all texts (src, rec_id, ocr, text), words broken over lines left out.
+    """(word, n_clean, n_scan): how often each form occurs in distinct texts (ocr, text), words broken over lines left out.
     Compounds with a hyphen count as a form of their own, beside their parts."""
-    rows = texts.where(F.col("text").isNotNull()).select("src", "rec_id", "ocr", "text").distinct()
-    body = F.regexp_replace("text", rf"[\p{{L}}\p{{M}}\p{{N}}]+[{HYPHENS}][^\S\n]*\n\s*[\p{{L}}\p{{M}}\p{{N}}]*", " ")
-    words = F.concat(F.regexp_extract_all(body, F.lit(_WORD), F.lit(0)), F.regexp_extract_all(body, F.lit(r"[\p{L}\p{M}]+(?:[-‐‑][\p{L}\p{M}]+)+"), F.lit(0)))
-    exploded = rows.select(F.coalesce("ocr", F.lit(False)).alias("ocr"), F.explode(words).alias("word"))
-    exploded = exploded.select("ocr", F.lower(F.regexp_replace("word", "[‐‑]", "-")).alias("word")).where(F.col("word").rlike(r"\p{L}"))
-    return exploded.groupBy("word").agg(F.count_if(~F.col("ocr")).alias("n_clean"), F.count_if("ocr").alias("n_scan"))
+    partial = texts.select("ocr", "text").mapInArrow(_counted, "word string, n_clean long, n_scan long")
+    return partial.groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+
 
 def misread_forms(counts: DataFrame) -> DataFrame:
     """(word, skeleton, right, n_rivals): the misread forms, the most frequent form of each one's group, and how many forms of the
@@ -93,26 +146,149 @@ def _in_use() -> Column:
     """A form that clean text uses more than once."""
     return ~F.col("word").rlike(r"\p{N}") & (F.col("n_clean") > 1)
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            words = _patterns(text)[0].findall(text.lower().replace("_", " "))
+            counts.update(zip(["", *words], words))
+        before, form = zip(*counts) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(before, pa.string()), pa.array(form, pa.string()), pa.array(counts.values(), pa.int64())], names=["before", "form", "n"])
+
+
 def with_context(misread: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
     """Misread words (.., word, skeleton, right, n_rivals, before) with `right` chosen by context where several forms of the group are in use:
     the form that follows the same word most often in clean text, else the most frequent. Only pairs with such forms are counted."""
     used = counts.where(~F.col("word").contains("-") & (F.length("word") >= 2) & _in_use()).withColumn("skeleton", skeleton(F.col("word")))
     rivals = used.join(used.groupBy("skeleton").agg(F.count("*").alias("_n")).where("_n > 1"), "skeleton").select("skeleton", F.col("word").alias("form"), F.col("n_clean").alias("n_form"))
     rivals = broadcast_checked(cut(rivals))
-    words = F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.lower)
-    clean = texts.where(~F.coalesce("ocr", F.lit(False)) & F.col("text").isNotNull()).select("src", "rec_id", "text").distinct().select(words.alias("_w"))
-    pairs = clean.select(F.inline(F.zip_with("_w", F.concat(F.array(F.lit("")), "_w"), lambda w, before: F.struct(w.alias("form"), before.alias("before"))))).where(F.col("form").isNotNull())
-    pairs = pairs.join(rivals.select("form"), "form", "left_semi").groupBy("before", "form").agg(F.count("*").alias("n_pair"))
+    clean = texts.where(~F.coalesce("ocr", F.lit(False))).select("text").mapInArrow(_pairs, "before string, form string, n long")
+    pairs = clean.join(rivals.select("form"), "form", "left_semi").groupBy("before", "form").agg(F.sum("n").alias("n_pair"))
     several = misread.where("n_rivals > 1").join(rivals, "skeleton").join(pairs, ["before", "form"], "left")
     keys = [c for c in misread.columns if c != "right"]
     chosen = several.groupBy(*keys).agg(F.max(F.struct(F.coalesce("n_pair", F.lit(0)).alias("n_pair"), "n_form", "form")).alias("_best")).select(*keys, F.col("_best.form").alias("right"))
     return misread.where("n_rivals <= 1").unionByName(chosen)
 
-def _hyphen_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
+#: What the rules look at, one row each: kind, line, two words, and the flags of a kind.
+MARKS = "src string, rec_id string, kind string, line_no int, word string, before string, book string, page int, last_page int, flags int"
+#: Flags of a hyphen: it stands on the last line, it can't be a word's own. Flags of an edge: number, numbered, titled, capitals.
+IS_LAST, SOFT = 1, 2
+IS_NUMBER, NUMBERED, TITLED, CAPITALS = 1, 2, 4, 8
+
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+_FIGURES = str.maketrans("lios", "1105")
+_NUMBER_LINE = regex.compile(r"(?:page|p\.|seite|página|стр\.)?\s*[-–—\[(~·.]*\s*([0-9lios]+|[ivxlcdm]+)\s*[-–—\])~·]*(?:\s*(?:of|/|von|de)\s*[0-9]+)?")
+_BEFORE, _AFTER = regex.compile(r"(?i)([0-9]+|[ivxlcdm]+)\s{2,}\S"), regex.compile(r"(?i)\S\s{2,}([0-9]+|[ivxlcdm]+)$")
+_APART = regex.compile(r"(?i)(?:^(?:[0-9]+|[ivxlcdm]+)\s{2,}|\s{2,}(?:[0-9]+|[ivxlcdm]+)\s*$)")
+_SMALL = r"(?:of|the|and|for|in|on|to|a|an|with|de|la|le|les|des|du|et|der|die|das|und|von|y|el|los|las)"
+_TITLE = regex.compile(rf"(?:[^\p{{Ll}}\s]\S*|{_SMALL})(?:\s+(?:[^\p{{Ll}}\s]\S*|{_SMALL}))*")
+_TITLE_END, _THREE = regex.compile(r"[.!?:;,]$"), regex.compile(r"\p{L}{3}")
+_LOWER, _FOUR_CAPITALS, _CODE = regex.compile(r"\p{Ll}"), regex.compile(r"\p{Lu}{4}"), regex.compile(r"\p{L}-?\p{N}")
+_STRUCTURE, _NO_LETTER, _DIGITS = regex.compile(r"#|\[|\||[-*•]\s"), regex.compile(r"[^\p{L}]"), regex.compile(r"\p{N}+")
+
+
+def number_of(text: str) -> int | None:
+    """The number that a page's number in figures or Roman numerals shows, confusable glyphs read as figures; none for another text."""
+    if regex.fullmatch("[0-9lios]+", text) and regex.search("[0-9]", text):
+        return int(text.translate(_FIGURES)[-18:])  # no page has a number of so many figures
+    if not text or not regex.fullmatch("[ivxlcdm]+", text):
+        return None
+    total = last = 0
+    for value in map(_ROMAN.__getitem__, text):
+        total += value - (2 * last if last < value else 0)
+        last = value
+    return total
+
+
+def _edge(line: str, page: int, last_page: int) -> tuple[str, int] | None:
+    """The mask of a line that may be a head or a number, and its flags; none for a line that can't."""
+    bare = " ".join(line.split())
+    shown = _NUMBER_LINE.fullmatch(bare.lower().replace("|", "l").replace("!", "l"))
+    own = lambda n: n is not None and page <= n <= last_page
+    if shown and own(number_of(shown.group(1))):
+        return "", IS_NUMBER
+    if _STRUCTURE.match(bare):
+        return None
+    line = line.strip(" ")
+    title = _APART.sub("", line).strip(" ")
+    if len(_NO_LETTER.sub("", title)) < 3:
+        return None
+    flags = 0
+    number = _BEFORE.match(line) or _AFTER.search(line)
+    if number and own(number_of(number.group(1).lower())):
+        flags |= NUMBERED
+    if _TITLE.fullmatch(title) and not _TITLE_END.search(title) and _THREE.search(title):
+        flags |= TITLED
+        if not _LOWER.search(title) and _FOUR_CAPITALS.search(title) and not _CODE.search(title):
+            flags |= CAPITALS
+    if page != last_page and not flags & TITLED:
+        return None
+    return skeleton_of(" ".join(_DIGITS.sub("#", title).split())), flags
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at: list[int] = []
+        kind: list[str] = []
+        line_no: list[int] = []
+        word: list[str] = []
+        before: list[str] = []
+        flags: list[int] = []
+
+        def add(row: int, k: str, n: int, w: str, b: str, f: int) -> None:
+            at.append(row), kind.append(k), line_no.append(n), word.append(w), before.append(b), flags.append(f)  # noqa: B018
+
+        for row, (page, last_page, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "last_page", "text")))):
+            lines = text.split("\n")
+            if page is not None and page == last_page:
+                add(row, "page", -1, "", "", 0)
+            find = _patterns(text)[0].findall
+            broken = False
+            for n, line in enumerate(lines):
+                hyphen = line.rstrip()[-1:] in _HYPHEN_SET
+                tail = _LAST_WORD.search(line) if hyphen else None
+                first = _FIRST_WORD.match(line) if broken else None
+                words = find((line[: tail.start()] if tail else line)[first.end() if first else 0 :].lower().replace("_", " "))
+                at.extend([row] * len(words)), kind.extend(["word"] * len(words)), line_no.extend([n] * len(words)), flags.extend([0] * len(words))  # noqa: B018
+                word.extend(words), before.extend(["", *words[:-1]] if words else [])  # noqa: B018
+                broken = tail is not None
+                if not hyphen:
+                    continue
+                following = lines[n + 1] if n + 1 < len(lines) else None
+                left = _LAST_PART.search(line)
+                right = _FIRST_PART.match(following) if following is not None else None
+                if left and (right or following is None):
+                    add(row, "hyphen", n, left.group(1).lower(), right.group(1).lower() if right else "", (following is None) * IS_LAST | (left.group(2) in "¬­") * SOFT)
+                rest = _FIRST_WORD.match(following) if following is not None else None
+                if tail and rest:
+                    add(row, "broken", n, tail.group(1).lower(), rest.group(1).lower(), 0)
+            if page is not None and last_page is not None:
+                filled = [n for n, line in enumerate(lines) if line.strip()]
+                for n in sorted({*filled[:1], *filled[-2:]}) if page == last_page else filled:
+                    found = _edge(lines[n], page, last_page)
+                    if found:
+                        add(row, "edge", n, found[0], "", found[1])
+        rows = pa.array(at, pa.int32())
+        taken = {c: batch.column(c).take(rows) for c in ("src", "rec_id", "book", "page", "last_page")}
+        own = {"kind": pa.array(kind, pa.string()), "line_no": pa.array(line_no, pa.int32()), "word": pa.array(word, pa.string()), "before": pa.array(before, pa.string()), "flags": pa.array(flags, pa.int32())}
+        names = [c.split()[0] for c in MARKS.split(", ")]
+        yield pa.RecordBatch.from_arrays([(taken | own)[c] for c in names], names=names)
+
+
+def scan_marks(scanned: DataFrame, forms: DataFrame) -> DataFrame:
+    """What the rules look at in the scanned texts: words among the misread `forms`, hyphens at the ends of lines, words broken over lines, lines that
+    may be heads or numbers, pages."""
+    columns = ["src", "rec_id", "book", F.col("page").cast("int").alias("page"), F.col("last_page").cast("int").alias("last_page"), "text"]
+    marks = scanned.select(*columns).mapInArrow(_marked, MARKS)
+    wrong = forms.select(F.col("word").alias("_form"), F.lit("word").alias("_kind"), "skeleton", "right", "n_rivals")
+    joined = marks.join(broadcast_checked(wrong), (F.col("word") == F.col("_form")) & (F.col("kind") == F.col("_kind")), "left")
+    return joined.where((F.col("kind") != "word") | F.col("_form").isNotNull()).drop("_form", "_kind")
+
+
+def _hyphen_breaks(marks: DataFrame, counts: DataFrame) -> DataFrame:
     """(src, rec_id, line_no) of lines that end inside a word without a hyphen of its own."""
-    rows = _next_lines(lines)
-    rows = rows.select("src", "rec_id", "line_no", F.lower(F.regexp_extract("line", _LAST_PART, 1)).alias("left"), F.lower(F.regexp_extract("next_line", _FIRST_PART, 1)).alias("right"), F.regexp_extract("line", rf"([{HYPHENS}])\s*$", 1).alias("mark"), F.col("next_line").isNull().alias("is_last"))
-    rows = rows.where((F.col("left") != "") & ((F.col("right") != "") | F.col("is_last")))
+    has = lambda flag: F.col("flags").bitwiseAND(F.lit(flag)) > 0
+    rows = marks.where("kind = 'hyphen'").select("src", "rec_id", "line_no", F.col("word").alias("left"), F.col("before").alias("right"), has(SOFT).alias("soft"), has(IS_LAST).alias("is_last"))
     rows = rows.withColumn("joined", F.concat("left", "right")).withColumn("hyphened", F.concat_ws("-", "left", "right"))
     # The joined word may itself be misread: it is looked up by its skeleton too.
     known = counts.withColumn("n", F.col("n_clean") + F.col("n_scan")).select("word", "n")
@@ -128,105 +304,78 @@ def _hyphen_breaks(lines: DataFrame, counts: DataFrame) -> DataFrame:
     own = (
         F.when(count("n_hyphened") > count("n_joined"), True)
         .when(count("n_joined") > 0, False)
-        .when(F.col("mark").isin("¬", "­"), False)
+        .when(F.col("soft"), False)
         .when(F.col("is_last"), (count("n_head") > 0) & (count("n_left") > 0))
         .otherwise((count("n_left") > 0) & (count("n_right") > 0) & (F.length("left") > 2) & (F.length("right") > 3))
     )
     return rows.where(~own).select("src", "rec_id", "line_no")
 
-def _number_of(text: Column) -> Column:
-    """The number that a page's number in figures or Roman numerals shows, confusable glyphs read as figures; null for another text."""
-    figures = F.translate(text, "lios", "1105")
-    values = F.map_from_arrays(F.array(*(F.lit(c) for c in "ivxlcdm")), F.array(*(F.lit(v) for v in (1, 5, 10, 50, 100, 500, 1000))))
-    each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.try_element_at(values, c))
-    roman = F.aggregate(each, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda acc, v: F.struct((acc["sum"] + v - F.when(acc["last"] < v, 2 * acc["last"]).otherwise(0)).alias("sum"), v.alias("last")))["sum"]
-    return F.when(text.rlike("^[0-9lios]{1,7}$") & text.rlike("[0-9]"), figures.try_cast("int")).when(text.rlike("^[ivxlcdm]{1,15}$"), roman)
-
-def _edges(lines: DataFrame) -> DataFrame:
+def _edges(marks: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, defect) of running heads and page numbers."""
-    bare = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
+    has = lambda flag: F.col("flags").bitwiseAND(F.lit(flag)) > 0
+    rows = marks.where("kind = 'edge'").withColumn("mask", F.col("word"))
+    rows = rows.withColumns({"is_number": has(IS_NUMBER), "numbered": has(NUMBERED), "titled": has(TITLED), "capitals": has(CAPITALS)})
     is_page = F.col("page") == F.col("last_page")
-    at_edge = (F.col("line_no") == F.col("first_no")) | (F.col("line_no") == F.col("last_no")) | (F.col("line_no") == F.col("before_last_no"))
-    # A head or a number is short: longer lines between the pages of a text aren't looked at.
-    rows = lines.withColumn("bare", bare).where((F.col("bare") != "") & F.col("page").isNotNull() & F.when(is_page, at_edge).otherwise(F.length("bare") <= 120))
-    number = F.regexp_extract(F.translate(F.lower("bare"), "|!", "ll"), r"^(?:page|p\.|seite|página|стр\.)?\s*[-–—\[(~·.]*\s*([0-9lios]+|[ivxlcdm]+)\s*[-–—\])~·]*(?:\s*(?:of|/|von|de)\s*[0-9]+)?$", 1)
-    own = lambda n: n.between(F.col("page"), F.col("last_page"))
-    rows = rows.withColumn("is_number", F.coalesce(own(_number_of(number)), F.lit(False)))
-
-    apart = r"(?i)(?:^(?:[0-9]+|[ivxlcdm]+)\s{2,}|\s{2,}(?:[0-9]+|[ivxlcdm]+)\s*$)"
-    title = F.trim(F.regexp_replace(F.trim("line"), apart, ""))
-    before = F.regexp_extract(F.trim("line"), r"(?i)^([0-9]+|[ivxlcdm]+)\s{2,}\S", 1)
-    after = F.regexp_extract(F.trim("line"), r"(?i)\S\s{2,}([0-9]+|[ivxlcdm]+)$", 1)
-    shown = F.lower(F.when(before != "", before).otherwise(after))
-    rows = rows.withColumn("title", title).withColumn("numbered", F.coalesce(own(_number_of(shown)), F.lit(False)))
-    rows = rows.withColumn("mask", skeleton(F.regexp_replace(F.regexp_replace("title", r"\p{N}+", "#"), r"(?U)\s+", " ")))
-    small = r"(?:of|the|and|for|in|on|to|a|an|with|de|la|le|les|des|du|et|der|die|das|und|von|y|el|los|las)"
-    structure = F.col("bare").rlike(r"^(?:#|\[|\||[-*•]\s)")
-    titled = F.col("title").rlike(rf"(?U)^(?:[^\p{{Ll}}\s]\S*|{small})(?:\s+(?:[^\p{{Ll}}\s]\S*|{small}))*$") & ~F.col("title").rlike(r"[.!?:;,]$") & F.col("title").rlike(r"\p{L}{3}")
-    capitals = titled & ~F.col("title").rlike(r"\p{Ll}") & F.col("title").rlike(r"\p{Lu}{4}") & ~F.col("title").rlike(r"\p{L}-?\p{N}")
-    rows = rows.where(F.col("is_number") | ~structure & (F.length(F.regexp_replace("title", r"[^\p{L}]", "")) >= 3))
-    rows = rows.select("src", "rec_id", "line_no", "book", "page", "last_page", "is_number", "numbered", "mask", titled.alias("titled"), capitals.alias("capitals"))
-
     candidates = rows.where(~F.col("is_number"))
     on_pages = candidates.where(is_page).groupBy("book", "mask").agg(F.count_distinct("page").alias("on_pages"))
-    in_book = lines.where(is_page).groupBy("book").agg(F.count_distinct("page").alias("in_book"))
-    heads = candidates.where(is_page | F.col("titled")).join(on_pages, ["book", "mask"], "left").join(in_book, "book", "left")
+    in_book = marks.where("kind = 'page'").groupBy("book").agg(F.count_distinct("page").alias("in_book"))
+    heads = candidates.join(on_pages, ["book", "mask"], "left").join(in_book, "book", "left")
     pages = F.coalesce("on_pages", F.lit(0))
     repeated = pages >= F.greatest(F.lit(LINE_PAGES), F.ceil(LINE_SHARE * F.col("in_book")))
     is_head = F.col("titled") & (F.col("numbered") | F.col("capitals") | (pages >= TITLE_PAGES)) | F.col("numbered") & (pages >= TITLE_PAGES) | F.coalesce(repeated, F.lit(False))
     numbers = rows.where("is_number").select("src", "rec_id", "line_no", F.lit("page_number").alias("defect"))
     return numbers.unionByName(heads.where(is_head).select("src", "rec_id", "line_no", F.lit("running_head").alias("defect")))
 
-def _misread_lines(lines: DataFrame, forms: DataFrame) -> DataFrame:
+def _misread_words(marks: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, word, skeleton, right, n_rivals, before) of misread words; parts of words broken over lines are left out."""
-    order = Window.partitionBy("src", "rec_id").orderBy("line_no")
-    body = F.regexp_replace("line", rf"[\p{{L}}\p{{M}}\p{{N}}]+[{HYPHENS}]\s*$", "")
-    broken = F.lag(F.col("line").rlike(rf"[\p{{L}}\p{{M}}\p{{N}}][{HYPHENS}]\s*$"), 1, False).over(order)
-    rows = lines.withColumn("_broken", broken).withColumn("_body", body)
-    rows = rows.withColumn("_body", F.when(F.col("_broken"), F.regexp_replace("_body", r"^\s*[\p{L}\p{M}\p{N}]+", "")).otherwise(F.col("_body")))
-    rows = rows.withColumn("_words", F.transform(F.regexp_extract_all("_body", F.lit(_WORD), F.lit(0)), F.lower))
-    words = rows.select("src", "rec_id", "line_no", F.inline(F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), lambda w, before: F.struct(w.alias("word"), before.alias("before")))))
-    return words.where(F.col("word").isNotNull()).join(forms, "word").select("src", "rec_id", "line_no", "word", "skeleton", "right", "n_rivals", "before").distinct()
-
-def _broken_misreads(lines: DataFrame, forms: DataFrame) -> DataFrame:
+    return marks.where("kind = 'word'").select("src", "rec_id", "line_no", "word", "skeleton", "right", "n_rivals", "before")
+
+
+def _broken_misreads(marks: DataFrame, shapes: DataFrame) -> DataFrame:
     """Misread words that are broken over two lines: (src, rec_id, line_no) of the part that holds the wrong glyph."""
-    rows = _next_lines(lines)
-    left = F.lower(F.regexp_extract("line", rf"([\p{{L}}\p{{M}}\p{{N}}]+)[{HYPHENS}]\s*$", 1))
-    right = F.lower(F.regexp_extract("next_line", r"^\s*([\p{L}\p{M}\p{N}]+)", 1))
-    rows = rows.select("src", "rec_id", "line_no", left.alias("left"), right.alias("rest")).where((F.col("left") != "") & (F.col("rest") != ""))
+    rows = marks.where("kind = 'broken'").select("src", "rec_id", "line_no", F.col("word").alias("left"), F.col("before").alias("rest"))
     rows = rows.withColumn("shape", skeleton(F.concat("left", "rest")))
-    rows = rows.join(forms, "shape").where(F.concat("left", "rest") != F.col("word"))
+    rows = rows.join(shapes, "shape").where(F.concat("left", "rest") != F.col("word"))
     first = ~F.startswith("word", "left")
     second = ~F.endswith("word", "rest")
     hit = F.filter(F.array(F.when(first, F.col("line_no")), F.when(second, F.col("line_no") + 1)), lambda x: x.isNotNull())
     return rows.select("src", "rec_id", F.explode(hit).alias("line_no"))
 
+
 def _frequent_shapes(counts: DataFrame, least: int = 5) -> DataFrame:
     """(shape, word): skeletons with one form of letters that is frequent in clean text."""
     forms = counts.where(~F.col("word").contains("-") & ~F.col("word").rlike(r"\p{N}") & (F.col("n_clean") >= least) & (F.length("word") >= 5))
     shapes = forms.groupBy(skeleton(F.col("word")).alias("shape")).agg(F.max(F.struct("n_clean", "word")).alias("_best"), F.count("*").alias("_forms"))
     return shapes.where(F.col("_forms") == 1).select("shape", F.col("_best.word").alias("word"))
 
+def _read(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The distinct texts, the scanned ones of these, the word counts and the marks."""
+    once = distinct_texts(texts.select("src", "rec_id", "book", "page", "last_page", "ocr", "text"))
+    scanned = once.where(F.coalesce("ocr", F.lit(False)))
+    counts = cut(word_counts(once))
+    return once, scanned, counts, cut(scan_marks(scanned, cut(misread_forms(counts))))
+
+
 def scan_defects(texts: DataFrame) -> DataFrame:
     """(src, rec_id, line_no, defect) of the scanned texts among (src, rec_id, book, page, last_page, ocr, text); page and
     last_page, the pages over which a text runs, are equal for a page and may be null. Defects: hyphen_break, misread, running_head, page_number."""
-    counts = cut(word_counts(texts))
-    lines = scan_lines(texts.where(F.coalesce("ocr", F.lit(False))))
-    misread = with_context(_misread_lines(lines, misread_forms(counts)), counts, texts).where("word <> right").select("src", "rec_id", "line_no")
-    misread = misread.unionByName(_broken_misreads(lines, _frequent_shapes(counts))).withColumn("defect", F.lit("misread"))
-    breaks = _hyphen_breaks(lines, counts).withColumn("defect", F.lit("hyphen_break"))
-    return misread.unionByName(breaks).unionByName(_edges(lines)).distinct()
+    once, _, counts, marks = _read(texts)
+    misread = with_context(_misread_words(marks), counts, once).where("word <> right").select("src", "rec_id", "line_no")
+    misread = misread.unionByName(_broken_misreads(marks, _frequent_shapes(counts))).withColumn("defect", F.lit("misread"))
+    breaks = _hyphen_breaks(marks, counts).withColumn("defect", F.lit("hyphen_break"))
+    return misread.unionByName(breaks).unionByName(_edges(marks)).distinct()
+
 
 def repaired(texts: DataFrame) -> DataFrame:
     """(src, rec_id, paragraph_no, paragraph): the scanned texts as continuous paragraphs."""
-    counts = cut(word_counts(texts))
-    lines = scan_lines(texts.where(F.coalesce("ocr", F.lit(False))))
+    once, scanned, counts, marks = _read(texts)
     key = ["src", "rec_id", "line_no"]
-    dropped = _edges(lines).select(*key).distinct()
-    breaks = _hyphen_breaks(lines, counts).distinct().withColumn("_join", F.lit(True))
+    dropped = _edges(marks).select(*key).distinct()
+    breaks = _hyphen_breaks(marks, counts).distinct().withColumn("_join", F.lit(True))
     # A word that is misread twice in a line gets one form.
-    fixes = with_context(_misread_lines(lines, misread_forms(counts)), counts, texts).groupBy(*key, "word").agg(F.min("right").alias("right")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("_fixes"))
-    rows = lines.select("src", "rec_id", "line_no", "line").join(dropped, key, "left_anti").join(breaks, key, "left").join(fixes, key, "left")
+    fixes = with_context(_misread_words(marks), counts, once).groupBy(*key, "word").agg(F.min("right").alias("right")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("_fixes"))
+    lines = scanned.select("src", "rec_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = lines.join(dropped, key, "left_anti").join(breaks, key, "left").join(fixes, key, "left")
 
     parts = F.regexp_extract_all("line", F.lit(rf"{_WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
     cased = lambda word, right: F.when(word == F.upper(word), F.upper(right)).when(F.substring(word, 1, 1) == F.upper(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, 2, 1 << 20))).otherwise(right)

@@ -73,16 +73,16 @@ MONTHS = "januar februar märz april mai juni juli august september oktober nove
 _EVERY = "".join(map(chr, range(0x20000)))
 
 
-def _having(properties: str) -> str:
+def having(properties: str) -> str:
     """The characters with Unicode properties, in order."""
     return "".join(regex.findall(f"(?V1)[{properties}]", _EVERY))
 
 
 #: Terminators (property STerm), full stops (property ATerm), and the marks that close after them: of the property Close those that are final
 #: or closing punctuation, the straight ones, and the high one that closes in German.
-STERM = _having(r"\p{Sentence_Break=STerm}")
-ATERM = _having(r"\p{Sentence_Break=ATerm}")
-CLOSE = _having(r"\p{Sentence_Break=Close}&&[\p{Pe}\p{Pf}]") + "\"'“"
+STERM = having(r"\p{Sentence_Break=STerm}")
+ATERM = having(r"\p{Sentence_Break=ATerm}")
+CLOSE = having(r"\p{Sentence_Break=Close}&&[\p{Pe}\p{Pf}]") + "\"'“"
 
 _by_language = {lang: {kind: frozenset(words.split()) for kind, words in kinds.items()} for lang, kinds in ABBREVIATIONS.items()}
 _anywhere = {kind: frozenset().union(*(kinds[kind] for kinds in _by_language.values())) for kind in ("title", "number", "open")}
