@@ -12,7 +12,7 @@ from docloom.session import read
 from .leaks import leaks
 from .pairs import pair_defects
 from .pieces import pieces
-from .repeated_lines import repeated_lines, without_repeated_lines
+from .repeated_lines import line_report, repeated_lines, without_repeated_lines
 from .scans import repaired, scan_defects
 from .sentences import sentence_rows, sentence_units
 from .tokens import encode_corpus
@@ -90,6 +90,11 @@ def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_lines(read(spark, sf_dir, "page"), "book_id", "page_number", "full_content")
 
 
+def p6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that stand in many different texts of one source, on several days: copies of a text, whenever they were fetched, count once."""
+    return line_report(read(spark, sf_dir, "documents"), "source", "doc_id", "text", over="clusters", date="fetched_at", min_docs=3, min_share=0.005, min_dates=2)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode_corpus(read(spark, sf_dir, "documents"), "doc_id", "text")
@@ -118,5 +123,5 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_rates, p2_found, p2_pieces, p4_found, p4_sentences, p5_found, p5_text, p6_found, p6_pages, p7_ids, p8_found, p8_alignments, p9_found, p9_rates)
+    for f in (p1_found, p1_rates, p2_found, p2_pieces, p4_found, p4_sentences, p5_found, p5_text, p6_found, p6_pages, p6_documents, p7_ids, p8_found, p8_alignments, p9_found, p9_rates)
 }

@@ -1,6 +1,6 @@
 import random
 
-from docloom.llm.repeated_lines import repeated_line_keys, repeated_lines, without_repeated_lines
+from docloom.llm.repeated_lines import line_report, repeated_lines, without_repeated_lines
 
 SCHEMA = "book string, page int, text string, line_no string"
 
@@ -36,9 +36,12 @@ def test_against_brute_force(spark):
     assert repeated_lines(df.limit(0), "book", "page", "text").count() == 0
 
 
-def test_republished_articles_count_once_per_date(spark):
-    rows = [("s", i, "the same article\nwith a line", "2024-01-01") for i in range(9)] + [("s", 20 + i, f"other {chr(97 + i)}\nshare this page", f"2024-02-0{i + 1}") for i in range(6)]
-    df = spark.createDataFrame(rows, "source string, doc int, text string, day string")
-    keys = {r._key for r in repeated_line_keys(df, "source", "doc", "text", date="day").collect()}
-    assert keys == {"sharethispage"}
-    assert "thesamearticle" in {r._key for r in repeated_line_keys(df, "source", "doc", "text").collect()}
+def test_republished_articles_are_one_cluster(spark):
+    rows = [("s", i, "the same article\nwith a line", f"2024-01-{i + 1:02d}", 1) for i in range(20)] + [("s", 20 + i, f"other {chr(97 + i)}\nshare this page", f"2024-02-0{i + 1}", 1) for i in range(6)]
+    rows += [("s", 40 + i, f"another {chr(97 + i)}\nall on one day", "2024-03-01", 1) for i in range(6)] + [("s", 60, "null date\nshare this page", None, 1), rows[0], ("t", 1, None, "2024-01-01", 1), (None, 2, "share this page", "2024-01-01", 1)]
+    df = spark.createDataFrame(rows, "source string, doc int, text string, day string, line int")
+    found = {(r.line): (r.n, r.n_dates, r.total) for r in line_report(df, "source", "doc", "text", over="clusters", date="day").collect()}
+    assert found == {"sharethispage": (7, 6, 14)}
+    every = {r.line: r.n for r in line_report(df, "source", "doc", "text").collect()}
+    assert every == {"sharethispage": 7, "allononeday": 6, "thesamearticle": 20, "withaline": 20}
+    assert line_report(df.limit(0), "source", "doc", "text", over="clusters", date="day").count() == 0
