@@ -2,7 +2,8 @@
 
 Balanced targets: the least number of pieces that can hold a text is computed, targets of equal distance are set, and each
 is moved to the strongest boundary near it: an empty line, the end of a table row or line, of a sentence, of a clause, of a
-word. Where a limit fails (no place within reach, or only one inside a word), one more piece is tried. Every
+word. Where there is none near the target, the nearest place in the whole stretch that the limit allows is taken. While a limit
+fails (no place at all, or a cut inside a word although another number of pieces may avoid it), one more piece is tried. Every
 piece but the first begins `overlap` characters before the end of the one before, exactly.
 
 Lengths and positions count characters of the stored text; outer white space belongs to no piece. Null, empty and blank
@@ -27,8 +28,6 @@ from .sentences import sentence_ends
 LIMIT, OVERLAP = 1500, 150
 #: How far a target may move, as a share of the distance between targets.
 REACH = 0.4
-#: So many more pieces than necessary are tried for better boundaries.
-EXTRA = 2
 
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _LINE = re.compile(r"\n")
@@ -67,12 +66,13 @@ def _whole_characters(text: str, at: int, low: int) -> int:
 
 
 def _attempt(text: str, begin: int, end: int, n: int, limit: int, overlap: int, kinds: list[tuple[int, list[int]]]) -> tuple[int, list[int]] | None:
-    """The ends of n pieces and the weakest boundary among them; none if they don't hold the text."""
+    """The ends of n pieces and how many cuts inside a word another number of pieces may avoid; none if they don't hold the text."""
     fresh = (end - begin - overlap) / n
-    ends, weakest = [], PARAGRAPH
+    ends, avoidable = [], 0
     for i in range(1, n):
         start = begin if not ends else ends[-1] - overlap
-        low = max(end - (n - i) * (limit - overlap), (ends[-1] if ends else begin + overlap) + 1)
+        first = (ends[-1] if ends else begin + overlap) + 1
+        low = max(end - (n - i) * (limit - overlap), first)
         high = min(start + limit, end - 1)
         if low > high:
             return None
@@ -80,15 +80,17 @@ def _attempt(text: str, begin: int, end: int, n: int, limit: int, overlap: int,
         near_low, near_high = max(low, math.ceil(target - REACH * fresh)), min(high, math.floor(target + REACH * fresh))
         if near_low > near_high:
             near_low, near_high = low, high
-        for strength, places in kinds:
-            place = _nearest(places, near_low, near_high, target)
-            if place is not None:
-                break
-        else:
-            strength, place = NONE, _whole_characters(text, int(min(max(target, near_low), near_high)), low)
+        found = (_nearest(places, near_low, near_high, target) for _, places in kinds)
+        place = next((p for p in found if p is not None), None)
+        if place is None:
+            anywhere = [p for _, places in kinds if (p := _nearest(places, low, high, target)) is not None]
+            place = min(anywhere, key=lambda p: abs(p - target), default=None)
+        if place is None:
+            place = _whole_characters(text, int(min(max(target, low), high)), low)
+            # With more pieces the stretch begins earlier: if there is a boundary there, this cut can be avoided.
+            avoidable += any(_nearest(places, first, low, target) is not None for _, places in kinds)
         ends.append(place)
-        weakest = min(weakest, strength)
-    return weakest, [*ends, end]
+    return avoidable, [*ends, end]
 
 
 def piece_bounds(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -105,15 +107,16 @@ def piece_bounds(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -
     kinds = _boundaries(text)
     least = max(2, math.ceil((len(body) - overlap) / (limit - overlap)))
     best: tuple[int, list[int]] | None = None
-    for n in range(least, least + EXTRA + 1):
+    # With twice the pieces every stretch reaches back to the cut before it: then no cut can be avoided by one more.
+    for n in range(least, 2 * least + 3):
         tried = _attempt(text, begin, end, n, limit, overlap, kinds)
-        if tried and (best is None or min(tried[0], SENTENCE) > min(best[0], SENTENCE)):
+        if tried and (best is None or tried[0] < best[0]):
             best = tried
-        if best and best[0] >= CLAUSE:
+        if best and not best[0]:
             break
     if best is None:  # no number of balanced pieces holds: cut at the limit
         ends = list(range(begin + limit, end, limit - overlap))
-        best = (NONE, [*ends, end])
+        best = (0, [*ends, end])
     starts = [begin] + [e - overlap for e in best[1][:-1]]
     return list(zip(starts, best[1]))
 
@@ -123,17 +126,16 @@ def pieces(df: DataFrame, key: str, text: str, carry: list[str] | None = None, l
     bounds = _bounds_udf(limit, overlap, whole)
     rows = df if whole else df.where(F.length(text) > limit)  # in the scan, before any Python
     rows = rows.select(key, F.col(text).alias("_text"), *(carry or [])).distinct()
-    cut = rows.withColumn("_bounds", bounds(F.col("_text"))).select(key, "_text", *(carry or []), F.posexplode("_bounds").alias("piece_no", "_b"))
-    piece = F.substring(F.col("_text"), F.col("_b.begin_pos") + 1, F.col("_b.end_pos") - F.col("_b.begin_pos"))
-    return cut.select(key, "piece_no", "_b.begin_pos", "_b.end_pos", piece.alias("piece"), *(carry or []))
+    cut = rows.withColumn("_bounds", bounds(F.col("_text"))).select(key, *(carry or []), F.posexplode("_bounds").alias("piece_no", "_b"))
+    return cut.select(key, "piece_no", "_b.begin_pos", "_b.end_pos", "_b.piece", *(carry or []))
 
 
 def _bounds_udf(limit: int, overlap: int, whole: bool):
-    kind = T.ArrayType(T.StructType([T.StructField("begin_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]))
+    kind = T.ArrayType(T.StructType([T.StructField("begin_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()), T.StructField("piece", T.StringType())]))
 
     @F.pandas_udf(kind)
     def bounds(texts: pd.Series) -> pd.Series:
-        found = texts.map(lambda t: piece_bounds(t, limit, overlap))
-        return found.map(lambda own: [{"begin_pos": b, "end_pos": e} for b, e in own] if whole or len(own) > 1 else [])
+        found = [(t, piece_bounds(t, limit, overlap)) for t in texts]
+        return pd.Series([[{"begin_pos": b, "end_pos": e, "piece": t[b:e]} for b, e in own] if whole or len(own) > 1 else [] for t, own in found], dtype="object")
 
     return bounds.asNondeterministic()  # for the planner only, which else filters on the bounds and computes them again

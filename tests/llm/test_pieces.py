@@ -44,3 +44,12 @@ def test_rows(spark):
     assert {r.chunk_id for r in got} == {"a"} and [r.piece for r in got] == [big[r.begin_pos : r.end_pos] for r in got] and all(r.section_path == ["s"] for r in got)
     assert {r.chunk_id for r in pieces(df, "chunk_id", "content", whole=True).collect()} == {"a", "b", "e"}
     assert pieces(df.limit(0), "chunk_id", "content").count() == 0
+
+
+def test_pieces_are_added_until_no_word_is_cut():
+    run = "z" * 1300
+    text = " ".join([run] * 9)  # the least number of pieces would cut inside the runs
+    bounds = check(text)
+    assert all(text[e] == " " for _, e in bounds[:-1]) and len(bounds) > -(-(len(text) - 150) // 1350)
+    forced = check("z" * 5000 + " " + "y" * 10)  # a run longer than the limit can't be kept whole
+    assert forced[-1][1] == 5011
