@@ -47,7 +47,7 @@ def test_rows(spark):
 
 
 def test_pieces_are_added_until_no_word_is_cut():
-    run = "z" * 1300
+    run = "z" * 1000
     text = " ".join([run] * 9)  # the least number of pieces would cut inside the runs
     bounds = check(text)
     assert all(text[e] == " " for _, e in bounds[:-1]) and len(bounds) > -(-(len(text) - 150) // 1350)
