@@ -1,18 +1,21 @@
 """Quantities recorded in different units (problem 3).
 
-A record's unit is looked for where it may be recorded, from the nearest place on: after the number, in the unit column, in
-the parameter's brackets, in the header of the column that holds the value. Spellings are resolved by a table built from units,
-prefixes and names. A spelling in the wrong case may stand for several units (`mw`: megawatt or milliwatt). Which of them holds
-follows from an identity: records of one book and subject measure the same quantity, so their logarithms are equal. Of each
-record the unit that gives the least log residual against the records whose unit is certain is chosen. Where none is certain, or where two units
-fit alike, the more usual one is taken and the record is flagged as not unique.
+Units are chosen by physical identities, of all that a record's text may mean the one with the least log residual:
 
-`solve_units` does the same for an identity among columns, such as mass = density x volume: of each source it chooses the
-combination of units of all columns with the least log residuals over its rows.
+* Records of one book and subject measure the same quantity, so their logarithms in a common unit are equal (`quantities`). What a record may mean
+  is looked for where a unit may be recorded, from the nearest place on: after the number, in the unit column, in the parameter's
+  brackets, in the header of the column that holds the value. A spelling may stand for several units (`mw`: megawatt or milliwatt), and what is
+  spelled as a unit exactly may still be another in the wrong case (`mW` for MW), which must then fit ten times better. Each
+  reading's residual is its distance from the median of the subject's records that have one reading or an exact spelling.
+* The value and unit read from a page and the number and unit that the page says are one quantity (`identities`): for each book and pair of spellings
+  the combination of units with the least residuals over its rows.
+* Any identity among columns, such as mass = density x volume (`solve_units`): of each source the combination of units of all columns.
 
-Scale: reading and resolving are one narrow pass with a broadcast of the table of spellings, which is fixed. The certain records of a
-subject are reduced to one median by an aggregation with partial buffers. Pairs are found by an equi join on bands of the
-logarithm a percent wide, never by comparing all records of a subject.
+Where two readings fit alike, the more usual unit is taken and the record or source is flagged as not unique.
+
+Scale: reading and looking up are one narrow pass; the table of spellings is fixed and broadcast, one join for each place, and a record goes on as a few
+numbers. The records of a subject are reduced to one median by an aggregation with partial buffers. Pairs are found by an equi join on bands of the
+logarithm a percent wide, never by comparing all records of a subject; a band that is full is split by adaptive execution.
 
 Cases: null or empty values, words for none (`tbd`, `n/a`) and texts without a number have status `no_number`; a number without
 a unit anywhere has status `unknown`, as does a unit that the table doesn't hold; repeated rows come out once; other columns are ignored.
@@ -74,8 +77,11 @@ NUMBER = (
     rf"^{_SPACE}*([-−–+]?){_SPACE}*([0-9]{{1,3}}(?:[,    '’][0-9]{{3}})+(?![0-9])|[0-9]+)([.,][0-9]+)?"
     rf"(?:[eE]([-−+]?[0-9]+)|{_SPACE}*[x×·*]{_SPACE}*10{_SPACE}*\^?{_SPACE}*([-−+]?[0-9]+))?{_SPACE}*(.*)$"
 )
-#: The width of a band of the logarithm: two values that differ by a percent of the larger are in the same band or the next.
-BAND = -math.log(0.99)
+#: By how much (in decades) a reading in another letter case must fit better than the exact one.
+INEXACT = 1.0
+#: Residuals that differ by less than this fit alike.
+ALIKE = 0.01
+_NONE = 99.0
 
 
 def spelling_rows() -> list[tuple[str, str, str, str, float, float, int]]:
@@ -101,14 +107,27 @@ def spelling_rows() -> list[tuple[str, str, str, str, float, float, int]]:
     return list(rows.values())
 
 
-def spellings(spark: SparkSession) -> DataFrame:
-    """One row per key: the units it may stand for, each with the spellings that stand for it as they are."""
-    by_key: dict[str, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
+def units() -> list[tuple[str, str, float, float, int]]:
+    """(unit, dimension, factor, offset, rank) of every unit; its place in this list is its number."""
+    return sorted({(unit, dimension, factor, offset, rank) for _, _, unit, dimension, factor, offset, rank in spelling_rows()})
+
+
+def attribute(number: Column, name: str) -> Column:
+    """An attribute (unit, dimension, factor, offset, rank) of the unit with a number."""
+    place = ("unit", "dimension", "factor", "offset", "rank").index(name)
+    return F.get(F.array(*(F.lit(row[place]) for row in units())), number)
+
+
+def spellings(spark: SparkSession, dimensions: set[str] | None = None) -> DataFrame:
+    """One row per spelling in any letter case: the numbers of the units (of some dimensions) it may stand for, each with the spellings that stand for it
+    exactly."""
+    number = {row: i for i, row in enumerate(units())}
+    by_key: dict[str, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
     for key, spelling, unit, dimension, factor, offset, rank in spelling_rows():
-        by_key[key][(rank, unit, dimension, factor, offset)].add(spelling)
-    data = [(k, [(*unit, sorted(own)) for unit, own in sorted(units.items())]) for k, units in by_key.items()]
-    kind = "unit_key string, candidates array<struct<rank:int,unit:string,dimension:string,factor:double,offset:double,spellings:array<string>>>"
-    return spark.createDataFrame(data, kind).coalesce(1)
+        if dimensions is None or dimension in dimensions:
+            by_key[key][number[unit, dimension, factor, offset, rank]].add(spelling)
+    data = [(k, [(i, sorted(own)) for i, own in sorted(found.items())]) for k, found in by_key.items()]
+    return spark.createDataFrame(data, "unit_key string, candidates array<struct<id:int,spellings:array<string>>>").coalesce(1)
 
 
 def clean_unit(text: Column) -> Column:
@@ -118,130 +137,194 @@ def clean_unit(text: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """struct(number, rest) of a text that begins with a number; number is null for others."""
-    part = lambda g: F.regexp_extract(text, NUMBER, g)
+    """struct(number, rest) of a text that begins with a number; null for others. The text is matched once; its parts are put
+    side by side and taken from there."""
+    parts = F.split(F.regexp_replace(F.translate(text, "\x01", " "), NUMBER, "$1\x01$2\x01$3\x01$4$5\x01$6"), "\x01")
     minus = lambda c: F.regexp_replace(c, "[−–]", "-")
-    whole = F.regexp_replace(part(2), "[^0-9]", "")
-    exponent = F.concat(part(4), part(5))
-    literal = F.concat(minus(part(1)), whole, F.regexp_replace(part(3), ",", "."), F.when(exponent != "", F.concat(F.lit("e"), minus(exponent))).otherwise(""))
-    return F.struct(F.when(whole != "", literal.try_cast("double")).alias("number"), F.when(whole != "", clean_unit(part(6))).alias("rest"))
+
+    def read(p: Column) -> Column:
+        part = lambda i: F.get(p, i)
+        exponent = F.when(part(3) != "", F.concat(F.lit("e"), minus(part(3)))).otherwise("")
+        literal = F.concat(minus(part(0)), F.regexp_replace(part(1), "[^0-9]", ""), F.replace(part(2), F.lit(","), F.lit(".")), exponent)
+        return F.when(F.size(p) == 5, F.struct(literal.try_cast("double").alias("number"), clean_unit(part(4)).alias("rest")))
+
+    read_once = F.get(F.transform(F.array(parts), read), 0)
+    return F.struct(read_once["number"].alias("number"), read_once["rest"].alias("rest"))
 
 
 def spec_records(spec: DataFrame) -> DataFrame:
-    """(src, rec_id, book_id, subject, number, places): specs, what the page says before what was read from it."""
+    """(src, rec_id, book_id, subject, number, place_0, place_1): specs, what the page says before what was read from it."""
     after = F.when(F.startswith(F.lower("raw"), F.lower("subject")), F.substr("raw", F.length("subject") + 1)).otherwise(F.col("raw"))
     said = F.regexp_replace(after, rf"^{_SPACE}*(?:of|at|is|was|are|were|:|=){_SPACE}*", "")
     rows = spec.select("spec_id", "book_id", "subject", "unit", "value", parse_number(said).alias("_raw"))
-    places = F.array(F.col("_raw.rest"), clean_unit(F.col("unit")))
     return rows.select(
         F.lit("spec").alias("src"), F.col("spec_id").alias("rec_id"), "book_id", F.lower(F.trim("subject")).alias("subject"),
-        F.coalesce("_raw.number", F.when(~F.isnan("value"), F.col("value"))).alias("number"), places.alias("places"),
+        F.coalesce("_raw.number", F.when(~F.isnan("value"), F.col("value"))).alias("number"), F.col("_raw.rest").alias("place_0"), clean_unit(F.col("unit")).alias("place_1"),
     )
 
 
 _BRACKET = r"^(.*?)[\s ]*(?:[\(\[][\s]*(?:in[\s]+)?([^\(\)\[\]]+?)[\s]*[\)\]]|,[\s]*(?:in[\s]+)?([^,]+))[\s]*$"
 
 
-def table_records(table: DataFrame) -> DataFrame:
-    """(src, rec_id, book_id, subject, base, number, places): rows of tables. The value is that of the value column, else of
-    the first column of the row that is neither the parameter nor a unit and holds a number. `subject` still carries a bracket, `base` doesn't."""
-    cells = F.map_entries(F.from_json("row_data", "map<string,string>"))
-    named = F.filter(cells, lambda e: e["value"].isNotNull() & (e["value"] != F.coalesce(F.col("parameter"), F.lit(""))) & ~F.lower(e["key"]).rlike(r"^\s*(?:units?|uom|measure)\s*$"))
+def table_records(table: DataFrame, known: list[str]) -> DataFrame:
+    """(src, rec_id, book_id, subject, base, number, place_0 to place_4): rows of tables. The value is that of the value column, else of
+    the first column of the row that is neither the parameter nor a unit and holds a number. The row's other cells are read only where the value or
+    a `known` unit is still missing after the first two places. `subject` still carries a bracket, which is place_3, `base` doesn't."""
+    is_unit = lambda e: F.lower(e["key"]).rlike(r"^\s*(?:units?|uom|measure)\s*$")
+    cells = table.select("id", "book_id", "parameter", clean_unit(F.col("unit")).alias("_unit"), "row_data", parse_number(F.col("value")).alias("_value"))
+    is_known = lambda c: F.coalesce(F.lower(c).isin(known), F.lit(False))
+    complete = F.col("_value.number").isNotNull() & (is_known("_value.rest") | is_known("_unit"))
+    cells = cells.withColumn("_cells", F.when(~complete, F.map_entries(F.from_json("row_data", "map<string,string>"))))
+    named = F.filter("_cells", lambda e: e["value"].isNotNull() & (e["value"] != F.coalesce(F.col("parameter"), F.lit(""))) & ~is_unit(e))
     parsed = F.transform(named, lambda e: F.struct(e["key"].alias("header"), parse_number(e["value"]).alias("cell")))
     cell = F.get(F.filter(parsed, lambda e: e["cell"]["number"].isNotNull()), 0)
-    unit_cell = F.get(F.filter(cells, lambda e: F.lower(e["key"]).rlike(r"^\s*(?:units?|uom|measure)\s*$") & (F.trim(e["value"]) != "")), 0)
-    rows = table.select("id", "book_id", "parameter", "unit", parse_number(F.col("value")).alias("_value"), cell.alias("_cell"), unit_cell.alias("_unit_cell"))
+    unit_cell = F.get(F.filter("_cells", lambda e: is_unit(e) & (F.trim(e["value"]) != "")), 0)
+    bracket = F.concat(F.regexp_extract("parameter", _BRACKET, 2), F.regexp_extract("parameter", _BRACKET, 3))
+    rows = cells.select("id", "book_id", "parameter", "_unit", "_value", cell.alias("_cell"), unit_cell.alias("_unit_cell"), bracket.alias("_bracket"))
     header = F.regexp_extract("_cell.header", r"(?i)(?:[\(\[]\s*(?:in\s+)?([^\(\)\[\]]+?)\s*[\)\]]|\bin\s+(\S.*?))\s*$", 1)
     header_in = F.regexp_extract("_cell.header", r"(?i)\bin\s+([^\(\)\[\]]+?)\s*$", 1)
-    bracket = F.concat(F.regexp_extract("parameter", _BRACKET, 2), F.regexp_extract("parameter", _BRACKET, 3))
     own = F.col("_value.number").isNotNull()
-    places = F.array(
-        F.when(own, F.col("_value.rest")).otherwise(F.col("_cell.cell.rest")), clean_unit(F.col("unit")), clean_unit(F.col("_unit_cell.value")), clean_unit(bracket), clean_unit(F.concat(header, F.when(header == "", header_in).otherwise("")))
-    )
     return rows.select(
         F.lit("table_row").alias("src"), F.col("id").alias("rec_id"), "book_id", F.lower(F.trim("parameter")).alias("subject"),
-        F.lower(F.trim(F.when(bracket != "", F.regexp_extract("parameter", _BRACKET, 1)).otherwise(F.col("parameter")))).alias("base"), clean_unit(bracket).alias("bracket"),
-        F.coalesce("_value.number", "_cell.cell.number").alias("number"), places.alias("places"),
+        F.lower(F.trim(F.when(F.col("_bracket") != "", F.regexp_extract("parameter", _BRACKET, 1)).otherwise(F.col("parameter")))).alias("base"),
+        F.coalesce("_value.number", "_cell.cell.number").alias("number"), F.when(own, F.col("_value.rest")).otherwise(F.col("_cell.cell.rest")).alias("place_0"),
+        F.col("_unit").alias("place_1"), clean_unit(F.col("_unit_cell.value")).alias("place_2"), clean_unit(F.col("_bracket")).alias("place_3"),
+        clean_unit(F.concat(header, F.when(header == "", header_in).otherwise(""))).alias("place_4"),
     )
 
 
-def with_candidates(records: DataFrame, table: DataFrame) -> DataFrame:
-    """Records with `candidates`: the units that the nearest place which holds a known unit may stand for. A spelling that is one
-    unit's as it stands is that unit's alone."""
-    numbered = records.select("*", F.posexplode_outer(F.filter("places", lambda p: p.isNotNull())).alias("_place", "_text"))
-    known = numbered.join(F.broadcast(table), F.lower("_text") == F.col("unit_key"), "left")
-    exact = F.filter("candidates", lambda c: F.array_contains(c["spellings"], F.col("_text")))
-    known = known.withColumn("candidates", F.when(F.size(exact) > 0, exact).otherwise(F.col("candidates")))
-    best = F.min_by("candidates", F.when(F.col("candidates").isNotNull(), F.col("_place")))
-    keys = ["src", "rec_id", "book_id", "subject", "number"]
-    return known.groupBy(*keys).agg(best.alias("candidates"))
+def _readings(records: DataFrame, table: DataFrame, places: list[str]) -> DataFrame:
+    """Records with, for each place `p`, `p_readings`: the units (id, inexact) that its text may stand for; null for a text that is no unit. One join with the
+    broadcast table of spellings for each place."""
+    for place in places:
+        own = F.broadcast(table.select(F.col("unit_key").alias(f"_key_{place}"), F.col("candidates").alias(f"_all_{place}")))
+        records = records.join(own, F.lower(place) == F.col(f"_key_{place}"), "left")
+        reading = F.transform(f"_all_{place}", lambda c: F.struct(c["id"].alias("id"), (~F.array_contains(c["spellings"], F.col(place))).alias("inexact")))  # noqa: B023
+        records = records.withColumn(f"{place}_readings", reading).drop(f"_key_{place}", f"_all_{place}")
+    return records
 
 
-def resolve(records: DataFrame, unit_ref: DataFrame) -> DataFrame:
-    """(src, rec_id, book_id, subject, number, unit, dimension, common_unit, factor, converted, residual, status) of records with candidates.
-    Status: ok, not_unique (ok, but another unit fits alike or none of the subject's is certain), unknown, no_number."""
-    spark = records.sparkSession
-    common = spark.createDataFrame([(u, f, o) for _, s, u, _, f, o, _ in spelling_rows() if s == u], "common_unit string, common_factor double, common_offset double").dropDuplicates(["common_unit"])
-    ref = unit_ref.select("dimension", "common_unit").distinct().join(F.broadcast(common), "common_unit")
-    refs = F.broadcast(ref.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("dimension", F.struct("common_unit", "common_factor", "common_offset")))).alias("_refs")))
-    rows = records.join(refs)  # one row: the dimensions, of which there are a few by definition
-    in_common = lambda c: F.struct(
-        c["rank"].alias("rank"), c["unit"].alias("unit"), c["dimension"].alias("dimension"), (c["factor"] / F.element_at("_refs", c["dimension"])["common_factor"]).alias("factor"),
-        ((F.col("number") + c["offset"]) * c["factor"] / F.element_at("_refs", c["dimension"])["common_factor"] - F.element_at("_refs", c["dimension"])["common_offset"]).alias("converted"),
-        F.element_at("_refs", c["dimension"])["common_unit"].alias("common_unit"),
-    )
-    usable = F.filter("candidates", lambda c: F.map_contains_key("_refs", c["dimension"]))
-    rows = rows.withColumn("_all", F.when(F.col("number").isNotNull(), F.transform(usable, in_common))).drop("_refs", "candidates")
-    log = lambda v: F.when(v != 0, F.log10(F.abs(v)))
+def common_units(unit_ref: DataFrame) -> dict[str, tuple[str, float, float]]:
+    """The common unit of each dimension with its factor and offset: as many rows as there are dimensions with units here, a dozen."""
+    known = {unit: (dimension, factor, offset) for unit, dimension, factor, offset, _ in units()}
+    rows = unit_ref.where(F.col("dimension").isin({d for d, _, _ in known.values()}) & F.col("common_unit").isin(list(known))).groupBy("dimension").agg(F.min("common_unit").alias("u")).collect()
+    return {r.dimension: (r.u, *known[r.u][1:]) for r in rows}
+
 
-    certain = rows.where(F.size("_all") == 1).select("book_id", "subject", F.get("_all", 0)["dimension"].alias("dimension"), log(F.get("_all", 0)["converted"]).alias("_log"))
+def _log(value: Column) -> Column:
+    return F.when(value != 0, F.log10(F.abs(value)))
+
+
+def ranked_readings(readings: Column, residual, inexact=None) -> Column:
+    """Readings as struct(residual, rank, own), the best fit first: the core of every choice here. `residual` gives a reading's log residual, which may be
+    null; without one, the exact spelling and the more usual unit come first."""
+    score = lambda c: F.round(F.coalesce(residual(c), F.lit(_NONE)), 9) + (F.when(inexact(c), INEXACT).otherwise(0.0) if inexact else 0.0)
+    return F.array_sort(F.transform(readings, lambda c: F.struct(score(c).alias("residual"), c["rank"].alias("rank"), c.alias("own"))))
+
+
+def is_unique(best: Column, following: Column, alike: float = ALIKE) -> Column:
+    return following.isNull() | (following["residual"] - best["residual"] > alike)
+
+
+def resolve(records: DataFrame, common: dict[str, tuple[str, float, float]]) -> DataFrame:
+    """(src, rec_id, book_id, subject, number, unit, dimension, common_unit, factor, converted, residual, status) of records with readings.
+    Status: ok, not_unique (ok, but another unit fits alike or none of the subject's is certain), unknown, no_number."""
+    every = units()
+    ratio = F.array(*(F.lit(f / common[d][1] if d in common else None).cast("double") for _, d, f, _, _ in every))
+    shift = F.array(*(F.lit(common[d][2] if d in common else None).cast("double") for _, d, _, _, _ in every))
+    named = F.array(*(F.lit(common[d][0] if d in common else None).cast("string") for _, d, _, _, _ in every))
+    converted = lambda n: (F.col("number") + attribute(n, "offset")) * F.get(ratio, n) - F.get(shift, n)
+
+    rows = records.withColumn("_n", F.coalesce(F.when(F.col("number").isNotNull(), F.size("readings")), F.lit(0)))
+    exact = F.filter("readings", lambda c: ~c["inexact"])
+    sure = F.when(F.col("_n") == 1, F.get("readings", 0)["id"]).when((F.col("_n") > 1) & (F.size(exact) == 1), F.get(exact, 0)["id"])
+    # Only dimensions of which some spelling has several readings ask for medians.
+    asking = {every[c][1] for c in {i for found in _several().values() for i in found}}
+    certain = rows.select("book_id", "subject", "number", sure.alias("_id")).where(F.col("_id").isNotNull() & attribute(F.col("_id"), "dimension").isin(asking))
+    certain = certain.select("book_id", "subject", attribute(F.col("_id"), "dimension").alias("dimension"), _log(converted(F.col("_id"))).alias("_log"))
     anchors = certain.groupBy("book_id", "subject", "dimension").agg(F.percentile_approx("_log", 0.5, 10000).alias("_anchor"), F.count("*").alias("_n"))
     anchors = anchors.groupBy("book_id", "subject").agg(F.max_by(F.struct("dimension", "_anchor"), F.struct("_n", "dimension")).alias("_identity"))
-    several = F.size("_all") > 1
-    joined = rows.where(several).join(anchors, ["book_id", "subject"], "left")
-    plain = rows.where(~several | F.col("_all").isNull()).withColumn("_identity", F.lit(None).cast(dict(anchors.dtypes)["_identity"]))
-    rows = joined.unionByName(plain)
-    off = lambda c: F.when(c["dimension"] == F.col("_identity.dimension"), F.abs(log(c["converted"]) - F.col("_identity._anchor")))
-    scored = F.array_sort(F.transform("_all", lambda c: F.struct(F.coalesce(F.round(off(c), 9), F.lit(99.0)).alias("residual"), c["rank"].alias("rank"), c.alias("own"))))
-    rows = rows.withColumn("_scored", scored).withColumn("_best", F.get("_scored", 0)).withColumn("_next", F.get("_scored", 1))
-    unique = F.col("_next").isNull() | (F.col("_next.residual") - F.col("_best.residual") > 0.01)
-    status = F.when(F.col("number").isNull(), "no_number").when(F.col("_best").isNull(), "unknown").when(unique, "ok").otherwise("not_unique")
-    own = F.col("_best.own")
-    return rows.select(
-        "src", "rec_id", "book_id", "subject", "number", own["unit"].alias("unit"), own["dimension"].alias("dimension"), own["common_unit"].alias("common_unit"), own["factor"].alias("factor"),
-        own["converted"].alias("converted"), F.when(F.col("_best.residual") < 99, F.col("_best.residual")).alias("residual"), status.alias("status"),
+
+    several = rows.where("_n > 1").join(anchors, ["book_id", "subject"], "left")
+    options = F.transform("readings", lambda c: F.struct(c["inexact"].alias("inexact"), attribute(c["id"], "rank").alias("rank"), c["id"].alias("id")))
+    off = lambda c: F.when(attribute(c["id"], "dimension") == F.col("_identity.dimension"), F.abs(_log(converted(c["id"])) - F.col("_identity._anchor")))
+    several = several.withColumn("_scored", ranked_readings(options, off, lambda c: c["inexact"])).withColumn("_best", F.get("_scored", 0))
+    columns = ["src", "rec_id", "book_id", "subject", "number"]
+    penalty = F.when(F.col("_best.own.inexact"), INEXACT).otherwise(0.0)
+    several = several.select(*columns, F.col("_best.own.id").alias("_id"), (F.col("_best.residual") - penalty).alias("residual"), is_unique(F.col("_best"), F.get("_scored", 1)).alias("_unique"))
+    plain = rows.where("_n <= 1").select(*columns, F.when(F.col("_n") == 1, F.get("readings", 0)["id"]).alias("_id"), F.lit(None).cast("double").alias("residual"), F.lit(True).alias("_unique"))
+    status = F.when(F.col("number").isNull(), "no_number").when(F.col("_id").isNull(), "unknown").when(F.col("_unique"), "ok").otherwise("not_unique")
+    own = F.col("_id")
+    return several.unionByName(plain).select(
+        *columns, attribute(own, "unit").alias("unit"), attribute(own, "dimension").alias("dimension"), F.get(named, own).alias("common_unit"), F.get(ratio, own).alias("factor"),
+        converted(own).alias("converted"), F.when(F.col("residual") < _NONE, F.col("residual")).alias("residual"), status.alias("status"),
     )
 
 
+def _several() -> dict[str, set[int]]:
+    """The spellings that may stand for several units."""
+    number = {row: i for i, row in enumerate(units())}
+    found: dict[str, set[int]] = defaultdict(set)
+    for key, _, unit, dimension, factor, offset, rank in spelling_rows():
+        found[key].add(number[unit, dimension, factor, offset, rank])
+    return {k: ids for k, ids in found.items() if len(ids) > 1}
+
+
 def quantities(spec: DataFrame, table: DataFrame, unit_ref: DataFrame) -> DataFrame:
     """Every record of both tables as a number in the common unit of its dimension."""
-    units = spellings(spec.sparkSession)
-    rows = table_records(table.select("id", "book_id", "parameter", "value", "unit", "row_data").distinct())
+    common = common_units(unit_ref)
+    held = spellings(spec.sparkSession, set(common))
+    columns = ["src", "rec_id", "book_id", "subject", "number"]
+    places = [f"place_{i}" for i in range(5)]
+    rows = _readings(table_records(table, sorted({row[0] for row in spelling_rows() if row[3] in common})), held, places)
     # A bracket is part of the name unless it is a unit.
-    rows = rows.join(F.broadcast(units.select(F.col("unit_key").alias("_b"))), F.lower("bracket") == F.col("_b"), "left")
-    rows = rows.withColumn("subject", F.when(F.col("_b").isNotNull(), F.col("base")).otherwise(F.col("subject"))).drop("_b", "base", "bracket")
-    records = spec_records(spec.select("spec_id", "book_id", "subject", "unit", "value", "raw").distinct()).unionByName(rows)
-    return resolve(cut(with_candidates(records, units)), unit_ref)  # read for the certain units and for all records
+    rows = rows.withColumn("subject", F.when(F.col("place_3_readings").isNotNull(), F.col("base")).otherwise(F.col("subject")))
+    rows = rows.select(*columns, F.coalesce(*(f"{p}_readings" for p in places)).alias("readings"))
+    specs = _readings(spec_records(spec), held, places[:2]).select(*columns, F.coalesce(*(f"{p}_readings" for p in places[:2])).alias("readings"))
+    return resolve(cut(specs.unionByName(rows).distinct()), common)  # read for the certain units and for all records
+
+
+def identities(spec: DataFrame) -> DataFrame:
+    """(book_id, unit_text, raw_text, unit, raw_unit, n_rows, residual, runner_up, is_unique): for each book and pair of spellings, that of the unit column
+    and that of the page, the units under which the value read and the number on the page agree best."""
+    rows = spec.select("book_id", "value", clean_unit(F.col("unit")).alias("place_1"), "raw", "subject", "unit", "spec_id").distinct()
+    said = spec_records(rows).select("rec_id", F.col("number").alias("_said"), "place_0")
+    both = rows.select(F.col("spec_id").alias("rec_id"), "book_id", "value", "place_1").join(said, "rec_id").where("value is not null and value > 0 and _said > 0 and place_0 is not null and place_1 is not null")
+    read = _readings(both, spellings(spec.sparkSession), ["place_0", "place_1"]).where("place_0_readings is not null and place_1_readings is not null")
+    combos = F.flatten(F.transform("place_1_readings", lambda u: F.transform("place_0_readings", lambda r: F.struct(u["id"].alias("u"), r["id"].alias("r")))))
+    pairs = read.select("book_id", F.lower("place_1").alias("unit_text"), F.lower("place_0").alias("raw_text"), "value", "_said", F.explode(combos).alias("_c"))
+    u, r = F.col("_c.u"), F.col("_c.r")
+    coherent = lambda value, n: _log((F.col(value) + attribute(n, "offset")) * attribute(n, "factor"))
+    pairs = pairs.where(attribute(u, "dimension") == attribute(r, "dimension"))
+    off = F.abs(coherent("value", u) - coherent("_said", r))
+    means = pairs.groupBy("book_id", "unit_text", "raw_text", attribute(u, "unit").alias("unit"), attribute(r, "unit").alias("raw_unit"), (attribute(u, "rank") + attribute(r, "rank")).alias("rank")).agg(F.avg(off).alias("_mean"), F.count("*").alias("n_rows"))
+    grouped = means.groupBy("book_id", "unit_text", "raw_text").agg(F.collect_list(F.struct("_mean", "rank", "unit", "raw_unit", "n_rows")).alias("_o"))  # as many as combinations
+    ranked = grouped.withColumn("_s", ranked_readings(F.col("_o"), lambda c: c["_mean"]))
+    best, following = F.get("_s", 0), F.get("_s", 1)
+    return ranked.select("book_id", "unit_text", "raw_text", best["own"]["unit"].alias("unit"), best["own"]["raw_unit"].alias("raw_unit"), best["own"]["n_rows"].alias("n_rows"), best["residual"].alias("residual"), following["residual"].alias("runner_up"), is_unique(best, following).alias("is_unique"))
 
 
 def equal_in_other_units(converted: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """(rec_a, rec_b): records of one book and subject in different units whose converted values differ by at most
     `tolerance` of the larger. Units with the same factor are spellings of one unit."""
     band = -math.log(1 - tolerance)
-    rows = converted.where(F.col("converted").isNotNull() & F.col("unit").isNotNull() & F.col("book_id").isNotNull() & F.col("subject").isNotNull())
     value = F.col("converted")
-    rows = rows.select(
-        "rec_id", "book_id", "subject", "dimension", F.when(F.col("dimension") == "temperature", F.col("unit")).otherwise(F.format_string("%.9e", "factor")).alias("kind"), "converted",
-        F.signum(value).cast("int").alias("sign"), F.coalesce(F.floor(F.log(F.when(value != 0, F.abs(value))) / band), F.lit(0)).alias("band"),
-    ).distinct()
-    rows = cut(rows)  # both sides of the join
-    left = rows.select(*(F.col(c).alias(f"{c}_a" if c in ("rec_id", "kind", "converted") else c) for c in rows.columns))
-    left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    right = rows.select(*(F.col(c).alias(f"{c}_b" if c in ("rec_id", "kind", "converted") else c) for c in rows.columns))
-    pairs = left.join(right, ["book_id", "subject", "dimension", "sign", "band"]).where((F.col("rec_id_a") < F.col("rec_id_b")) & (F.col("kind_a") != F.col("kind_b")))
+    rows = converted.where(value.isNotNull() & F.col("unit").isNotNull() & F.col("book_id").isNotNull() & F.col("subject").isNotNull())
+    # The factor tells a unit from its spellings, but for temperatures, which differ by their zero.
+    kind = F.when(F.col("dimension") == "temperature", F.xxhash64("unit")).otherwise(F.xxhash64(F.round(F.log10("factor"), 9)))
+    # Book, subject, dimension and sign as two 64-bit hashes: keys of one size, whatever the names.
+    group = ("book_id", "subject", "dimension", F.signum(value).cast("int"))
+    place = F.coalesce(F.floor(F.log(F.when(value != 0, F.abs(value))) / band), F.lit(0))
+    rows = cut(rows.select("rec_id", F.xxhash64(*group).alias("key"), F.xxhash64(F.lit(1), *group).alias("key_2"), kind.alias("kind"), "converted", place.alias("band")).distinct())  # both sides of the join
+    names = ("rec_id", "kind", "converted")
+    left = rows.select("key", "key_2", *(F.col(c).alias(f"{c}_a") for c in names), F.col("band").alias("band_a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    right = rows.select("key", "key_2", "band", *(F.col(c).alias(f"{c}_b") for c in names))
+    pairs = left.join(right, ["key", "key_2", "band"])
+    # In one band each pair comes twice and is taken once; of two bands the lower one comes from the left.
+    pairs = pairs.where((F.col("kind_a") != F.col("kind_b")) & (F.col("rec_id_a") != F.col("rec_id_b")) & ((F.col("band_a") != F.col("band")) | (F.col("rec_id_a") < F.col("rec_id_b"))))
     larger = F.greatest(F.abs("converted_a"), F.abs("converted_b"))
     close = F.abs(F.col("converted_a") - F.col("converted_b")) <= tolerance * larger * (1 + 1e-9)
-    return pairs.where(close).select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b")).distinct()
+    return pairs.where(close).select(F.least("rec_id_a", "rec_id_b").alias("rec_a"), F.greatest("rec_id_a", "rec_id_b").alias("rec_b")).distinct()
 
 
 def solve_units(df: DataFrame, source: str, columns: dict[str, list[tuple[str, float]]], exponents: dict[str, int], tolerance: float = 0.01) -> DataFrame:
@@ -259,10 +342,10 @@ def solve_units(df: DataFrame, source: str, columns: dict[str, list[tuple[str, f
         combinations = [(shift + exponents[c] * math.log10(f), [*names, u]) for shift, names in combinations for u, f in units]
     shifts = sorted({round(shift, 12) for shift, _ in combinations})
     means = rows.groupBy("_source").agg(F.count("*").alias("n_rows"), F.array(*(F.avg(F.abs(F.col("_sum") + s)) for s in shifts)).alias("_means"))
-    options = F.array(*(F.struct(F.get("_means", shifts.index(round(shift, 12))).alias("residual"), F.lit(i).alias("order"), F.array(*map(F.lit, names)).alias("units")) for i, (shift, names) in enumerate(combinations)))
-    ranked = means.select("_source", "n_rows", F.array_sort(options).alias("_o"))
+    options = F.array(*(F.struct(F.get("_means", shifts.index(round(shift, 12))).alias("mean"), F.lit(i).alias("rank"), F.array(*map(F.lit, names)).alias("units")) for i, (shift, names) in enumerate(combinations)))
+    ranked = means.select("_source", "n_rows", ranked_readings(options, lambda c: c["mean"]).alias("_o"))
     best, second = F.get("_o", 0), F.get("_o", 1)
     return ranked.select(
-        F.col("_source").alias(source), *(F.get(best["units"], i).alias(f"unit_{c}") for i, c in enumerate(columns)), best["residual"].alias("residual"), second["residual"].alias("runner_up"), "n_rows",
-        (second.isNull() | (second["residual"] - best["residual"] > tolerance)).alias("is_unique"),
+        F.col("_source").alias(source), *(F.get(best["own"]["units"], i).alias(f"unit_{c}") for i, c in enumerate(columns)), best["residual"].alias("residual"), second["residual"].alias("runner_up"), "n_rows",
+        is_unique(best, second, tolerance).alias("is_unique"),
     )

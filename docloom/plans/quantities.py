@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.operators.units import equal_in_other_units, quantities
+from docloom.operators.units import equal_in_other_units, identities, quantities
 from docloom.session import read
 
 
@@ -18,5 +18,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return equal_in_other_units(quantities(read(spark, sf_dir, "spec"), read(spark, sf_dir, "table_row"), read(spark, sf_dir, "unit_ref")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_values)}
+def p3_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each book and pair of spellings the units under which values and pages agree."""
+    return identities(read(spark, sf_dir, "spec"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_values, p3_identities)}
 SQL: dict[str, str] = {}
