@@ -5,7 +5,7 @@ Units are chosen by physical identities, of all that a record's text may mean th
 * Records of one book and subject measure the same quantity, so their logarithms in a common unit are equal (`quantities`). What a record may mean
   is looked for where a unit may be recorded, from the nearest place on: after the number, in the unit column, in the parameter's
   brackets, in the header of the column that holds the value. A spelling may stand for several units (`mw`: megawatt or milliwatt), and what is
-  spelled as a unit exactly may still be another in the wrong case (`mW` for MW), which must then fit ten times better. Each
+  spelled as a unit exactly may still be another in the wrong case (`mW` for MW), which must then fit while the exact one is ten times off. Each
   reading's residual is its distance from the median of the subject's records that have one reading or an exact spelling.
 * The value and unit read from a page and the number and unit that the page says are one quantity (`identities`): for each book and pair of spellings
   the combination of units with the least residuals over its rows.
@@ -216,14 +216,19 @@ def _log(value: Column) -> Column:
 
 
 def ranked_readings(readings: Column, residual, inexact=None) -> Column:
-    """Readings as struct(residual, rank, own), the best fit first: the core of every choice here. `residual` gives a reading's log residual, which may be
-    null; without one, the exact spelling and the more usual unit come first."""
-    score = lambda c: F.round(F.coalesce(residual(c), F.lit(_NONE)), 9) + (F.when(inexact(c), INEXACT).otherwise(0.0) if inexact else 0.0)
-    return F.array_sort(F.transform(readings, lambda c: F.struct(score(c).alias("residual"), c["rank"].alias("rank"), c.alias("own"))))
+    """Readings as struct(score, rank, residual, own), the best fit first: the core of every choice here. `residual` gives a reading's log residual, which may
+    be null; without one, the exact spelling and the more usual unit come first. An inexact reading that doesn't fit stands behind all that are exact."""
+
+    def scored(c: Column) -> Column:
+        off = F.round(F.coalesce(residual(c), F.lit(_NONE)), 9)
+        behind = F.when(~inexact(c), 0.0).when(off <= INEXACT, INEXACT).otherwise(_NONE) if inexact else F.lit(0.0)
+        return F.struct((off + behind).alias("score"), c["rank"].alias("rank"), off.alias("residual"), c.alias("own"))
+
+    return F.array_sort(F.transform(readings, scored))
 
 
 def is_unique(best: Column, following: Column, alike: float = ALIKE) -> Column:
-    return following.isNull() | (following["residual"] - best["residual"] > alike)
+    return following.isNull() | (following["score"] - best["score"] > alike)
 
 
 def resolve(records: DataFrame, common: dict[str, tuple[str, float, float]]) -> DataFrame:
@@ -250,8 +255,7 @@ def resolve(records: DataFrame, common: dict[str, tuple[str, float, float]]) ->
     off = lambda c: F.when(attribute(c["id"], "dimension") == F.col("_identity.dimension"), F.abs(_log(converted(c["id"])) - F.col("_identity._anchor")))
     several = several.withColumn("_scored", ranked_readings(options, off, lambda c: c["inexact"])).withColumn("_best", F.get("_scored", 0))
     columns = ["src", "rec_id", "book_id", "subject", "number"]
-    penalty = F.when(F.col("_best.own.inexact"), INEXACT).otherwise(0.0)
-    several = several.select(*columns, F.col("_best.own.id").alias("_id"), (F.col("_best.residual") - penalty).alias("residual"), is_unique(F.col("_best"), F.get("_scored", 1)).alias("_unique"))
+    several = several.select(*columns, F.col("_best.own.id").alias("_id"), F.col("_best.residual").alias("residual"), is_unique(F.col("_best"), F.get("_scored", 1)).alias("_unique"))
     plain = rows.where("_n <= 1").select(*columns, F.when(F.col("_n") == 1, F.get("readings", 0)["id"]).alias("_id"), F.lit(None).cast("double").alias("residual"), F.lit(True).alias("_unique"))
     status = F.when(F.col("number").isNull(), "no_number").when(F.col("_id").isNull(), "unknown").when(F.col("_unique"), "ok").otherwise("not_unique")
     own = F.col("_id")

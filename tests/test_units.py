@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators.units import equal_in_other_units, parse_number, quantities, solve_units, spelling_rows
+from docloom.operators.units import equal_in_other_units, identities, parse_number, quantities, solve_units, spelling_rows
 
 SPEC = "spec_id string, book_id string, subject string, unit string, value double, raw string, section string, extra string"
 ROW = "book_id string, id string, parameter string, value string, unit string, row_data string, row_index int"
@@ -102,3 +102,14 @@ def test_solve_units(spark):
     narrow = {"mass": [("kg", 1.0), ("lb", 0.45359237)], "density": [("g/cm3", 1000.0)], "volume": [("m3", 1.0), ("L", 1e-3)]}
     one = solve_units(df, "source", narrow, {"mass": 1, "density": -1, "volume": -1}).where("source = 's1'").first()
     assert (one.unit_mass, one.unit_volume, one.is_unique) == ("kg", "L", True) and math.isclose(one.residual, 0, abs_tol=1e-9)
+
+
+def test_identities_and_wrong_case(spark):
+    specs = [(f"s{i}", "b", f"draw {i}", "mhz", 2.0 + i, f"draw {i} of {2 + i} MHz", None, None) for i in range(5)] + [("t", "b", "flow", "mw", 3.0, "flow 3 mw", None, None), ("u", "b", "x", None, None, None, None, None)]
+    got = {(r.unit_text, r.raw_text): (r.unit, r.raw_unit, r.n_rows, r.is_unique) for r in identities(spark.createDataFrame(specs, SPEC)).collect()}
+    assert got[("mhz", "mhz")][2] == 5 and got[("mw", "mw")] == ("MW", "MW", 1, False)
+    # An exact spelling gives way to another case only where that fits.
+    specs = [("a", "b", "power", "kW", 1500.0, None, None, None), ("c", "b", "power", "kW", 1500.0, None, None, None), ("d", "b", "power", "mW", 1.5, None, None, None), ("e", "b", "far", "kW", 20.0, None, None, None), ("f", "b", "far", "kW", 20.0, None, None, None), ("g", "b", "far", "MW", 20000.0, None, None, None)]
+    units = {r.rec_id: r.unit for r in quantities(*frames(spark, specs, [])).collect()}
+    assert units["d"] == "MW" and units["g"] == "MW"
+    assert identities(spark.createDataFrame([], SPEC)).count() == 0
