@@ -5,7 +5,7 @@ compare a question's terms with distinct names, not with rows. Null texts have n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,17 +18,30 @@ SPEC_UNITS = (
 IGNORED_SUBJECTS = "a an the this that it he she they which where when about after with from total each per average maximum minimum typical approximately around nearly roughly"
 SPEC_PATTERN = rf"([A-Za-z0-9_][A-Za-z0-9_\s/\-]{{1,35}}?)\s*(?:of|at|is|was|:|=)?\s*([0-9][,0-9]*(?:\.[0-9]+)?)\s*({SPEC_UNITS})\b"
 ENTITY_PATTERN = r"^[A-Z][a-z]{5,}$"
+#: What the stand-in for a recognition model takes for a quantity, a code, a name: the first group.
+QUANTITY_PATTERN = rf"([0-9][,0-9]*(?:\.[0-9]+)?\s*(?:{SPEC_UNITS})\b)"
+CODE_PATTERN, NAME_PATTERN = r"(?:^|[^A-Za-z0-9_])([A-Z]{2,}-?[0-9]+)", r"(?:^|[^A-Za-z0-9_])([A-Z][a-z]{5,})"
+# Fixed value: how many sections and specifications the model takes from the graph.
+GRAPH_LIMIT = 50
+
+
+def entity_name(text) -> Column:
+    """A name in lower case without outer and double white space."""
+    return F.lower(X.strip(F.regexp_replace(X.text_of(text), r"[\s\p{Z}]+", " ")))
 
 
 def spec_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, subject, value_text, value, unit): the quantities in running text whose subject names something. A text is searched
-    once for whole matches; the parts are taken from these, anchored at both ends."""
+    """(key, pos, subject, value_text, value, unit): the quantities in running text whose subject names something; of a text's quantities with the same
+    subject, value and unit the first. A text is searched once for whole matches; the parts are taken from these, anchored at both ends."""
     found = F.regexp_extract_all(F.col(text), F.lit("(?i)" + SPEC_PATTERN), F.lit(0))
     rows = texts.where(F.col(text).rlike("[0-9]")).select(key, F.posexplode(found).alias("pos", "_m"))
     part = lambda g: F.regexp_extract("_m", "(?i)^" + SPEC_PATTERN.removesuffix(r"\b") + "$", g)
-    rows = rows.select(key, "pos", F.lower(X.strip(part(1))).alias("subject"), part(2).alias("value_text"), F.regexp_replace(part(2), ",", "").try_cast("double").alias("value"), F.lower(part(3)).alias("unit"))
+    subject = F.regexp_replace(F.regexp_replace(X.strip(part(1)), r"\s+", " "), r"^[ \-:/,.]+|[ \-:/,.]+$", "")
+    rows = rows.select(key, "pos", F.lower(subject).alias("subject"), part(2).alias("value_text"), F.regexp_replace(part(2), ",", "").try_cast("double").alias("value"), F.lower(part(3)).alias("unit"))
     ignored = F.col("subject").isin(IGNORED_SUBJECTS.split())
-    return rows.where(~ignored & (F.length("subject") >= 3) & ~F.col("subject").rlike("^[0-9]") & F.col("value").isNotNull())
+    rows = rows.where(~ignored & (F.length("subject") >= 3) & ~F.col("subject").rlike("^[0-9]") & F.col("value").isNotNull())
+    first = rows.groupBy(key, "subject", "value_text", "unit").agg(F.min("pos").alias("pos"), F.first("value").alias("value"))
+    return first.select(key, "pos", "subject", "value_text", "value", "unit")
 
 
 def spec_nodes(spec: DataFrame) -> DataFrame:
@@ -38,17 +51,6 @@ def spec_nodes(spec: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "subject", "unit").agg(last("value").alias("value"), last("raw").alias("raw"), F.min_by("section", F.when(F.col("section").isNotNull(), F.col("spec_id"))).alias("section"), F.count("*").alias("n_seen"))
 
 
-def spec_lookup(terms: DataFrame, spec: DataFrame, limit: int = 50) -> DataFrame:
-    """(query_id, book_id, subject): specs of whose subject a term of the question is a whole word. Terms are matched to words of the distinct
-    subjects by an equi join; `spec_matches` matches parts of words and both ways."""
-    subjects = spec.select(F.lower("subject").alias("subject")).distinct()
-    words = subjects.select("subject", F.explode(F.array_distinct(F.split("subject", r"\s+"))).alias("term"))
-    hits = terms.join(words, "term").select("query_id", "subject").distinct()
-    rows = hits.join(spec.select("book_id", F.lower("subject").alias("subject")).distinct(), "subject")
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("book_id", "subject")))
-    return ranked.where(F.col("_n") <= limit).select("query_id", "book_id", "subject")
-
-
 def contained(inner: DataFrame, outer: DataFrame, a: str, b: str, head: int = 4) -> DataFrame:
     """(a, b): the distinct texts of `outer` that hold one of `inner`. They are joined on the first characters of what is held, which is a part
     of what holds it; empty texts are held by none."""
@@ -58,16 +60,66 @@ def contained(inner: DataFrame, outer: DataFrame, a: str, b: str, head: int = 4)
     return heads.join(keyed, "_key").where(F.contains(F.col(b), F.col(a))).select(a, b)
 
 
-def spec_matches(terms: DataFrame, spec: DataFrame, limit: int = 50) -> DataFrame:
-    """(query_id, book_id, subject): specs whose subject holds a term of the question or lies in one. `terms` (query_id, term, book_ids,
-    cross_book) carry the books of their question."""
-    rows = spec.select("book_id", F.lower("subject").alias("subject")).where(F.col("subject").isNotNull()).distinct()
-    either = contained(terms, rows, "term", "subject").unionByName(contained(rows, terms, "subject", "term")).distinct()
-    hits = terms.join(either, "term").join(rows, "subject")
-    inside = F.col("cross_book") | F.coalesce(F.size("book_ids") <= 0, F.lit(True)) | F.coalesce(F.array_contains("book_ids", F.col("book_id")), F.lit(False))
-    hits = hits.where(inside).select("query_id", "book_id", "subject").distinct()
-    ranked = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("book_id", "subject")))
-    return ranked.where(F.col("_n") <= limit).drop("_n")
+def in_books(book: Column) -> Column:
+    """Whether a book is within a question's filter; none, an empty filter and a question over all books mean all."""
+    return F.col("cross_book") | F.coalesce(F.size("book_ids") <= 0, F.lit(True)) | F.coalesce(F.array_contains("book_ids", book), F.lit(False))
+
+
+def _first_of(rows: DataFrame, order: list[str], limit: int | None) -> DataFrame:
+    """The first `limit` rows of each question in an order; all without a limit."""
+    if limit is None:
+        return rows
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
+
+
+def spec_lookup(terms: DataFrame, spec: DataFrame, limit: int | None = GRAPH_LIMIT) -> DataFrame:
+    """(query_id, book_id, subject, unit, value, raw, section): specification nodes with a raw text whose subject holds a term of the question or lies in
+    one, within its books. `terms` is (query_id, term, book_ids, cross_book). `limit` is the model's; null gives all."""
+    nodes = spec_nodes(spec.where(F.col("subject").isNotNull())).where(F.col("raw").isNotNull()).withColumn("_name", F.lower("subject"))
+    either = contained(terms, nodes, "term", "_name").unionByName(contained(nodes, terms, "_name", "term")).distinct()
+    hits = terms.join(either, "term").join(nodes.select("book_id", "_name").distinct(), "_name").where(in_books(F.col("book_id"))).select("query_id", "book_id", "_name").distinct()
+    rows = hits.join(nodes, ["book_id", "_name"]).select("query_id", "book_id", "subject", "unit", "value", "raw", "section")
+    return _first_of(rows, ["book_id", "subject", "unit"], limit)
+
+
+def sections_of_terms(terms: DataFrame, entity_section: DataFrame, limit: int | None = GRAPH_LIMIT) -> DataFrame:
+    """(query_id, section): the sections and subsections that mention an entity whose name is a term of the question, or, for terms of four characters at
+    least, holds one or lies in one; within the question's books. `limit` is the model's; null gives all."""
+    nodes = entity_section.select("book_id", "section", F.lower("name").alias("_name")).distinct()
+    long = terms.where(F.length("term") >= 4)
+    same = terms.select("term").distinct().join(nodes.select("_name").distinct(), F.col("term") == F.col("_name"))
+    either = same.unionByName(contained(long, nodes, "term", "_name")).unionByName(contained(nodes, long, "_name", "term").select("term", "_name")).distinct()
+    hits = terms.join(either, "term").join(nodes, "_name").where(in_books(F.col("book_id"))).select("query_id", "section").distinct()
+    return _first_of(hits, ["section"], limit)
+
+
+def recognised(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, name, label, raw): what the stand-in for a recognition model finds: quantities, codes of letters and digits, capitalised words of six letters
+    and more. Names are normalised; of a text's finds with one name and label the first is kept."""
+    labelled = [("Quantity", QUANTITY_PATTERN), ("Code", CODE_PATTERN), ("Entity", NAME_PATTERN)]
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), lambda m: F.struct(F.lit(label).alias("label"), m.alias("raw"))) for label, p in labelled)))  # noqa: B023
+    rows = texts.select(key, F.posexplode(found).alias("pos", "_f")).select(key, "pos", entity_name("_f.raw").alias("name"), F.col("_f.label").alias("label"), F.col("_f.raw").alias("raw"))
+    return rows.groupBy(key, "name", "label").agg(F.min(F.struct("pos", "raw")).alias("_f")).select(key, "_f.pos", "name", "label", "_f.raw")
+
+
+def label_dictionary(finds: DataFrame, limit: int = 30) -> DataFrame:
+    """(label, n): the most frequent labels without those of relations and of bare matches."""
+    rows = finds.where(~F.contains("label", F.lit("<>")) & (F.lower("label") != "match")).groupBy("label").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "label").limit(limit)
+
+
+def accumulated(existing: DataFrame, incoming: DataFrame, sections: int = 20) -> DataFrame:
+    """Co-occurrences (book_id, a, b, n, sections) merged into those that exist: counts are added and sections joined, as in the model, so that
+    loading twice counts twice. `cooccurrence` over all mentions is the form that doesn't."""
+    both = existing.unionByName(incoming)
+    return both.groupBy("book_id", "a", "b").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sections")))), 1, sections).alias("sections"))
+
+
+def entity_nodes(mentions: DataFrame, spec: DataFrame) -> DataFrame:
+    """(book_id, name, type, n): merged entity nodes: of the types a name has the first, `equipment` for those that only specifications name."""
+    said = mentions.select("book_id", F.lower("name").alias("name"), F.col("label").alias("type"), F.lit(0).alias("_order"))
+    specs = spec.where(F.col("subject").isNotNull()).select("book_id", F.lower("subject").alias("name"), F.lit("equipment").alias("type"), F.lit(1).alias("_order"))
+    return said.unionByName(specs).groupBy("book_id", "name").agg(F.min(F.struct("_order", "type"))["type"].alias("type"), F.count("*").alias("n"))
 
 
 def entity_mentions(sentences: DataFrame) -> DataFrame:

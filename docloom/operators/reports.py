@@ -22,7 +22,7 @@ def coverage(chunk: DataFrame) -> DataFrame:
         F.count("*").alias("pages"), F.count_if(F.col("w") >= GOOD_WORDS).alias("good"), F.count_if((F.col("w") < GOOD_WORDS) & (F.col("w") >= SHORT_WORDS)).alias("short"),
         F.count_if(F.col("w") < SHORT_WORDS).alias("blank"), F.sum("n").alias("chunks"), F.count_if(F.col("n") > 1).alias("multi_chunk_pages"), F.sum("w").alias("_w"),
     )
-    return out.withColumn("words_per_chunk", F.round(F.col("_w") / F.col("chunks"), 4)).withColumn("coverage", F.round(F.col("good") / F.col("pages") * 100, 4)).drop("_w")
+    return out.withColumn("words_per_chunk", F.bround(F.col("_w") / F.col("chunks"), 1)).withColumn("coverage", F.bround(F.col("good") / F.col("pages") * 100, 1)).drop("_w")
 
 
 def page_counts(chunk: DataFrame) -> DataFrame:

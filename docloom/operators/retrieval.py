@@ -6,16 +6,18 @@ score. Missing parents, paths and pages are null and match nothing; an empty tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import bm25_tokens, classify_question
+from docloom.operators.graph import in_books, sections_of_terms
 from docloom.operators.lexical import bm25_scores, top_per
 from docloom.plans import config as K
 
 
-def routed_questions(ask_log: DataFrame, every: int = 100) -> DataFrame:
+def routed_questions(ask_log: DataFrame, every: int | None = None) -> DataFrame:
     """The stated set of questions (ask_id divisible by `every`) with mode, class and limits; an unknown mode is balanced."""
+    every = every or K.EVERY
     rows = ask_log.where((F.col("ask_id") % every == 0) & F.col("question").isNotNull()).select(F.col("ask_id").alias("query_id"), "question", "book_ids", "mode").distinct()
     mode = F.lower(F.trim(F.coalesce("mode", F.lit(""))))
     rows = rows.withColumn("mode", F.when(mode.isin(*K.MODES), mode).otherwise(K.DEFAULT_MODE)).withColumn("query_class", classify_question("question"))
@@ -24,11 +26,6 @@ def routed_questions(ask_log: DataFrame, every: int = 100) -> DataFrame:
     return rows.join(routes, ["mode", "query_class"])
 
 
-def in_books(book: Column) -> Column:
-    """Whether a book is within a question's filter; none, an empty filter and a question over all books mean all."""
-    return F.col("cross_book") | F.coalesce(F.size("book_ids") <= 0, F.lit(True)) | F.coalesce(F.array_contains("book_ids", book), F.lit(False))
-
-
 def search(docs: DataFrame, key: str, questions: DataFrame, limit: str) -> DataFrame:
     """(query_id, key, score, rank): the best documents (key, book_id, text) of each question within its books."""
     scored = bm25_scores(docs, key, "text", questions)
@@ -67,25 +64,46 @@ def merged(parents: DataFrame, orphans: DataFrame, direct: DataFrame) -> DataFra
     return rows.groupBy("query_id", "chunk_id").agg(F.max("direct_score").alias("direct_score"), F.max("child_score").alias("child_score"), F.bool_or("from_direct").alias("from_direct"))
 
 
-def from_graph(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Candidates with `from_graph`: an element of the chunk's path holds a term of the question of four characters at least."""
-    terms = questions.select("query_id", F.filter(F.array_distinct(bm25_tokens("question")), lambda t: F.length(t) >= 4).alias("_terms"))
-    names = chunks.select("chunk_id", F.lower(F.array_join("section_path", " > ")).alias("_names"))
-    rows = candidates.join(terms, "query_id").join(names, "chunk_id")
-    return rows.withColumn("from_graph", F.coalesce(F.exists("_terms", lambda t: F.contains("_names", t)), F.lit(False))).drop("_terms", "_names")
+def question_terms(questions: DataFrame, least: int = 3) -> DataFrame:
+    """(query_id, term, book_ids, cross_book): the distinct tokens of each question that may name an entity."""
+    rows = questions.select("query_id", "book_ids", "cross_book", F.explode(F.array_distinct(bm25_tokens("question"))).alias("term"))
+    return rows.where(F.length("term") >= least)
+
+
+def from_graph(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, entity_section: DataFrame) -> DataFrame:
+    """Candidates with `from_graph`: an element of the chunk's path is a section that mentions an entity of the question."""
+    names = sections_of_terms(question_terms(questions), entity_section)
+    paths = candidates.select("query_id", "chunk_id").join(chunks.select("chunk_id", F.explode("section_path").alias("section")), "chunk_id")
+    flagged = paths.join(names, ["query_id", "section"], "left_semi").select("query_id", "chunk_id").distinct().withColumn("from_graph", F.lit(True))
+    return candidates.join(flagged, ["query_id", "chunk_id"], "left").withColumn("from_graph", F.coalesce("from_graph", F.lit(False)))
+
+
+def with_text(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The candidates whose chunk has a text."""
+    return candidates.join(chunks.where(F.length(F.trim("content")) > 0).select("chunk_id"), "chunk_id", "left_semi")
+
 
+def reranked(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, floor: float = K.RERANK_FLOOR, scorer=None, factor: int = 1) -> DataFrame:
+    """Candidates with `rerank_score` and `rank`. The pool is first cut to `factor` times the final number by the direct score, in which those found only through propositions
+    have none and go first. A candidate's relevance, by default the share of the question's terms that its chunk holds, gets the boosts for
+    candidates of both sources and for the best child's score; those below the `floor` are left out unless it is 0.
 
-def reranked(candidates: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """Candidates with `rerank_score` and `rank`: the share of the question's terms that a chunk holds, the stand-in for a neural model, and the boosts for
-    candidates of both sources and for the best child's score."""
-    q = questions.select("query_id", F.array_distinct(bm25_tokens("question")).alias("_q"), "boost", "top_n")
-    rows = candidates.join(q, "query_id").join(chunks.select("chunk_id", F.array_distinct(bm25_tokens("content")).alias("_d")), "chunk_id")
-    share = F.when(F.size("_q") > 0, F.size(F.array_intersect("_q", "_d")) / F.size("_q")).otherwise(0.0)
+    `scorer` takes (query_id, chunk_id, question, content) and gives (query_id, chunk_id, relevance); where it gives none the direct score
+    stands in, without the boost for the child."""
+    limits = questions.select("query_id", "top_n", "boost", "question")
+    pool = top_per(candidates.join(limits, "query_id"), "query_id", [F.desc(F.coalesce("direct_score", F.lit(0.0))), F.asc("chunk_id")], F.col("top_n") * factor, rank="_pool").drop("_pool")
+    rows = pool.join(chunks.select("chunk_id", "content"), "chunk_id")
+    if scorer is None:
+        q, d = F.array_distinct(bm25_tokens("question")), F.array_distinct(bm25_tokens("content"))
+        rows = rows.withColumn("_q", q).withColumn("relevance", F.when(F.size("_q") > 0, F.size(F.array_intersect("_q", d)) / F.size("_q")).otherwise(0.0)).drop("_q")
+    else:
+        rows = rows.join(scorer(rows.select("query_id", "chunk_id", "question", "content")), ["query_id", "chunk_id"], "left")
+    failed = F.col("relevance").isNull()
     both = F.when(F.col("from_direct") & F.col("from_graph"), K.BOOST_BOTH * F.col("boost")).otherwise(0.0)
-    child = F.coalesce(F.col("child_score"), F.lit(0.0)) * K.BOOST_CHILD * F.col("boost")
-    rows = rows.withColumn("rerank_score", F.round(share + both + child, 6)).drop("_q", "_d", "boost")
-    ranked = top_per(rows, "query_id", [F.desc("rerank_score"), F.asc("chunk_id")], F.col("top_n"))
-    return ranked.drop("top_n")
+    child = F.when(failed, 0.0).otherwise(F.coalesce(F.col("child_score"), F.lit(0.0)) * K.BOOST_CHILD * F.col("boost"))
+    rows = rows.withColumn("rerank_score", F.round(F.coalesce("relevance", "direct_score", F.lit(0.0)) + both + child, 6)).drop("relevance", "boost", "question", "content")
+    kept = rows.where(F.col("rerank_score") >= floor) if floor > 0 else rows
+    return top_per(kept, "query_id", [F.desc("rerank_score"), F.asc("chunk_id")], F.col("top_n")).drop("top_n")
 
 
 def needs_second_pass(ranked: DataFrame, questions: DataFrame, threshold: float = K.ADAPTIVE_THRESHOLD) -> DataFrame:

@@ -15,7 +15,19 @@ CLASSES = {
 }
 BOOST_BOTH, BOOST_CHILD, RRF_K, MMR_WEIGHT = 0.12, 0.10, 60, 0.7
 ADAPTIVE_THRESHOLD, ADAPTIVE_FACTOR, MIN_PARENTS, SUPPLEMENT = 0.15, 2, 3, 5
+# Words of a chunk that is shown whole, and of a segment; characters of a linear table; specifications shown, and their banner.
+LONG_WORDS, SEGMENT_WORDS, LEAST_LINEAR, SPECS_SHOWN = 450, 220, 30, 30
+SPECS_BANNER = "=== VERIFIED TECHNICAL SPECIFICATIONS (Knowledge Graph) ==="
+# Fixed value: what the prompt asks for after each question.
+REMINDER = (
+    "\n\nIMPORTANT: Your answer must be COMPLETE and SELF-CONTAINED. DO NOT say 'see table', 'refer to table', 'as shown in table', 'see page', or any similar phrase. "
+    "If the context contains specification data or table values, EXTRACT and PRESENT all relevant values DIRECTLY in your answer. Never redirect the user to look at a table or page."
+)
 LEAST_CHARS, PAGE_CAP, PAGE_TRIM, CHUNK_TRIM = 2000, 9000, 500, 200
+#: The threshold for the scores of the stand-in, which aren't those of a neural model.
+ADAPTIVE_STANDIN = 1.5
+#: Questions whose id is divisible by this are asked; reranked candidates below this score are left out (0: none).
+EVERY, RERANK_FLOOR = 100, 0.0
 ADJACENT, SEPARATOR = 2, "\n\n---\n\n"
 
 

@@ -251,6 +251,17 @@ sp AS (SELECT chunk_id, book_id, chunk_seq, section_path, page, unnest(range(0,
 sq AS (SELECT *, length(sentence) >= 30 AND len(regexp_split_to_array(sentence, '[\s\p{Z}]+')) >= 8 """ + "".join(f" AND NOT regexp_matches(sentence, '{p}')" for p in X.NOISE) + r""" AS keep FROM sp WHERE sentence <> '')
 """
 
+MESSAGES = """ar AS (SELECT DISTINCT ask_id, chat_id, question, full_text, asked_at, saved_at FROM ask_log),
+mm AS (SELECT chat_id, asked_at AS created_at, ask_id * 2 AS message_id, 'user' AS role, question AS content FROM ar WHERE question IS NOT NULL
+  UNION ALL SELECT chat_id, asked_at, ask_id * 2 + 1, 'assistant', full_text FROM ar WHERE full_text IS NOT NULL),
+pm AS (SELECT *, n0 - n AS seq FROM (SELECT *, max(n) OVER (PARTITION BY chat_id) AS n0 FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, message_id DESC) AS n FROM mm) WHERE n <= 10))"""
+PIPE_TABLES = """WITH
+        e AS (SELECT chunk_id, row_index, list_transform(headers, lambda x: replace(x, '|', '\\|')) AS headers, list_transform(cells, lambda x: replace(x, '|', '\\|')) AS cells FROM trows),
+        w AS (SELECT chunk_id, i, max(greatest(length(headers[i]), length(cells[i]))) AS w FROM (SELECT chunk_id, headers, cells, unnest(range(1, len(headers) + 1)) AS i FROM e) GROUP BY ALL),
+        ww AS (SELECT chunk_id, list(w ORDER BY i) AS ws FROM w GROUP BY chunk_id),
+        r AS (SELECT chunk_id, row_index, headers, ws, '| ' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: rpad(cells[i], ws[i]::INT, ' ')), ' | ') || ' |' AS line FROM e JOIN ww USING (chunk_id))
+        SELECT chunk_id, any_value('| ' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: rpad(headers[i], ws[i]::INT, ' ')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(ws, lambda x: repeat('-', x::INT)), ' | ') || ' |') || chr(10) || string_agg(line, chr(10) ORDER BY row_index) AS markdown FROM r GROUP BY chunk_id"""
+
 SQL = {
     "lines_page_counter": f"WITH {LINES} SELECT book_id, chunk_seq, pos::INT AS pos, page FROM paged",
     "page_split": f"""WITH {LINES}, runs AS (SELECT book_id, run, coalesce(max(marker), 0) AS page, {_STRIP("coalesce(string_agg(CASE WHEN marker IS NULL THEN line END, chr(10) ORDER BY chunk_seq, pos), '')")} AS content FROM paged GROUP BY book_id, run)
@@ -273,12 +284,7 @@ SQL = {
     "table_bullets": f"""WITH {PARSED} SELECT tc.chunk_id, CASE WHEN coalesce(any_value(tc.section_path[len(tc.section_path)]), '') = '' THEN '[TABLE]:' ELSE '[TABLE — ' || any_value(tc.section_path[len(tc.section_path)]) || ']:' END || coalesce(chr(10) || string_agg('- ' ||
         CASE WHEN is_spec AND p_param <> '' AND p_value <> '' THEN p_param || ': ' || p_value || CASE WHEN p_unit = '' THEN '' ELSE ' ' || p_unit END ELSE array_to_string(list_transform(list_filter(list_zip(headers, cells), lambda z: z[2] <> ''), lambda z: z[1] || ': ' || z[2]), ' | ') END, chr(10) ORDER BY row_index), '') AS bullets
         FROM tc LEFT JOIN rsent USING (chunk_id) GROUP BY tc.chunk_id""",
-    "pipe_tables": f"""WITH {PARSED},
-        e AS (SELECT chunk_id, row_index, list_transform(headers, lambda x: replace(x, '|', '\\|')) AS headers, list_transform(cells, lambda x: replace(x, '|', '\\|')) AS cells FROM trows),
-        w AS (SELECT chunk_id, i, max(greatest(length(headers[i]), length(cells[i]))) AS w FROM (SELECT chunk_id, headers, cells, unnest(range(1, len(headers) + 1)) AS i FROM e) GROUP BY ALL),
-        ww AS (SELECT chunk_id, list(w ORDER BY i) AS ws FROM w GROUP BY chunk_id),
-        r AS (SELECT chunk_id, row_index, headers, ws, '| ' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: rpad(cells[i], ws[i]::INT, ' ')), ' | ') || ' |' AS line FROM e JOIN ww USING (chunk_id))
-        SELECT chunk_id, any_value('| ' || array_to_string(list_transform(range(1, len(ws) + 1), lambda i: rpad(headers[i], ws[i]::INT, ' ')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(ws, lambda x: repeat('-', x::INT)), ' | ') || ' |') || chr(10) || string_agg(line, chr(10) ORDER BY row_index) AS markdown FROM r GROUP BY chunk_id""",
+    "pipe_tables": f"WITH {PARSED} SELECT * FROM ({PIPE_TABLES})",
     "table_patterns": f"""WITH {PARSED}, p AS (SELECT tc.chunk_id, coalesce(bool_or(len(list_filter(list_transform(headers, lambda x: lower(x)), lambda x: list_contains({_list(T.SUBJECT_HEADERS + " " + T.PROPERTY_HEADERS)}, x))) > 0 AND len(list_filter(list_transform(headers, lambda x: lower(x)), lambda x: list_contains({_list(T.VALUE_HEADERS)}, x))) > 0), false) AS s FROM tc LEFT JOIN th USING (chunk_id) GROUP BY tc.chunk_id)
         SELECT CASE WHEN s THEN 'spec' ELSE 'generic' END AS pattern, count(*) AS n_tables FROM p GROUP BY ALL""",
     "table_page_lookup": """SELECT DISTINCT p.book_id, p.page_number, c.chunk_id FROM page p JOIN chunk c ON c.book_id = p.book_id AND c.type = 'table' AND p.page_number BETWEEN c.page_range.start AND c.page_range.end""",

@@ -9,13 +9,14 @@ from docloom.operators import graph as G
 from docloom.operators import jobs as J
 from docloom.operators import propositions as P
 from docloom.operators import reports as R
-from docloom.operators.retrieval import routed_questions
+from docloom.operators.retrieval import question_terms, routed_questions
 from docloom.session import read
 from docloom.sources.formats import duplicate_keys, split_units
 from docloom.streaming import events as E
 
-from .documents import SENTENCES, _STRIP
-from .retrieval import QUESTIONS
+from .documents import MESSAGES, _STRIP
+from .graph_sql import HIERARCHY, MENTIONS
+from .retrieval import QUESTIONS, SECTIONS_OF, SPECS_OF
 
 
 def _mentions(spark, sf_dir):
@@ -26,8 +27,7 @@ def _mentions(spark, sf_dir):
 
 def spec_extract(spark, sf_dir):
     """Quantities in the propositions' texts."""
-    rows = read(spark, sf_dir, "proposition").where("source_type = 'text'").select("proposition_id", "text").distinct()
-    return G.spec_mentions(rows, "proposition_id", "text")
+    return G.spec_mentions(read(spark, sf_dir, "proposition").select("proposition_id", "text").distinct(), "proposition_id", "text")
 
 
 def spec_upsert(spark, sf_dir):
@@ -36,16 +36,21 @@ def spec_upsert(spark, sf_dir):
 
 
 def spec_lookup(spark, sf_dir):
-    """Specs by the words of the stated questions."""
-    rows = read(spark, sf_dir, "ask_log").where("ask_id % 100 = 0 and question is not null").select(F.col("ask_id").alias("query_id"), F.explode(F.array_distinct(X.bm25_tokens("question"))).alias("term")).distinct()
-    return G.spec_lookup(rows.where(F.length("term") >= 4), read(spark, sf_dir, "spec"))
+    """Specifications whose subject holds a term of a stated question or lies in one, within its books."""
+    questions = routed_questions(read(spark, sf_dir, "ask_log"))
+    return G.spec_lookup(question_terms(questions), read(spark, sf_dir, "spec")).select("query_id", "book_id", "subject", "unit", "raw")
 
 
-def spec_matches(spark, sf_dir):
-    """Specs whose subject holds a term of the stated questions or lies in one, within their books."""
+def term_sections(spark, sf_dir):
+    """Sections that mention an entity of a stated question."""
     questions = routed_questions(read(spark, sf_dir, "ask_log"))
-    terms = questions.select("query_id", "book_ids", "cross_book", F.explode(F.array_distinct(X.bm25_tokens("question"))).alias("term"))
-    return G.spec_matches(terms.where(F.length("term") >= 3), read(spark, sf_dir, "spec"))
+    return G.sections_of_terms(question_terms(questions), entity_sections(spark, sf_dir))
+
+
+def recognised_entities(spark, sf_dir):
+    """What the stand-in for a recognition model finds in the propositions."""
+    rows = read(spark, sf_dir, "proposition").select("proposition_id", "text").distinct().where(F.col("text").isNotNull())
+    return G.recognised(rows, "proposition_id", "text").select("proposition_id", "name", "label")
 
 
 def entity_mentions(spark, sf_dir):
@@ -101,9 +106,8 @@ def extraction_units(spark, sf_dir):
 
 
 def label_topk(spark, sf_dir):
-    """The 30 most frequent units of the specs, the label report."""
-    rows = read(spark, sf_dir, "spec").groupBy(F.lower("unit").alias("label")).agg(F.count("*").alias("n")).where("label is not null and label <> ''")
-    return rows.orderBy(F.desc("n"), "label").limit(30)
+    """The 30 most frequent labels of what is recognised in the propositions."""
+    return G.label_dictionary(recognised_entities(spark, sf_dir))
 
 
 def timing_stats(spark, sf_dir):
@@ -221,25 +225,18 @@ def job_rollup(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        spec_extract, spec_upsert, spec_lookup, spec_matches, entity_mentions, cooccurrence, section_hierarchy, next_section, entity_sections, table_parents, coverage_report, page_counts, batch_units, extraction_units, label_topk,
+        spec_extract, spec_upsert, spec_lookup, term_sections, recognised_entities, entity_mentions, cooccurrence, section_hierarchy, next_section, entity_sections, table_parents, coverage_report, page_counts, batch_units, extraction_units, label_topk,
         timing_stats, prior_messages, history_block, chat_search_snippets, library_view, message_counters, idempotent_upsert, delete_book, collection_counts, key_check, job_fsm, job_progress, worker_liveness,
         progress_latest, events_tumbling, events_sliding, events_sessions, stream_dedup, job_rollup,
     )
 }
 
-MENTIONS = f"""{SENTENCES},
-ms AS (SELECT chunk_id, book_id, coalesce(section_path[len(section_path)], '') AS section, pos, unnest(list_filter(regexp_extract_all(sentence, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '{G.ENTITY_PATTERN}'))) AS name FROM sq)"""
-HIERARCHY = """hp AS (SELECT DISTINCT book_id, chunk_seq, section_path[1:3] AS path FROM chunk WHERE len(section_path) > 0),
-hx AS (SELECT book_id, chunk_seq, path, unnest(range(0, len(path))) AS depth FROM hp),
-hn AS (SELECT book_id, ['Chapter', 'Section', 'Subsection'][depth + 1] AS label, path[depth + 1] AS name, min(chunk_seq) AS first_seq FROM hx GROUP BY ALL)"""
-MESSAGES = """ar AS (SELECT DISTINCT ask_id, chat_id, question, full_text, asked_at, saved_at FROM ask_log),
-ms AS (SELECT chat_id, asked_at AS created_at, ask_id * 2 AS message_id, 'user' AS role, question AS content FROM ar WHERE question IS NOT NULL
-  UNION ALL SELECT chat_id, asked_at, ask_id * 2 + 1, 'assistant', full_text FROM ar WHERE full_text IS NOT NULL),
-pm AS (SELECT *, n0 - n AS seq FROM (SELECT *, max(n) OVER (PARTITION BY chat_id) AS n0 FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY created_at DESC, message_id DESC) AS n FROM ms) WHERE n <= 10))"""
 PAGES = """pc AS (SELECT book_id, CASE WHEN count(DISTINCT page) > 0 THEN count(DISTINCT page) ELSE count(DISTINCT chunk_id) END AS n_pages FROM (
   SELECT book_id, chunk_id, unnest(CASE WHEN page_range.start IS NULL THEN [NULL] ELSE range(page_range.start, coalesce(page_range."end", page_range.start) + 1) END) AS page FROM (SELECT DISTINCT chunk_id, book_id, page_range FROM chunk)) GROUP BY book_id)"""
 _kept = lambda c: f"arg_max({c}, spec_id) FILTER ({c} IS NOT NULL)"
-_words = "regexp_split_to_array(regexp_replace(lower(coalesce(question, '')), '[^\\p{L}\\p{M}\\p{N}_\\s-]', ' ', 'g'), '\\s+')"
+_recognise = lambda label, pattern: f"SELECT proposition_id, '{label}' AS label, unnest(regexp_extract_all(text, '{pattern}', 1)) AS raw FROM (SELECT DISTINCT proposition_id, text FROM proposition WHERE text IS NOT NULL)"
+RECOGNISED = f"""rec0 AS ({_recognise("Quantity", G.QUANTITY_PATTERN)} UNION ALL {_recognise("Code", G.CODE_PATTERN)} UNION ALL {_recognise("Entity", G.NAME_PATTERN)}),
+rec AS (SELECT proposition_id, label, lower({_STRIP("regexp_replace(raw, '[\\s\\p{Z}]+', ' ', 'g')")}) AS name FROM rec0)"""
 FSM = f"""WITH RECURSIVE ev AS (SELECT user_id AS job_id, epoch_us(ts) / 1e6 AS moment, event_id, event_type AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 fs AS (
   SELECT DISTINCT job_id, 0::BIGINT AS n, 'PENDING' AS status, 0 AS attempts, 0::DOUBLE AS deadline, 0::BIGINT AS n_ignored, 0::BIGINT AS n_expired FROM ev
@@ -258,18 +255,15 @@ states AS (SELECT job_id, arg_max(status, n) AS status, arg_max(attempts, n) AS
 
 _found = lambda g: f"regexp_extract_all(text, '(?i){G.SPEC_PATTERN}', {g})"
 SQL = {
-    "spec_extract": f"""WITH a AS (SELECT proposition_id, {_found(1)} AS s, {_found(2)} AS v, {_found(3)} AS u FROM (SELECT DISTINCT proposition_id, text FROM proposition WHERE source_type = 'text')),
-        m AS (SELECT proposition_id, unnest(range(0, len(s)))::INT AS pos, lower({_STRIP("unnest(s)")}) AS subject, unnest(v) AS value_text, lower(unnest(u)) AS unit FROM a)
-        SELECT proposition_id, pos, subject, value_text, TRY_CAST(replace(value_text, ',', '') AS DOUBLE) AS value, unit FROM m WHERE length(subject) >= 3 AND NOT regexp_matches(subject, '^[0-9]') AND TRY_CAST(replace(value_text, ',', '') AS DOUBLE) IS NOT NULL
-        AND subject NOT IN ({", ".join(f"'{w}'" for w in G.IGNORED_SUBJECTS.split())})""",
-    "message_counters": f"WITH {MESSAGES} SELECT chat_id, count(*) AS n_messages, max(created_at)::VARCHAR AS updated_at FROM ms GROUP BY chat_id",
+    "spec_extract": f"""WITH a AS (SELECT proposition_id, {_found(1)} AS s, {_found(2)} AS v, {_found(3)} AS u FROM (SELECT DISTINCT proposition_id, text FROM proposition)),
+        m AS (SELECT proposition_id, unnest(range(0, len(s)))::INT AS pos, lower(regexp_replace(regexp_replace(regexp_replace({_STRIP("unnest(s)")}, '\\s+', ' ', 'g'), '^[ \\-:/,.]+', ''), '[ \\-:/,.]+$', '')) AS subject, unnest(v) AS value_text, lower(unnest(u)) AS unit FROM a)
+        SELECT proposition_id, min(pos) AS pos, subject, value_text, TRY_CAST(replace(value_text, ',', '') AS DOUBLE) AS value, unit FROM m WHERE length(subject) >= 3 AND NOT regexp_matches(subject, '^[0-9]') AND TRY_CAST(replace(value_text, ',', '') AS DOUBLE) IS NOT NULL
+        AND subject NOT IN ({", ".join(f"'{w}'" for w in G.IGNORED_SUBJECTS.split())}) GROUP BY proposition_id, subject, value_text, unit""",
+    "message_counters": f"WITH {MESSAGES} SELECT chat_id, count(*) AS n_messages, max(created_at)::VARCHAR AS updated_at FROM mm GROUP BY chat_id",
     "spec_upsert": f"SELECT book_id, subject, unit, {_kept('value')} AS value, {_kept('raw')} AS raw, arg_min(section, spec_id) FILTER (section IS NOT NULL) AS section, count(*) AS n_seen FROM (SELECT DISTINCT spec_id, book_id, subject, lower(coalesce(unit, '')) AS unit, value, raw, section FROM spec) GROUP BY ALL",
-    "spec_lookup": f"""WITH t AS (SELECT DISTINCT ask_id AS query_id, unnest({_words}) AS term FROM ask_log WHERE ask_id % 100 = 0 AND question IS NOT NULL), w AS (SELECT DISTINCT lower(subject) AS subject, unnest(regexp_split_to_array(lower(subject), '\\s+')) AS term FROM spec),
-        h AS (SELECT DISTINCT query_id, subject FROM t JOIN w USING (term) WHERE length(term) >= 4)
-        SELECT query_id, book_id, subject FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, subject) AS n FROM h JOIN (SELECT DISTINCT book_id, lower(subject) AS subject FROM spec) USING (subject)) WHERE n <= 50""",
-    "spec_matches": f"""WITH {QUESTIONS}, t AS (SELECT DISTINCT query_id, term, book_ids, cross_book FROM qterms JOIN questions USING (query_id) WHERE length(term) >= 3), s AS (SELECT DISTINCT book_id, lower(subject) AS subject FROM spec WHERE subject <> ''),
-        h AS (SELECT DISTINCT query_id, book_id, subject FROM t JOIN s ON (contains(subject, term) OR contains(term, subject)) AND (cross_book OR coalesce(len(book_ids) = 0, true) OR coalesce(list_contains(book_ids, book_id), false)))
-        SELECT query_id, book_id, subject FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, subject) AS n FROM h) WHERE n <= 50""",
+    "spec_lookup": f"""WITH {QUESTIONS}, {SPECS_OF} SELECT query_id, book_id, subject, unit, raw FROM specs""",
+    "term_sections": f"""WITH {QUESTIONS}, {SECTIONS_OF} SELECT query_id, section FROM gs""",
+    "recognised_entities": f"""WITH {RECOGNISED} SELECT DISTINCT proposition_id, name, label FROM rec""",
     "entity_mentions": f"WITH {MENTIONS} SELECT book_id, name, count(*) AS n_mentions, count(DISTINCT section) AS n_sections FROM ms GROUP BY ALL",
     "cooccurrence": f"""WITH {MENTIONS}, d AS (SELECT DISTINCT chunk_id, book_id, section, pos, name FROM ms),
         p AS (SELECT x.book_id, x.name AS a, y.name AS b, x.section FROM d x JOIN d y ON x.chunk_id = y.chunk_id AND x.pos = y.pos AND x.name < y.name)
@@ -283,15 +277,15 @@ SQL = {
     "coverage_report": f"""WITH w AS (SELECT book_id, page_range.start AS page, CASE WHEN {_STRIP("coalesce(content, '')")} = '' THEN 0 ELSE len(regexp_split_to_array({_STRIP("coalesce(content, '')")}, '[\\s\\p{{Z}}]+')) END AS w FROM (SELECT DISTINCT chunk_id, book_id, page_range, content FROM chunk) WHERE page_range.start IS NOT NULL),
         p AS (SELECT book_id, page, sum(w)::BIGINT AS w, count(*) AS n FROM w GROUP BY ALL)
         SELECT book_id, count(*) AS pages, count(*) FILTER (w >= 50) AS good, count(*) FILTER (w < 50 AND w >= 10) AS short, count(*) FILTER (w < 10) AS blank, sum(n)::BIGINT AS chunks, count(*) FILTER (n > 1) AS multi_chunk_pages,
-        round(sum(w) / sum(n), 4) AS words_per_chunk, round(count(*) FILTER (w >= 50) / count(*) * 100, 4) AS coverage FROM p GROUP BY book_id""",
+        round_even(sum(w) / sum(n), 1) AS words_per_chunk, round_even(count(*) FILTER (w >= 50) / count(*) * 100, 1) AS coverage FROM p GROUP BY book_id""",
     "page_counts": f"WITH {PAGES} SELECT * FROM pc",
     "batch_units": "WITH c AS (SELECT book_id, count(DISTINCT proposition_id)::INT AS n FROM proposition GROUP BY ALL), u AS (SELECT book_id, n AS t, unnest(range(0, n, 200))::INT AS start FROM c) SELECT book_id, start, least(200, t - start)::INT AS n FROM u",
     "extraction_units": "WITH c AS (SELECT book_id, count(DISTINCT page_number)::INT AS n FROM page GROUP BY ALL), u AS (SELECT book_id, n, unnest(range(0, n, 10))::INT AS start_offset FROM c) SELECT book_id, (start_offset // 10)::INT AS chunk_idx, start_offset, least(10, n - start_offset)::INT AS page_count FROM u",
-    "label_topk": "SELECT lower(unit) AS label, count(*) AS n FROM spec WHERE unit IS NOT NULL AND unit <> '' GROUP BY ALL ORDER BY n DESC, label LIMIT 30",
+    "label_topk": f"WITH {RECOGNISED} SELECT label, count(*) AS n FROM (SELECT DISTINCT proposition_id, name, label FROM rec) GROUP BY label ORDER BY n DESC, label LIMIT 30",
     "timing_stats": "SELECT *, row_number() OVER (ORDER BY total DESC, event_type)::INT AS place FROM (SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS average FROM events GROUP BY ALL)",
     "prior_messages": f"WITH {MESSAGES} SELECT chat_id, message_id, role, seq::INT AS seq, content FROM pm",
     "history_block": f"WITH {MESSAGES} SELECT chat_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || content, chr(10) || chr(10) ORDER BY seq) AS block FROM pm GROUP BY chat_id",
-    "chat_search_snippets": f"""WITH {MESSAGES}, l AS (SELECT *, strpos(lower(content), 'pressure regulator') AS place FROM ms), b AS (SELECT *, greatest(place - 40, 1) AS s, least(place + 18 + 80 - 1, length(content)) AS e FROM l WHERE place > 0)
+    "chat_search_snippets": f"""WITH {MESSAGES}, l AS (SELECT *, strpos(lower(content), 'pressure regulator') AS place FROM mm), b AS (SELECT *, greatest(place - 40, 1) AS s, least(place + 18 + 80 - 1, length(content)) AS e FROM l WHERE place > 0)
         SELECT chat_id, message_id, CASE WHEN s > 1 THEN '...' ELSE '' END || substr(content, s, e - s + 1) || CASE WHEN e < length(content) THEN '...' ELSE '' END AS snippet FROM b""",
     "library_view": f"""WITH {PAGES}, t AS (SELECT book_id, string_agg(upper(w[1]) || lower(w[2:]), ' ' ORDER BY i) AS title FROM (SELECT book_id, unnest(string_split(translate(book_id, '_-', '  '), ' ')) AS w, unnest(range(1, len(string_split(translate(book_id, '_-', '  '), ' ')) + 1)) AS i FROM pc) GROUP BY book_id)
         SELECT book_id, title, n_pages, (SELECT count(DISTINCT chunk_id) FROM chunk c WHERE c.book_id = pc.book_id) AS n_chunks, (SELECT count(DISTINCT proposition_id) FROM proposition p WHERE p.book_id = pc.book_id) AS n_propositions FROM pc JOIN t USING (book_id)""",

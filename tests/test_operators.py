@@ -9,6 +9,7 @@ from docloom.operators import graph as G
 from docloom.operators import lexical as L
 from docloom.operators import reports as R
 from docloom.operators import tables as T
+from docloom.functions import segments as G2
 from docloom.operators import vectors as V
 from docloom.operators.jobs import Job, job_events, job_states
 from docloom.sources import formats as S
@@ -94,7 +95,7 @@ def test_mmr(spark):
 
 def test_packing(spark):
     def pack(items, budget):
-        df = spark.createDataFrame([(1, i, k, float(s), "x" * n) for i, k, s, n in items], "query_id int, item_id string, kind string, score double, text string")
+        df = spark.createDataFrame([(1, i, k, float(s), 0, "x" * n) for i, k, s, n in items], "query_id int, item_id string, kind string, score double, place long, text string")
         q = spark.createDataFrame([(1, budget)], "query_id int, max_chars int")
         return [(r.item_id, r.used) for r in P.pack(df, q).orderBy("seq").collect()]
 
@@ -115,7 +116,7 @@ def test_reports(spark):
     rows = [("c1", "b", (1, 1), "w " * 50), ("c2", "b", (2, 2), "w " * 10), ("c3", "b", (3, 3), "w " * 9), ("c4", "b", (3, 4), None), ("c5", "d", None, "w")]
     chunk = spark.createDataFrame(rows + rows[:1], "chunk_id string, book_id string, page_range struct<start:int,end:int>, content string")
     r = R.coverage(chunk).first()
-    assert (r.pages, r.good, r.short, r.blank, r.chunks, r.multi_chunk_pages, r.coverage) == (3, 1, 1, 1, 4, 1, 33.3333)
+    assert (r.pages, r.good, r.short, r.blank, r.chunks, r.multi_chunk_pages, r.coverage) == (3, 1, 1, 1, 4, 1, 33.3)
     assert {x.book_id: x.n_pages for x in R.page_counts(chunk).collect()} == {"b": 4, "d": 1}
     items = spark.createDataFrame([(i, "g") for i in range(7)] + [(0, "g")], "id int, grp string")
     assert [(x.start, x.n) for x in R.batch_units(items, "id", "grp", 3).orderBy("start").collect()] == [(0, 3), (3, 3), (6, 1)]
@@ -178,7 +179,47 @@ def test_second_pass_searches_again(spark):
     assert {tuple(r) for r in Q.second_pass(one, two).collect()} == {(1, "a", 1.0, 3.0, True), (1, "b", None, 2.0, False), (1, "c", 0.5, None, True)}
 
 
-def test_spec_matches_both_ways(spark):
+def test_lookups_by_containment(spark):
     terms = spark.createDataFrame([(1, "warm", ["b"], False), (2, "pumps", None, False), (3, "warm", ["c"], False), (4, "warm", ["c"], True)], "query_id long, term string, book_ids array<string>, cross_book boolean")
-    spec = spark.createDataFrame([("b", "the warm-up time"), ("b", "Pump"), ("b", ""), ("b", None)], "book_id string, subject string")
-    assert {tuple(r) for r in G.spec_matches(terms, spec).collect()} == {(1, "b", "the warm-up time"), (2, "b", "pump"), (4, "b", "the warm-up time")}
+    spec = spark.createDataFrame([("1", "b", "the warm-up time", "s", 5.0, "5 s", None), ("2", "b", "Pump", None, 1.0, "1", "x"), ("3", "b", "", None, 1.0, "1", None), ("4", "b", None, None, 1.0, "1", None), ("5", "b", "warm", None, 1.0, None, None)], "spec_id string, book_id string, subject string, unit string, value double, raw string, section string")
+    assert {(r.query_id, r.book_id, r.subject) for r in G.spec_lookup(terms, spec).collect()} == {(1, "b", "the warm-up time"), (2, "b", "Pump"), (4, "b", "the warm-up time")}
+    nodes = spark.createDataFrame([("b", "Warming", "S1"), ("b", "Pump", "S2"), ("b", "War", "S3")], "book_id string, name string, section string")
+    assert {(r.query_id, r.section) for r in G.sections_of_terms(terms, nodes).collect()} == {(1, "S1"), (1, "S3"), (2, "S2"), (4, "S1"), (4, "S3")}
+    many = spark.createDataFrame([("b", f"Warm{i}", f"S{i:03d}") for i in range(80)], "book_id string, name string, section string")
+    one = terms.where("query_id = 1")
+    assert G.sections_of_terms(one, many).count() == 50 and G.sections_of_terms(one, many, limit=None).count() == 80
+
+
+def test_packing_by_priority(spark):
+    items = [("p:b:2", "page", 1.0, 10_000_002, 300), ("p:b:1", "page", 9.0, 10_000_001, 300), ("p:b:9", "page", 9.0, 20_000_009, 700), ("t", "table", 5.0, 0, 900), ("u", "table", 4.0, 0, 100), ("c", "chunk", 8.0, 0, 400)]
+    df = spark.createDataFrame([(1, i, k, s, p, "x" * n) for i, k, s, p, n in items], "query_id int, item_id string, kind string, score double, place long, text string")
+    q = spark.createDataFrame([(1, 1000), (2, 50)], "query_id int, max_chars int")
+    specs = spark.createDataFrame([(1, "s" * 50)], "query_id int, block string")
+    got = [(r.item_id, r.used) for r in P.pack(df, q, specs, priority=True).where("query_id = 1").orderBy("seq").collect()]
+    assert got == [("specs", 50), ("p:b:1", 300), ("p:b:2", 300), ("u", 100), ("c", 250)]
+    text = P.context_text(P.pack(df, q, specs, priority=True), df, specs).first()
+    assert text.context.count("\n\n---\n\n") == 4 and text.total_chars == len(text.context) == 1000 + 4 * 7
+
+
+def test_segments(spark):
+    def one(text, f):
+        return spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
+
+    text = "One two three. Four five! six seven eight nine. Ten."
+    assert one(text, lambda c: G2.segments(c, 5)) == ["One two three. Four five!", "six seven eight nine. Ten."]
+    assert one("a b. " * 3, lambda c: G2.segments(c, 1)) == ["a b.", "a b.", "a b."] and one(None, lambda c: G2.segments(c, 5)) is None and one(" ", lambda c: G2.segments(c, 5)) == []
+    long = "Short one. " + "x" * 1201 + ". After it. And more."
+    assert [len(w) for w in one(long, G2.windows)] == [10, 500, 500, 202, 19]
+    sentences = " ".join(f"{'word ' * 29}end{i}." for i in range(6))
+    got = one(sentences, lambda c: G2.overlapping(c, 100))
+    assert [w.count("end") for w in got] == [3, 3, 2] and "end2." in got[0] and "end2." in got[1] and one("few words", lambda c: G2.overlapping(c, 100)) == ["few words"]
+    assert one("The tank. The pump is hot. The pump is cold.", lambda c: G2.best_segment(G2.loose_sentences(c), F.lit("is the pump hot."))) == "The pump is hot."
+    assert one("A first one. Two.", G2.first_sentence) == "A first one." and one(" ", G2.first_sentence) == ""
+
+
+def test_orphans(spark):
+    from docloom.operators import retrieval as Q
+
+    hits = spark.createDataFrame([(1, "gone", ["a", "b"], "x"), (1, None, ["a", "b"], "x"), (1, "c1", ["z"], "x"), (2, None, None, "x"), (3, None, ["a", "b"], "y")], "query_id int, parent_chunk_id string, section_path array<string>, book_id string")
+    chunks = spark.createDataFrame([("c1", "x", ["z"]), ("c2", "x", ["a", "b"]), ("c3", "x", ["a", "b"]), ("c4", "x", None)], "chunk_id string, book_id string, section_path array<string>")
+    assert {tuple(r) for r in Q.orphan_parents(hits, chunks).collect()} == {(1, "c2"), (1, "c3")}

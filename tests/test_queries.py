@@ -2,19 +2,24 @@
 
 import pytest
 
-from docloom.plans import registry
+from docloom.plans import config, registry
 
 from .compare import connect, rows
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
+#: Queries without a row on the smallest tables.
+MAY_BE_EMPTY = {"orphan_fallback"}  # covered by test_orphans
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, name):
+def test_query(spark, name, monkeypatch):
+    # All questions are asked, so that the stages of retrieval have something to find.
+    monkeypatch.setattr(config, "EVERY", 1)
     got = QUERIES[name](spark, FOLDER).toPandas()
+    assert len(got) or name in MAY_BE_EMPTY
     if name in SQL:
-        want = connect(FOLDER).sql(SQL[name]).df()
+        want = connect(FOLDER).sql(SQL[name].replace("ask_id % 100 = 0", "ask_id % 1 = 0")).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
 
