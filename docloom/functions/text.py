@@ -20,7 +20,7 @@ NOISE = (
     r"(?i)^\s*(back|next|index|home|print)\s*$",
     r"^[0-9\s.,+\-]+$",
 )
-# The classes of questions with their patterns; the first that matches holds.
+# The classes of questions with their patterns; the first that matches holds. Groups capture nothing that is read; DuckDB and Java take them alike.
 QUESTION_CLASSES = (
     ("comparison", r"\b(vs|versus|compare|difference)\b"),
     ("process", r"(how\s+(do|does|is|are|was)|explain|describe|sequence|steps|process|procedure)"),
@@ -160,13 +160,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
+# The helpers for SQL users, as SQL over built-in functions.
+_STRIP_SQL = r"regexp_replace({0}, r'^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '')"
+
+
 def register_sql(spark) -> None:
-    """Register the helpers that SQL users call, as SQL functions over built-in expressions."""
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION docloom_title(book_id STRING) RETURNS STRING RETURN initcap(translate(book_id, '_-', '  '))"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION docloom_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN "
-        "aggregate(zip_with(a, b, (x, y) -> cast(x AS double) * cast(y AS double)), cast(0 AS double), (s, x) -> s + x) / "
-        "(sqrt(aggregate(a, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double))) * sqrt(aggregate(b, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double))))"
-    )
+    """Register the helpers that SQL users call, as SQL functions over built-in expressions: docloom_title, docloom_cosine, docloom_uuid5, docloom_tokens,
+    docloom_quality_sentence, docloom_classify."""
+    create = lambda head, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    create("docloom_title(book_id STRING) RETURNS STRING", "initcap(translate(book_id, '_-', '  '))")
+    total = lambda pairs: f"aggregate({pairs}, cast(0 AS double), (s, x) -> s + x)"
+    square = lambda v: f"sqrt(aggregate({v}, cast(0 AS double), (s, x) -> s + cast(x AS double) * cast(x AS double)))"
+    create("docloom_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE", f"{total('zip_with(a, b, (x, y) -> cast(x AS double) * cast(y AS double))')} / ({square('a')} * {square('b')})")
+    digest = f"sha1(concat(unhex('{DNS_NAMESPACE}'), encode(name, 'UTF-8')))"
+    parts = [f"substring({digest}, {a}, {n})" for a, n in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    variant = f"translate(substring({digest}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab')"
+    create("docloom_uuid5(name STRING) RETURNS STRING", f"concat({parts[0]}, '-', {parts[1]}, '-5', {parts[2]}, '-', {variant}, {parts[3]}, '-', {parts[4]})")
+    create("docloom_tokens(text STRING) RETURNS ARRAY<STRING>", r"filter(split(regexp_replace(lower(coalesce(text, '')), r'[^\p{L}\p{M}\p{N}_\s-]', ' '), r'\s+'), t -> length(t) >= 2)")
+    plain = _STRIP_SQL.format("sentence")
+    noise = " AND ".join(f"NOT {plain} RLIKE r'{p}'" for p in NOISE)
+    create("docloom_quality_sentence(sentence STRING) RETURNS BOOLEAN", f"coalesce(length({plain}) >= 30 AND size(split({plain}, r'[\\s\\p{{Z}}]+')) >= 8 AND {noise}, false)".replace("\\\\", "\\"))
+    whens = " ".join(f"WHEN coalesce(question, '') RLIKE r'(?i){p}' THEN '{n}'" for n, p in QUESTION_CLASSES)
+    create("docloom_classify(question STRING) RETURNS STRING", f"CASE {whens} ELSE 'general' END")

@@ -24,7 +24,7 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(bare, r"\|"), X.strip)
 
 
-def _first(headers: Column, words: str) -> Column:
+def first_header(headers: Column, words: str) -> Column:
     """The place of the first header among some words, counted from 0; null without one."""
     names = F.array(*(F.lit(w) for w in words.split()))
     return F.get(F.filter(F.transform(headers, lambda h, i: F.when(F.array_contains(names, F.lower(h)), i)), lambda i: i.isNotNull()), 0)
@@ -39,7 +39,7 @@ def parsed_tables(chunk: DataFrame) -> DataFrame:
     width = F.size("headers")
     filled = F.transform(F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))), lambda r: F.transform(F.col("headers"), lambda _, i: F.coalesce(F.get(r, i), F.lit(""))))
     kept = F.filter(filled, lambda r: F.exists(r, lambda c: c != "") & (width > 0))
-    spec = _first(F.col("headers"), f"{SUBJECT_HEADERS} {PROPERTY_HEADERS}").isNotNull() & _first(F.col("headers"), VALUE_HEADERS).isNotNull()
+    spec = first_header(F.col("headers"), f"{SUBJECT_HEADERS} {PROPERTY_HEADERS}").isNotNull() & first_header(F.col("headers"), VALUE_HEADERS).isNotNull()
     return rows.select("chunk_id", "book_id", "chunk_seq", "section_path", "page_range", "headers", kept.alias("rows"), F.when(spec, "spec").otherwise("generic").alias("pattern"))
 
 
@@ -49,7 +49,7 @@ def _generic(headers: Column, cells: Column) -> Column:
 
 
 def _roles(cells: Column) -> tuple[Column, Column, Column]:
-    at = lambda words: F.coalesce(F.get(cells, _first(F.col("headers"), words)), F.lit(""))
+    at = lambda words: F.coalesce(F.get(cells, first_header(F.col("headers"), words)), F.lit(""))
     return at(f"{SUBJECT_HEADERS} {PROPERTY_HEADERS}"), at(VALUE_HEADERS), at(UNIT_HEADERS)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, knowledge, quantities, retrieval
+from . import documents, knowledge, quantities, retrieval, service
 
 FLAGSHIP = "p3_found"
-MODULES = (quantities, documents, retrieval, knowledge)
+MODULES = (quantities, documents, retrieval, knowledge, service)
 
 
 def queries() -> dict:

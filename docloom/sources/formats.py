@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import strip, uuid5
+
 CHUNK_JSON = (
     "chunk_id string, book_id string, book_title string, section_path array<string>, level int, page_range struct<start:int,end:int>, type string, content string, parent_id string, original_markdown string, "
     "structured_json struct<headers:array<string>,rows:array<map<string,string>>>, linearized_text string"
@@ -38,10 +40,30 @@ def split_units(totals: DataFrame, size: int = 10) -> DataFrame:
     return rows.where("total_pages > 0").select("book_id", "chunk_idx", "start_offset", F.least(F.lit(size), F.col("total_pages") - F.col("start_offset")).alias("page_count"))
 
 
-def reassembled(units: DataFrame) -> DataFrame:
-    """(book_id, markdown): the results of units in their order under a title line, with empty lines between; a book has as many units as a tenth of its pages."""
+def reassembled(units: DataFrame, part: int = 256) -> DataFrame:
+    """(book_id, part_no, markdown): the results of units in their order with empty lines between, in parts of so many units, so that no book has to fit in one row; the
+    first begins with the title line. `joined` makes one text of a book whose parts are few."""
+    filled = units.where(F.trim("content") != "").withColumn("part_no", F.floor(F.col("chunk_idx") / part).cast("int"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "content"))), lambda x: x["content"])
-    return units.where(F.trim("content") != "").groupBy("book_id").agg(parts.alias("_p")).select("book_id", F.concat(F.lit("# Text Extraction: "), "book_id", F.lit("\n\n"), F.array_join("_p", "\n\n")).alias("markdown"))
+    rows = filled.groupBy("book_id", "part_no").agg(F.array_join(parts, "\n\n").alias("_t"))
+    first = rows.groupBy("book_id").agg(F.min("part_no").alias("_first"))
+    title = F.when(F.col("part_no") == F.col("_first"), F.concat(F.lit("# Text Extraction: "), "book_id", F.lit("\n\n"))).otherwise("")
+    return rows.join(first, "book_id").select("book_id", "part_no", F.concat(title, F.col("_t")).alias("markdown"))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """(book_id, markdown): the parts of each book as one text."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("part_no", "markdown"))), lambda x: x["markdown"])
+    return parts.groupBy("book_id").agg(F.array_join(texts, "\n\n").alias("markdown"))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(book_id, page, markdown) of converted pages (book_id, start_offset, page_in_unit from 0, text): a marker with the absolute page before each text; pages without text are left out. Headings
+    `## Page N`, which a plain-text conversion writes, become markers of the same form."""
+    page = F.col("start_offset") + F.col("page_in_unit") + 1
+    plain = F.regexp_replace("text", r"(?m)^##\s+Page\s+[0-9]+\s*$\n?", "")
+    text = F.regexp_replace(plain, r"^\s+|\s+$", "")
+    return pages.select("book_id", page.alias("page"), text.alias("_t")).where("_t <> ''").select("book_id", "page", F.concat(F.lit("## --- PAGE "), F.col("page").cast("string"), F.lit(" ---\n\n"), F.col("_t")).alias("markdown"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -90,3 +112,82 @@ def remove_books(spark: SparkSession, path: str, books: list[str], to: str) -> N
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """The keys that occur more than once: the check that stands for a uniqueness constraint."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+PROPOSITION_JSON = "proposition_id string, text string, parent_chunk_id string, section_path array<string>, page int, source_type string, book_id string, row_data map<string,string>"
+
+
+def read_propositions_json(spark: SparkSession, path: str) -> DataFrame:
+    """Propositions from JSON arrays with an explicit schema."""
+    return spark.read.schema(PROPOSITION_JSON).json(path, multiLine=True)
+
+
+def read_book(spark: SparkSession, path: str, book: str) -> DataFrame:
+    """One book of a table written by book: only its partition is read."""
+    return spark.read.parquet(path).where(F.col("book_id") == book)
+
+
+def page_range_of(value: Column) -> Column:
+    """A page range as struct(start, end), from the JSON of a record or of a list; nulls where there is none."""
+    place = lambda name, i: F.coalesce(F.get_json_object(value, f"$.{name}"), F.get_json_object(value, f"$[{i}]")).try_cast("int")
+    return F.struct(place("start", 0).alias("start"), place("end", 1).alias("end"))
+
+
+def page_texts(page: DataFrame, chunk: DataFrame) -> DataFrame:
+    """(book_id, page, text, origin): the text of each page, from the page table, else the texts of the chunks that cover it in their order."""
+    meta = page.groupBy("book_id", F.col("page_number").alias("page")).agg(F.min("full_content").alias("_m"))
+    rows = chunk.where("page_range.start is not null and content is not null").select("chunk_id", "book_id", "chunk_seq", "page_range", "content").distinct()
+    rows = rows.select("chunk_id", "book_id", "chunk_seq", "content", F.explode(F.sequence("page_range.start", F.greatest("page_range.start", F.coalesce("page_range.end", "page_range.start")))).alias("page"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_seq", "chunk_id", "content"))), lambda x: x["content"]), "\n\n")
+    both = meta.join(rows.groupBy("book_id", "page").agg(texts.alias("_c")), ["book_id", "page"], "full_outer")
+    own = F.nullif("_m", F.lit(""))
+    return both.select("book_id", "page", F.coalesce(own, "_c").alias("text"), F.when(own.isNotNull(), "metadata").otherwise("chunks").alias("origin")).where(F.col("text").isNotNull())
+
+
+def chunk_log(chunk: DataFrame) -> DataFrame:
+    """(page_number, text, chunk_id, chunk_type, section_path, book_id): chunks as the coverage report of the model reads them."""
+    rows = chunk.select("chunk_id", "book_id", "page_range", "type", "content", "linearized_text", "section_path").distinct()
+    text = F.when(F.col("type") == "text", F.coalesce("content", F.lit(""))).otherwise(F.coalesce(F.nullif("linearized_text", F.lit("")), "content", F.lit("")))
+    return rows.select(F.coalesce("page_range.start", F.lit(0)).alias("page_number"), text.alias("text"), "chunk_id", F.col("type").alias("chunk_type"), F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), "book_id")
+
+
+def payloads(proposition: DataFrame, chunk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The payloads of both vector collections with deterministic point ids: propositions (point_id, key, book_id, page, text, section_path, source_type, parent_chunk_id), and sections (point_id,
+    key, book_id, page, text, section_path, chunk_type, page_range), whose payload holds no structured table."""
+    props = proposition.select("proposition_id", "book_id", "page", "text", "section_path", "source_type", "parent_chunk_id").distinct().where(F.col("text").isNotNull())
+    props = props.select(uuid5(F.concat(F.lit("prop::"), "proposition_id")).alias("point_id"), F.col("proposition_id").alias("key"), "book_id", F.coalesce("page", F.lit(0)).alias("page"), "text", "section_path", "source_type", "parent_chunk_id")
+    rows = chunk.select("chunk_id", "book_id", "page_range", "type", "content", "linearized_text", "section_path").distinct()
+    text = F.when(F.col("type") == "text", strip("content")).otherwise(F.coalesce(F.nullif(strip("linearized_text"), F.lit("")), strip("content")))
+    rows = rows.withColumn("text", text).where(F.length("text") >= 20)
+    return props, rows.select(uuid5(F.concat(F.lit("section::"), "chunk_id")).alias("point_id"), F.col("chunk_id").alias("key"), "book_id", F.coalesce("page_range.start", F.lit(0)).alias("page"), "text", "section_path", F.col("type").alias("chunk_type"), "page_range")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Write a checkpoint as JSON lines, by book; of the books in the frame the partitions are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").json(path)
+
+
+def write_run_log(counters: DataFrame, path: str, run: str) -> None:
+    """Append the counters of a run, one row, to the log of runs."""
+    counters.withColumn("run", F.lit(run)).withColumn("finished_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def clear_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Empty tables, their schemas kept."""
+    for path in paths:
+        spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
+
+
+def sse_lines(events: DataFrame) -> Column:
+    """An event (type, content, error) as a `data:` line of a server-sent stream; fields without a value are left out."""
+    return F.concat(F.lit("data: "), F.to_json(F.struct(*(F.col(c) for c in ("type", "content", "error") if c in events.columns))))
+
+
+def once_per_batch(path: str):
+    """A writer for foreachBatch that is safe to repeat: a batch writes to a folder of its number, which a repeated run replaces, so results of a batch that had been written before a crash are
+    not written twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write

@@ -145,7 +145,7 @@ def test_formats(spark, tmp_path):
     totals = spark.createDataFrame([("b", 23), ("e", 0)], "book_id string, total_pages int")
     assert [(r.start_offset, r.page_count) for r in S.split_units(totals).orderBy("chunk_idx").collect()] == [(0, 10), (10, 10), (20, 3)]
     units = spark.createDataFrame([("b", 1, "two"), ("b", 0, "one"), ("b", 2, " ")], "book_id string, chunk_idx int, content string")
-    assert S.reassembled(units).first().markdown == "# Text Extraction: b\n\none\n\ntwo"
+    assert S.joined(S.reassembled(units)).first().markdown == "# Text Extraction: b\n\none\n\ntwo"
     logs = spark.createDataFrame([("t", "ip", "[gpu-1a] task failed"), ("t", "ip", "no id"), ("t", "ip", "[cpu-2] Disconnected")], "ts string, ip string, line string")
     assert [(r.worker_id, r.severity, r.online) for r in S.parse_log(logs).collect()] == [("gpu-1a", "error", True), ("cpu-2", "info", False)]
     sse = spark.createDataFrame([(1, 0, 'data: {"type": "token", "content": "He"}'), (1, 1, 'data: {"type": "token", "content": "y"}'), (1, 2, "data: {bad"), (1, 3, "data: [DONE]"), (1, 4, 'data: {"type": "done"}'), (2, 0, 'data: {"type": "token", "content": "cut"}')], "id int, n int, line string")
