@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.session import cut
+
 
 def _within(key: list[str], block: str, seq: str):
     return Window.partitionBy(*key, block).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,32 +50,64 @@ def running_last(df: DataFrame, key: list[str], block: str, seq: str, value: Col
     return running(df, key, block, seq, lasts={out: (value, initial)})
 
 
-def breadcrumbs(headers: DataFrame, key: str, block: str, seq: str, level: str, title: str, out: str) -> DataFrame:
+#: Blocks whose effects are combined in one row.
+FAN = 256
+_STATE = "struct<keep:int,tail:array<string>>"
+
+
+def _moved(stack: Column, effects: Column) -> Column:
+    """A stack after a block: what the effects for its depth keep of it, and what they append."""
+    return F.transform(F.array(F.get(effects, F.size(stack))), lambda e: F.concat(F.slice(stack, 1, e["keep"]), e["tail"]))[0]
+
+
+def _combined(first: Column, effects: Column) -> Column:
+    """An effect (keep, tail) followed by a block."""
+    e = F.get(effects, first["keep"] + F.size(first["tail"]))
+    keep = F.least(first["keep"], e["keep"])
+    return F.struct(keep.alias("keep"), F.concat(F.slice(first["tail"], 1, e["keep"] - keep), e["tail"]).alias("tail")).cast(_STATE)
+
+
+def _start(depth: int) -> Column:
+    return F.struct(F.lit(depth).cast("int").alias("keep"), F.array().cast("array<string>").alias("tail")).cast(_STATE)
+
+
+def _incoming(effects: DataFrame, key: str, block: str, fan: int) -> DataFrame:
+    """(key, block, _stack): the stack before each block. Effects of `fan` blocks at a time are combined to one, level by level, and the stacks are carried down again: no row holds more than
+    `fan` blocks, whatever the length of a book."""
+    kind, over = dict(effects.dtypes)[block], f"{block}_over"
+    parent = effects.withColumn(over, F.floor(F.col(block) / fan))
+    groups = parent.groupBy(key, over).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("block"), F.col("_effects").alias("effects")))).alias("_b"))
+    top = effects.agg(F.max(block)).first()[0]
+    if top is None or top < fan:
+        above = groups.select(key, over, F.array().cast("array<string>").alias("_stack"))
+    else:
+        groups = cut(groups)
+        combined = groups.select(key, over, F.array(*(F.aggregate("_b", _start(d), lambda acc, b: _combined(acc, b["effects"])) for d in range(4))).alias("_effects"))
+        above = _incoming(combined, key, over, fan)
+    carried = F.aggregate(
+        "_b",
+        F.struct(F.col("_stack").alias("stack"), F.array().cast(f"array<struct<block:{kind},stack:array<string>>>").alias("out")),
+        lambda acc, b: F.struct(_moved(acc["stack"], b["effects"]).alias("stack"), F.array_append(acc["out"], F.struct(b["block"].alias("block"), acc["stack"].alias("stack"))).alias("out")),
+    )["out"]
+    return groups.join(above, [key, over]).select(key, F.inline(carried).alias(block, "_stack"))
+
+
+def breadcrumbs(headers: DataFrame, key: str, block: str, seq: str, level: str, title: str, out: str, fan: int = FAN) -> DataFrame:
     """`out`: the path of each header: the stack is cut to level - 1 entries and the title pushed, so that after a
     skipped level siblings nest.
 
     What a block does to the stack depends on the incoming depth only: it keeps some entries and appends others. These
-    effects are computed for each depth in each block, carried over the blocks of a book, and applied within the blocks.
+    effects are computed for each depth in each block, combined in a tree over the blocks of a book, and applied within the blocks.
     Levels are at most 3, so there are four depths."""
-    state = "struct<keep:int,tail:array<string>>"
 
     def step(acc: Column, h: Column) -> Column:
         size = F.least(acc["keep"] + F.size(acc["tail"]), h["level"] - 1)
         keep = F.least(acc["keep"], size)
-        return F.struct(keep.cast("int").alias("keep"), F.concat(F.slice(acc["tail"], 1, size - keep), F.array(h["title"])).alias("tail")).cast(state)
+        return F.struct(keep.cast("int").alias("keep"), F.concat(F.slice(acc["tail"], 1, size - keep), F.array(h["title"])).alias("tail")).cast(_STATE)
 
-    start = lambda d: F.struct(F.lit(d).cast("int").alias("keep"), F.array().cast("array<string>").alias("tail")).cast(state)
     blocks = headers.groupBy(key, block).agg(F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(level).cast("int").alias("level"), F.col(title).alias("title")))).alias("_h"))
-    effects = blocks.withColumn("_effects", F.array(*(F.aggregate("_h", start(d), step) for d in range(4))))
-    books = effects.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(block).alias("block"), F.col("_effects").alias("effects")))).alias("_b"))
-    move = lambda stack, effects: F.concat(F.slice(stack, 1, F.get(effects, F.size(stack))["keep"]), F.get(effects, F.size(stack))["tail"])
-    empty = F.array().cast("array<string>")
-    carried = F.aggregate(
-        "_b",
-        F.struct(empty.alias("stack"), F.array().cast(f"array<struct<block:{dict(headers.dtypes)[block]},stack:array<string>>>").alias("out")),
-        lambda acc, b: F.struct(move(acc["stack"], b["effects"]).alias("stack"), F.array_append(acc["out"], F.struct(b["block"].alias("block"), acc["stack"].alias("stack"))).alias("out")),
-    )["out"]
-    incoming = books.select(key, F.inline(carried).alias(block, "_stack"))
+    effects = blocks.select(key, block, F.array(*(F.aggregate("_h", _start(d), step) for d in range(4))).alias("_effects"))
+    incoming = _incoming(effects, key, block, fan)
     paths = F.aggregate(
         "_h",
         F.struct(F.col("_stack").alias("stack"), F.array().cast(f"array<struct<seq:{dict(headers.dtypes)[seq]},path:array<string>>>").alias("out")),

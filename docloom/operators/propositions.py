@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions.blocks import running_sum
 from docloom.operators import tables as T
+from docloom.session import cut
 from docloom.sources.corpus import BLOCK_CHUNKS
 
 MIN_ROW, MIN_TABLE = 10, 30
@@ -34,6 +35,7 @@ def propositions(chunk: DataFrame) -> DataFrame:
     whole = whole.select("chunk_id", "book_id", "chunk_seq", F.col("page_range.start").alias("page"), F.lit(2).alias("kind"), F.lit(0).alias("pos"), F.lit("table_full").alias("source_type"), F.col("linearized").alias("text"))
     every = texts.unionByName(rows).unionByName(whole)
     every = every.withColumn("block", F.floor(F.col("chunk_seq") / BLOCK_CHUNKS)).withColumn("seq", F.struct("chunk_seq", "kind", "pos"))
-    numbered = running_sum(every, ["book_id"], "block", "seq", F.lit(1), "_n").withColumn("prop_index", F.col("_n") - 1)
+    # Numbering reads it twice: the sentences are split, filtered and written once.
+    numbered = running_sum(cut(every), ["book_id"], "block", "seq", F.lit(1), "_n").withColumn("prop_index", F.col("_n") - 1)
     key = F.concat_ws("::", "book_id", F.lit("prop"), "chunk_id", F.col("prop_index").cast("string"))
     return numbered.select(X.uuid5(key).alias("proposition_id"), "book_id", "prop_index", F.col("chunk_id").alias("parent_chunk_id"), "source_type", "text", "page")

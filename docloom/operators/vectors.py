@@ -1,13 +1,11 @@
 """Vector search: top-k by cosine of a stated set of queries against all points, in blocks; late interaction; diversity.
 
-Queries go to the workers in blocks of `BLOCK` vectors. Each batch of points is one matrix product, of which only the best k per query leave
-the batch; the final top-k is over those. Points are read once per block and never shuffled. Null and zero vectors have similarity 0;
-vectors of another length than the queries' are null. Ties are ordered by the point's id. Similarities are rounded to 6 places before they are ranked."""
+Points and queries are hashed into blocks of bounded size, and every block of points meets every block of queries in one task: a matrix product, of which only the best k per query leave
+it; the final top-k is over those. Nothing goes through the driver, and no side is broadcast. The work is that of all pairs, as brute force is. Null and zero vectors have
+similarity 0; vectors of another length than the queries' are null. Ties are ordered by the point's id. Similarities are rounded to 6 places before they are ranked."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +14,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import dot
 from docloom.operators.lexical import top_per
 
-#: Query vectors that are held by the driver and sent to the workers at once, at most.
-BLOCK = 1024
+#: Points and queries of one block, about: what one task holds.
+POINT_BLOCK, QUERY_BLOCK = 32_768, 4_096
 
 
 def _unit_rows(vectors: list, size: int) -> np.ndarray:
@@ -31,39 +29,30 @@ def _unit_rows(vectors: list, size: int) -> np.ndarray:
 
 def vector_topk(points: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", exclude_self: bool = False) -> DataFrame:
     """(query, key, score, rank). `queries` has (query, vector)."""
-    spark = points.sparkSession
-    kind = dict(points.dtypes)[key]
-    query_kind = dict(queries.dtypes)[query]
-    found: DataFrame | None = None
-    rows = queries.select(query, vector).where(F.col(vector).isNotNull()).orderBy(query).toLocalIterator()
-    block: list = []
-
-    def search(batch: list) -> DataFrame:
-        size = len(batch[0][1])
-        held = spark.sparkContext.broadcast(([r[0] for r in batch], _unit_rows([r[1] for r in batch], size)))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = held.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                scores = np.round(_unit_rows(list(pdf[vector]), size) @ matrix.T, 6)
-                keys = pdf[key].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                keys, scores = keys[order], scores[order]
-                best = np.argsort(-scores, axis=0, kind="stable")[: k + 1]
-                yield pd.DataFrame({query: np.repeat(np.array(ids, dtype=object), len(best)), key: keys[best].T.ravel(), "score": np.take_along_axis(scores, best, 0).T.ravel()})
-
-        return points.select(key, vector).mapInPandas(scan, f"{query} {query_kind}, {key} {kind}, score double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == BLOCK:
-            found, block = search(block) if found is None else found.unionByName(search(block)), []
-    if block:
-        found = search(block) if found is None else found.unionByName(search(block))
-    if found is None:
-        found = spark.createDataFrame([], f"{query} {query_kind}, {key} {kind}, score double")
+    kind, query_kind = dict(points.dtypes)[key], dict(queries.dtypes)[query]
+    asked = queries.where(F.col(vector).isNotNull())
+    point_blocks, query_blocks = max(1, -(-points.count() // POINT_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    block = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"), block(key, point_blocks).alias("_p"), every(query_blocks).alias("_q"))
+    right = asked.select(F.col(query).alias("_query"), F.col(vector).alias("_vector"), every(point_blocks).alias("_p"), block(query, query_blocks).alias("_q"))
+    columns = [query, key, "score"]
+
+    def best(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(held):
+            return pd.DataFrame({c: [] for c in columns})
+        own = own.sort_values("_key", kind="stable")
+        size = len(held["_vector"].iloc[0])
+        keys, matrix = own["_key"].to_numpy(), _unit_rows(list(own["_vector"]), size)
+        parts = []
+        for at in range(0, len(held), 256):
+            ids = held["_query"].to_numpy()[at : at + 256]
+            scores = np.round(matrix @ _unit_rows(list(held["_vector"].iloc[at : at + 256]), size).T, 6)
+            first = np.argsort(-scores, axis=0, kind="stable")[: k + 1]
+            parts.append(pd.DataFrame({query: np.repeat(ids, len(first)), key: keys[first].T.ravel(), "score": np.take_along_axis(scores, first, 0).T.ravel()}))
+        return pd.concat(parts)
+
+    found = left.groupBy("_p", "_q").cogroup(right.groupBy("_p", "_q")).applyInPandas(best, f"{query} {query_kind}, {key} {kind}, score double")
     if exclude_self:
         found = found.where(F.col(query) != F.col(key))
     return top_per(found, query, [F.desc("score"), F.asc(key)], k)

@@ -73,7 +73,7 @@ def test_fusion(spark):
 
 
 def test_vectors_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 3)  # several blocks of queries
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)  # several blocks of queries
     rng = np.random.default_rng(2)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, None), (61, [0.0] * 8), (62, [1.0])]
     points = spark.createDataFrame(data, "vec_id long, embedding array<float>")
@@ -223,3 +223,36 @@ def test_orphans(spark):
     hits = spark.createDataFrame([(1, "gone", ["a", "b"], "x"), (1, None, ["a", "b"], "x"), (1, "c1", ["z"], "x"), (2, None, None, "x"), (3, None, ["a", "b"], "y")], "query_id int, parent_chunk_id string, section_path array<string>, book_id string")
     chunks = spark.createDataFrame([("c1", "x", ["z"]), ("c2", "x", ["a", "b"]), ("c3", "x", ["a", "b"]), ("c4", "x", None)], "chunk_id string, book_id string, section_path array<string>")
     assert {tuple(r) for r in Q.orphan_parents(hits, chunks).collect()} == {(1, "c2"), (1, "c3")}
+
+
+def test_breadcrumbs_in_a_tree_of_blocks(spark):
+    import random
+
+    from docloom.functions.blocks import breadcrumbs
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for book in ("a", "b"):
+        stack = []
+        for seq in range(400):
+            level = rng.choice([1, 2, 3, 3])
+            stack = [*stack[: level - 1], f"{book}{seq}"]
+            rows.append((book, seq // 3, seq, level, f"{book}{seq}"))
+            want[book, seq] = tuple(stack)
+    df = spark.createDataFrame(rows, "book string, block long, seq long, level int, title string")
+    for fan in (4, 256):
+        got = {(r.book, r.seq): tuple(r.path) for r in breadcrumbs(df, "book", "block", "seq", "level", "title", "path", fan=fan).collect()}
+        assert got == want
+    assert breadcrumbs(df.limit(0), "book", "block", "seq", "level", "title", "path").count() == 0
+
+
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(300)] + [(900, None), (901, [0.0] * 8)]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = points.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = {tuple(r) for r in V.vector_topk(points, queries, 5).collect()}
+    monkeypatch.setattr(V, "POINT_BLOCK", 40)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in V.vector_topk(points, queries, 5).collect()} == whole and len(whole) == 30 * 5
+    assert V.vector_topk(points.limit(0), queries, 5).count() == 0 and V.vector_topk(points, queries.limit(0), 5).count() == 0
