@@ -21,6 +21,8 @@ ENTITY_PATTERN = r"^[A-Z][a-z]{5,}$"
 #: What the stand-in for a recognition model takes for a quantity, a code, a name: the first group.
 QUANTITY_PATTERN = rf"([0-9][,0-9]*(?:\.[0-9]+)?\s*(?:{SPEC_UNITS})\b)"
 CODE_PATTERN, NAME_PATTERN = r"(?:^|[^A-Za-z0-9_])([A-Z]{2,}-?[0-9]+)", r"(?:^|[^A-Za-z0-9_])([A-Z][a-z]{5,})"
+# Fixed value: the least characters of a sentence in which entities are looked for.
+LEAST_SENTENCE = 20
 # Fixed value: how many sections and specifications the model takes from the graph.
 GRAPH_LIMIT = 50
 
@@ -115,6 +117,23 @@ def accumulated(existing: DataFrame, incoming: DataFrame, sections: int = 20) ->
     return both.groupBy("book_id", "a", "b").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sections")))), 1, sections).alias("sections"))
 
 
+def table_nodes(chunk: DataFrame) -> DataFrame:
+    """(book_id, id, title, headers, row_count, section): a node for each table, merged over its chunks in their order: the first headers, the last title and number of rows."""
+    rows = chunk.where("type = 'table'").select("book_id", "chunk_id", "chunk_seq", "section_path", "headers", F.coalesce(F.size("rows"), F.lit(0)).alias("n_rows")).distinct()
+    section = F.coalesce(F.try_element_at("section_path", F.lit(-1)), F.lit(""))
+    title = F.when(section == "", "Table").otherwise(F.concat(F.lit("Table: "), section))
+    order = F.struct("chunk_seq", "n_rows")
+    headers = F.min_by(F.array_join("headers", "|"), F.when(F.col("headers").isNotNull(), order))
+    return rows.groupBy("book_id", F.col("chunk_id").alias("id")).agg(F.max_by(title, order).alias("title"), headers.alias("headers"), F.max_by("n_rows", order).alias("row_count"), F.min_by(section, order).alias("section"))
+
+
+def table_row_nodes(rows: DataFrame) -> DataFrame:
+    """(book_id, id, parameter, value, unit, row_index): a node for each table row; a row that is loaded again leaves the first as it is."""
+    once = rows.select("book_id", "id", "parameter", "value", "unit", "row_index").distinct()
+    fields = F.struct("row_index", "parameter", "value", "unit")
+    return once.groupBy("book_id", "id").agg(F.min(fields).alias("_r")).select("book_id", "id", "_r.parameter", "_r.value", "_r.unit", "_r.row_index")
+
+
 def entity_nodes(mentions: DataFrame, spec: DataFrame) -> DataFrame:
     """(book_id, name, type, n): merged entity nodes: of the types a name has the first, `equipment` for those that only specifications name."""
     said = mentions.select("book_id", F.lower("name").alias("name"), F.col("label").alias("type"), F.lit(0).alias("_order"))
@@ -126,7 +145,7 @@ def entity_mentions(sentences: DataFrame) -> DataFrame:
     """(chunk_id, book_id, section, pos, at, name): capitalised words of six letters and more, the stand-in for a recognition model."""
     words = F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
     names = F.filter(words, lambda w: w.rlike(ENTITY_PATTERN))
-    return sentences.select("chunk_id", "book_id", "section", "pos", F.posexplode(names).alias("at", "name"))
+    return sentences.where(F.length("sentence") >= LEAST_SENTENCE).select("chunk_id", "book_id", "section", "pos", F.posexplode(names).alias("at", "name"))
 
 
 def entities(mentions: DataFrame) -> DataFrame:

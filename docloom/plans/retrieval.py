@@ -446,6 +446,20 @@ _near = lambda k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY que
 _dots = lambda q, d: f"list_inner_product(CAST({q} AS DOUBLE[]), CAST({d} AS DOUBLE[]))"
 _parts = lambda q: " + ".join("greatest(" + ", ".join(_dots(f"q.embedding[{i * 16 + 1}:{i * 16 + 16}]", f"d.embedding[{j * 16 + 1}:{j * 16 + 16}]") for j in range(4)) + ")" for i in range(4))
 
+
+
+def _mmr(k: int) -> str:
+    """Greedy picks, one step after the other."""
+    sim = "list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))"
+    steps = [f"WITH n AS ({_near(20)}), c0 AS (SELECT n.query_id, n.vec_id, n.score, e.embedding FROM n JOIN embeddings e USING (vec_id))", "k1 AS (SELECT query_id, arg_max(vec_id, (round(0.7 * score, 9), -vec_id)) AS vec_id, 1 AS pick FROM c0 GROUP BY query_id)"]
+    for i in range(2, k + 1):
+        picked = " UNION ALL ".join(f"SELECT query_id, vec_id FROM k{j}" for j in range(1, i))
+        steps.append(f"q{i} AS (SELECT b.query_id, e.embedding FROM ({picked}) b JOIN embeddings e USING (vec_id))")
+        steps.append(f"v{i} AS (SELECT c.query_id, c.vec_id, round({K.MMR_WEIGHT} * any_value(c.score) - (1 - {K.MMR_WEIGHT}) * max({sim}), 9) AS v, any_value(c.score) AS s FROM c0 c JOIN q{i} p USING (query_id) WHERE (c.query_id, c.vec_id) NOT IN (SELECT (query_id, vec_id) FROM ({picked})) GROUP BY ALL)")
+        steps.append(f"k{i} AS (SELECT query_id, arg_max(vec_id, (v, s, -vec_id)) AS vec_id, {i} AS pick FROM v{i} GROUP BY query_id)")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT * FROM k{j}" for j in range(1, k + 1))
+
+
 SQL = {
     "classify_questions": f"SELECT ask_id, {_class('question')} AS query_class FROM (SELECT DISTINCT ask_id, question FROM ask_log)",
     "route_limits": f"WITH {QUESTIONS} SELECT query_id, mode, query_class, prop_limit, sect_limit, top_n, max_chars, history_pairs, CAST(boost AS DOUBLE) AS boost, page_range, cross_book FROM questions",
@@ -455,6 +469,7 @@ SQL = {
     "vector_topk": f"SELECT query_id, vec_id, score, rank::INT AS rank FROM ({_near(20)})",
     "two_stage_topk": f"WITH f AS ({_near(30)}), s AS (SELECT f.query_id, f.vec_id, round({_parts('')}, 5) AS score FROM f JOIN embeddings q ON q.vec_id = f.query_id JOIN embeddings d ON d.vec_id = f.vec_id) "
     "SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10",
+    "mmr_select": _mmr(5),
     "rrf_fuse": _end(BOTH, f" SELECT query_id, chunk_id, round(1 / ({K.RRF_K} + coalesce(d.rank, 1000000)) + 1 / ({K.RRF_K} + coalesce(p.rank, 1000000)), 6) AS rrf_score FROM direct d FULL JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY child_score DESC, chunk_id) AS rank FROM parents) p USING (query_id, chunk_id)"),
     "small_to_big": _end(BOTH, " SELECT * FROM parents"),
     "orphan_fallback": _end(BOTH, " SELECT * FROM orphans"),

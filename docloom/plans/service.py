@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom import models
 from docloom.functions import segments as G
 from docloom.functions import text as X
 from docloom.operators import chunking as C
@@ -13,6 +14,7 @@ from docloom.operators import pagetext as P
 from docloom.operators import reports as R
 from docloom.operators import service as S
 from docloom.operators import tables as T
+from docloom.operators import vectors as V
 from docloom.operators.retrieval import search
 from docloom.plans import config as K
 from docloom.session import read
@@ -191,6 +193,23 @@ def entity_types(spark, sf_dir):
     return graph.entity_nodes(_mentions(spark, sf_dir).withColumn("label", F.lit("Entity")), spec)
 
 
+def table_nodes(spark, sf_dir):
+    """Table nodes and their rows, by table."""
+    nodes = graph.table_nodes(read(spark, sf_dir, "chunk"))
+    rows = graph.table_row_nodes(read(spark, sf_dir, "table_row")).groupBy("book_id", F.regexp_replace("id", "_row_[0-9]+$", "").alias("id")).agg(F.count("*").alias("n_row_nodes"), F.count("value").alias("n_values"))
+    return nodes.join(rows, ["book_id", "id"], "left")
+
+
+def prop_vector_topk(spark, sf_dir):
+    """The nearest propositions of each stated question, over all books, by the vectors of the stand-in model, as many as its limit."""
+    s = Stages(spark, sf_dir)
+    props = s.props.select("proposition_id", "text", "book_id")
+    asked = models.embedded(s.questions.select("query_id", "question"), "question", prefix=models.QUERY_PREFIX)
+    found = V.vector_topk(models.embedded(props, "text"), asked, max(m[0] for m in K.MODES.values()), key="proposition_id")
+    limited = found.join(s.questions.select("query_id", "prop_limit"), "query_id").where(F.col("rank") <= F.col("prop_limit"))
+    return limited.select("query_id", "proposition_id", "score", "rank")
+
+
 def graph_report(spark, sf_dir):
     """The counters of a load: mentions, entities, specifications, paths."""
     mentions, chunk = _mentions(spark, sf_dir), read(spark, sf_dir, "chunk")
@@ -268,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         page_tables, page_contents, unit_barriers, active_units, worker_waits, stages_left, replayed_results, batch_rollup, phase_progress, upload_problems, missing_parents, worker_log_tail, resolved_paths,
-        folder_signatures, coerced_ids, cited_books, clean_answers, newest_state, document_updates, cooccurrence_twice, entity_types, graph_report, multi_chunk_pages, chunk_log, vector_payloads, entity_windows,
+        folder_signatures, coerced_ids, cited_books, clean_answers, newest_state, document_updates, cooccurrence_twice, entity_types, table_nodes, prop_vector_topk, graph_report, multi_chunk_pages, chunk_log, vector_payloads, entity_windows,
         chunk_segments, overlapping_windows, hybrid_topk, recent_chats, removed_book, page_fallback,
     )
 }
@@ -348,6 +367,9 @@ SQL = {
     "cooccurrence_twice": f"""WITH {MENTIONS}, d AS (SELECT DISTINCT chunk_id, book_id, section, pos, name FROM ms), p AS (SELECT x.book_id, x.name AS a, y.name AS b, x.section FROM d x JOIN d y ON x.chunk_id = y.chunk_id AND x.pos = y.pos AND x.name < y.name)
         SELECT book_id, a, b, 2 * count(*) AS n, array_to_string(list_sort(list(DISTINCT section))[1:20], '|') AS sections FROM p GROUP BY book_id, a, b""",
     "entity_types": f"WITH {MENTIONS}, u AS (SELECT book_id, lower(name) AS name, 'Entity' AS type, 0 AS o FROM ms UNION ALL SELECT book_id, lower(subject), 'equipment', 1 FROM (SELECT DISTINCT spec_id, book_id, subject FROM spec WHERE subject IS NOT NULL)) SELECT book_id, name, arg_min(type, o) AS type, count(*) AS n FROM u GROUP BY book_id, name",
+    "table_nodes": """WITH t AS (SELECT DISTINCT book_id, chunk_id, chunk_seq, section_path, headers, coalesce(len("rows"), 0) AS n FROM chunk WHERE type = 'table'), r AS (SELECT book_id, regexp_replace(id, '_row_[0-9]+$', '') AS id, count(DISTINCT id) AS n_row_nodes, count(DISTINCT id) FILTER (value IS NOT NULL) AS n_values FROM table_row GROUP BY ALL)
+        SELECT t.book_id, t.chunk_id AS id, CASE WHEN coalesce(section_path[len(section_path)], '') = '' THEN 'Table' ELSE 'Table: ' || section_path[len(section_path)] END AS title, array_to_string(headers, '|') AS headers, n::INT AS row_count, coalesce(section_path[len(section_path)], '') AS section, n_row_nodes, n_values
+        FROM t LEFT JOIN r ON r.book_id = t.book_id AND r.id = t.chunk_id""",
     "graph_report": f"WITH {MENTIONS} SELECT count(*) AS mentions, count(DISTINCT (book_id, name)) AS entities, (SELECT count(DISTINCT (book_id, subject, lower(coalesce(unit, '')))) FROM spec) AS specs, (SELECT count(DISTINCT (book_id, array_to_string(section_path, '>>'))) FROM chunk WHERE section_path IS NOT NULL) AS section_paths FROM ms",
     "multi_chunk_pages": "SELECT book_id, page_range.start AS page, count(DISTINCT chunk_id) AS n_chunks FROM chunk WHERE page_range.start IS NOT NULL GROUP BY ALL HAVING count(DISTINCT chunk_id) > 1",
     "chunk_log": "SELECT coalesce(page_range.start, 0) AS page_number, CASE WHEN type = 'text' THEN coalesce(content, '') ELSE coalesce(nullif(linearized_text, ''), content, '') END AS text, chunk_id, type AS chunk_type, coalesce(array_to_string(section_path, ' > '), '') AS section_path, book_id FROM (SELECT DISTINCT chunk_id, book_id, page_range, type, content, linearized_text, section_path FROM chunk)",

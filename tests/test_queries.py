@@ -9,7 +9,7 @@ from .compare import connect, rows
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries without a row on the smallest tables.
-MAY_BE_EMPTY = {"orphan_fallback"}  # covered by test_orphans
+MAY_BE_EMPTY = {"missing_parents", "orphan_fallback"}  # covered by test_service_tables and test_orphans
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -36,6 +36,8 @@ def test_service_tables(spark):
     assert spark.range(1).select(S.phase_percent(F.lit(100.0), F.lit(100.0))).first()[0] == 99 and spark.range(1).select(S.phase_percent(F.lit(0.0), F.lit(50.0))).first()[0] == 73
     ids = spark.createDataFrame([("plain",), (None,), ('{"id": "", "book_id": {"title": "deep"}}',), ('{"$oid": "o"}',), ('{"x": 1}',)], "v string")
     assert [r[0] for r in ids.select(S.book_id_of(F.col("v"))).collect()] == ["plain", "", "deep", "o", ""]
+    wanted, held = spark.createDataFrame([("x",), ("x",), ("y",)], "k string"), spark.createDataFrame([("y",), ("z",)], "k string")
+    assert [r.k for r in S.missing(wanted, held, ["k"]).collect()] == ["x"]
     rows = spark.createDataFrame([(1, 1, "a", 1), (1, 2, None, 2), (2, 1, None, 0)], "k int, n int, v string, c long")
     assert {tuple(r) for r in S.applied(rows, ["k"], ["n"], ["v"], ["c"]).collect()} == {(1, "a", 3), (2, None, 0)}
     chats = spark.createDataFrame([("c", "u")], "chat_id string, user_id string")
