@@ -28,6 +28,8 @@ LEAST_CHARS, PAGE_CAP, PAGE_TRIM, CHUNK_TRIM = 2000, 9000, 500, 200
 ADAPTIVE_STANDIN = 1.5
 #: Questions whose id is divisible by this are asked; reranked candidates below this score are left out (0: none).
 EVERY, RERANK_FLOOR = 100, 0.0
+#: The same for lookups that few questions answer.
+EVERY_LOOKUP = 10
 #: So many times the limit of BM25 hits are fused.
 HYBRID_POOL = 2
 ADJACENT, SEPARATOR = 2, "\n\n---\n\n"

@@ -10,6 +10,7 @@ from docloom.operators import jobs as J
 from docloom.operators import propositions as P
 from docloom.operators import reports as R
 from docloom.operators.retrieval import question_terms, routed_questions
+from docloom.plans import config as K
 from docloom.session import read
 from docloom.sources.formats import duplicate_keys, split_units
 from docloom.streaming import events as E
@@ -43,7 +44,7 @@ def spec_lookup(spark, sf_dir):
 
 def term_sections(spark, sf_dir):
     """Sections that mention an entity of a stated question."""
-    questions = routed_questions(read(spark, sf_dir, "ask_log"))
+    questions = routed_questions(read(spark, sf_dir, "ask_log"), min(K.EVERY, K.EVERY_LOOKUP))
     return G.sections_of_terms(question_terms(questions), entity_sections(spark, sf_dir))
 
 
@@ -262,7 +263,7 @@ SQL = {
     "message_counters": f"WITH {MESSAGES} SELECT chat_id, count(*) AS n_messages, max(created_at)::VARCHAR AS updated_at FROM mm GROUP BY chat_id",
     "spec_upsert": f"SELECT book_id, subject, unit, {_kept('value')} AS value, {_kept('raw')} AS raw, arg_min(section, spec_id) FILTER (section IS NOT NULL) AS section, count(*) AS n_seen FROM (SELECT DISTINCT spec_id, book_id, subject, lower(coalesce(unit, '')) AS unit, value, raw, section FROM spec) GROUP BY ALL",
     "spec_lookup": f"""WITH {QUESTIONS}, {SPECS_OF} SELECT query_id, book_id, subject, unit, raw FROM specs""",
-    "term_sections": f"""WITH {QUESTIONS}, {SECTIONS_OF} SELECT query_id, section FROM gs""",
+    "term_sections": f"""WITH {QUESTIONS}, {SECTIONS_OF} SELECT query_id, section FROM gs""".replace("ask_id % 100 = 0", f"ask_id % {K.EVERY_LOOKUP} = 0"),
     "recognised_entities": f"""WITH {RECOGNISED} SELECT DISTINCT proposition_id, name, label FROM rec""",
     "entity_mentions": f"WITH {MENTIONS} SELECT book_id, name, count(*) AS n_mentions, count(DISTINCT section) AS n_sections FROM ms GROUP BY ALL",
     "cooccurrence": f"""WITH {MENTIONS}, d AS (SELECT DISTINCT chunk_id, book_id, section, pos, name FROM ms),

@@ -25,9 +25,9 @@ from .graph_sql import HIERARCHY, MENTIONS
 class Stages:
     """The stages over one data folder, each built when it is asked for. What several stages read is cut once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, every: int | None = None):
         self.read = partial(read, spark, sf_dir)
-        self.questions = R.routed_questions(self.read("ask_log"))
+        self.questions = R.routed_questions(self.read("ask_log"), every)
         chunk = self.read("chunk")
         self.chunks = chunk.select("chunk_id", "book_id", "chunk_seq", "section_path", "page_range", "type", "content", "linearized_text").distinct()
         self.texts = self.chunks.select("chunk_id", "book_id", F.col("content").alias("text")).where(F.col("content").isNotNull())
@@ -265,7 +265,7 @@ def sources_report(spark, sf_dir):
 
 def section_tree(spark, sf_dir):
     """The headings around the first two chunks."""
-    s = Stages(spark, sf_dir)
+    s = Stages(spark, sf_dir, min(K.EVERY, K.EVERY_LOOKUP))
     return C.hierarchy_block(s.pages(), s.read("page"))
 
 
@@ -503,6 +503,6 @@ SQL = {
       zf AS (SELECT query_id, book_id, array_to_string(sections[1:depth + 1], ' > ') AS path, min({{'page': page, 'depth': depth, 'h': sections[depth + 1], 'leaf': depth = len(sections) - 1, 'shown': shown}}) AS f FROM zx GROUP BY ALL),
       zl AS (SELECT *, repeat('  ', f.depth::INT + 1) AS i FROM zf),
       zb AS (SELECT query_id, book_id, '**' || book_id || '**' || chr(10) || string_agg(CASE WHEN f.leaf THEN i || '- **' || f.h || '**' || chr(10) || i || '  → ' || f.shown ELSE i || '- ' || f.h END, chr(10) ORDER BY f.page, f.depth, path) AS part FROM zl GROUP BY query_id, book_id)
-      SELECT query_id, '## Document Structure' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY book_id) AS block FROM zb GROUP BY query_id"""),
+      SELECT query_id, '## Document Structure' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY book_id) AS block FROM zb GROUP BY query_id""").replace("ask_id % 100 = 0", f"ask_id % {K.EVERY_LOOKUP} = 0"),
     "score_distribution": _end(BOTH, " SELECT query_id, min(rerank_score) AS least, round(quantile_cont(rerank_score, 0.5), 6) AS median, max(rerank_score) AS most, count(*) FILTER (child_score IS NOT NULL OR (from_direct AND from_graph)) AS n_boosted FROM ranked GROUP BY query_id"),
 }
