@@ -98,22 +98,28 @@ def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
         items = np.full((len(own), max(len(pairs[i][1]) for i in own)), -2, dtype=np.int32)
         for row, i in enumerate(own):
             docs[row, : len(pairs[i][0])], items[row, : len(pairs[i][1])] = pairs[i]
-        ramp = np.arange(width, dtype=np.int32) * -GAP
-        table, run = np.zeros((len(own), width + 1), dtype=np.int32), np.zeros((len(own), width + 1), dtype=np.int32)
-        best, most = np.zeros(len(own), dtype=np.int32), np.zeros(len(own), dtype=np.int32)
+        # Small numbers where the scores fit in them: the tables are read and written as often as an item has words.
+        kind = np.int16 if 2 * MATCH * items.shape[1] + width < 32_000 else np.int32
+        ramp = np.arange(width, dtype=kind) * kind(-GAP)
+        table, run = np.zeros((len(own), width + 1), dtype=kind), np.zeros((len(own), width + 1), dtype=kind)
+        reach, down, gain = (np.empty((len(own), width), dtype=t) for t in (kind, kind, np.int8))
+        best, most = np.zeros((len(own), width), dtype=kind), np.zeros((len(own), width), dtype=kind)
         for k in range(items.shape[1]):
-            same = docs == items[:, k : k + 1]
-            reach = table[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
-            np.maximum(reach, table[:, 1:] + GAP, out=reach)
+            same = (docs == items[:, k : k + 1]).view(np.int8)
+            np.multiply(same, np.int8(MATCH - MISMATCH), out=gain)
+            gain += np.int8(MISMATCH)
+            np.add(table[:, :-1], gain, out=reach)
+            np.add(table[:, 1:], kind(GAP), out=down)
+            np.maximum(reach, down, out=reach)
             np.maximum(reach, 0, out=reach)
+            np.maximum(best, reach, out=best)  # a gap never raises the best score
             reach += ramp
             np.maximum.accumulate(reach, axis=1, out=reach)  # gaps along the document
-            reach -= ramp
-            table[:, 1:] = reach
-            run[:, 1:] = (run[:, :-1] + 1) * same
-            np.maximum(best, reach.max(axis=1), out=best)
-            np.maximum(most, run.max(axis=1), out=most)
-        score[own], longest[own] = best, most
+            np.subtract(reach, ramp, out=table[:, 1:])
+            np.add(run[:, :-1], kind(1), out=down)
+            np.multiply(down, same, out=run[:, 1:])
+            np.maximum(most, run[:, 1:], out=most)
+        score[own], longest[own] = best.max(axis=1), most.max(axis=1)
     return score, longest
 
 
