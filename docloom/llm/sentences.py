@@ -200,7 +200,7 @@ class _Reader:
 def _stop_ends(reader: _Reader, at: int, nxt: str, after: int, spaced: bool) -> bool:
     """Whether the full stop at `at` ends a sentence, given the next character that is no space."""
     text, held = reader.text, reader.held
-    word = text[reader.run_before(at) : at]
+    word = text[max(reader.run_before(at), at - 64) : at]  # only short words are looked up
     for mark in _LEADING:
         if mark in word:
             word = word[word.rfind(mark) + 1 :]

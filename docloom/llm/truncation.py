@@ -58,7 +58,6 @@ _STRUCTURE = re.compile(
 )
 #: A line with the end of a sentence within it is prose, whatever it begins with.
 _PROSE = re.compile(r"\w{3,}[.!?。！？।]\s+\S")
-_WORD_END = re.compile(r"(\S+)$")
 _TERMINAL = set(STERM + ATERM)
 _CLOSING = set(CLOSE) | set("*_`")
 #: Abbreviations that are words too: at the end of a text they end a sentence.
@@ -175,8 +174,8 @@ def signs_of(text: str | None) -> dict | None:
             if before and before[-1] not in _TERMINAL:
                 broken = "ellipsis"
         elif terminated and end in ATERM:
-            word = _WORD_END.search(core[:-1])
-            word = word.group(1).lstrip("([„“«\"'") if word else ""
+            stem = core[:-1]
+            word = "" if not stem or stem[-1].isspace() else stem.rsplit(None, 1)[-1].lstrip("([„“«\"'")
             low = word.lower()
             alone = len(body) <= len(word) + 2
             if not alone:

@@ -70,3 +70,11 @@ def test_abbreviations_hold_in_the_languages_of_the_text():
     assert len(sentence_ends(german)) == 1 and len(sentence_ends(english)) == 2
     assert len(sentence_ends("Das ist z. B. Öl und nicht Wasser.")) == 1
     assert len(sentence_ends("See annex B. The valve is shut.")) == 2 and len(sentence_ends("It is by J. Smith and not by me.")) == 1
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert len(sentence_ends("a." * 200_000 + " End")) <= 2 and sentence_ends("x" * 300_000 + " y. The end.")[-1] == 300_012
+    assert time.perf_counter() - began < 20
