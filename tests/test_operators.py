@@ -256,3 +256,61 @@ def test_vectors_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "QUERY_BLOCK", 7)
     assert {tuple(r) for r in V.vector_topk(points, queries, 5).collect()} == whole and len(whole) == 30 * 5
     assert V.vector_topk(points.limit(0), queries, 5).count() == 0 and V.vector_topk(points, queries.limit(0), 5).count() == 0
+
+
+def _ranked_by_hand(docs, questions):
+    """The search over rows in Python: documents (key, book, text), questions (id, text, books, cross, limit)."""
+    pieces = {}
+    for key, _, text in docs:
+        t = text.split()
+        pieces.setdefault((key, len(t)), []).extend(t)
+    n, average = len(docs), sum(len(t.split()) for *_, t in docs) / len(docs)
+    words = {w for t in pieces.values() for w in t}
+    df = {w: sum(w in t for t in pieces.values()) for w in words}
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: 0.25 * mean if v < 0 else v for w, v in idf.items()}
+    out = set()
+    for q, asked, books, cross, limit in questions:
+        score = {}
+        for (key, dl), t in pieces.items():
+            for w in asked.split():
+                if t.count(w):
+                    score[key] = score.get(key, 0) + idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * dl / average))
+        found = sorted((-round(score.get(key, 0), 6), key) for key, book, _ in docs if score.get(key, 0) > 0 and (cross or not books or book in books))
+        out |= {(q, key, -s, i + 1) for i, (s, key) in enumerate(found[:limit])}
+    return out
+
+
+def test_search_keeps_no_pair_of_question_and_document(spark, monkeypatch):
+    """Every question meets every document in a few blocks; only the best leave the tasks: keys in several rows and books, ties, limits, questions in several passes."""
+    import random
+
+    from docloom.operators import retrieval as R
+
+    some = random.Random(3)
+    words = [f"w{i:02d}" for i in range(12)]
+    docs = [(f"k{some.randrange(330):03d}", f"b{some.randrange(4)}", " ".join(some.choices(words, k=some.randrange(1, 6)))) for _ in range(400)]
+    docs += [("k000", "b0", "w00 w01"), ("k000", "b1", "w00 w01"), ("k000", "b1", "w02 w03"), ("tie", "b0", "w05 w06"), ("tie2", "b0", "w05 w06")]
+    questions = [(i, " ".join(some.choices(words, k=3)), [None, [], ["b1"], ["b0", "b2"]][i % 4], i % 8 == 3, 1 + i % 7) for i in range(24)]
+    df = spark.createDataFrame(docs, "id string, book_id string, text string").repartition(5)
+    asked = spark.createDataFrame(questions, "query_id long, question string, book_ids array<string>, cross_book boolean, top int")
+    for terms, cells, held in ((10_000, 1_000_000, 1_000_000), (20, 24, 50)):
+        for name, value in (("PASS_TERMS", terms), ("CELLS", cells), ("HELD", held)):
+            monkeypatch.setattr(L, name, value)
+        found = R.search(df, "id", asked, "top")
+        assert {(r.query_id, r.id, r.score, r["rank"]) for r in found.collect()} == _ranked_by_hand(docs, questions)
+        # What leaves the tasks is bounded by the limits and the tasks, not by the pairs.
+        best = L.bm25_best(df, "id", "text", asked, "top", spark.createDataFrame([(d[0],) for d in docs], "id string").groupBy("id").count().where("count > 1").select("id"))
+        assert best.count() < len(docs) * len(questions) / 4
+    assert R.search(df, "id", asked.limit(0), "top").count() == 0 and R.search(df.limit(0), "id", asked, "top").count() == 0
+
+
+def test_distinct_rows(spark):
+    from docloom.session import distinct_rows, repeated_keys
+
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 1), (None, 2), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    keys = repeated_keys(df, "k")
+    assert [r.k for r in keys.collect()] == ["a"]
+    assert sorted(map(str, distinct_rows(df, "k", keys).collect())) == sorted(map(str, df.distinct().collect()))
