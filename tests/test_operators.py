@@ -314,3 +314,21 @@ def test_distinct_rows(spark):
     keys = repeated_keys(df, "k")
     assert [r.k for r in keys.collect()] == ["a"]
     assert sorted(map(str, distinct_rows(df, "k", keys).collect())) == sorted(map(str, df.distinct().collect()))
+
+
+def test_text_blocks_are_not_computed_in_a_join(spark):
+    """A filter on the block, which holds lambda functions, must not become the condition of a join: on larger tables such a plan failed."""
+    import pyspark.sql.functions as F
+
+    from docloom.operators import context as C
+
+    chunks = spark.createDataFrame(
+        [("c1", "b", ["A"], (1, 2), "text", "The pump is shut. " * 200), ("c2", "b", ["A"], (1, 1), "text", " ")],
+        "chunk_id string, book_id string, section_path array<string>, page_range struct<start:int,end:int>, type string, content string",
+    )
+    ranked = spark.createDataFrame([(1, "c1"), (1, "c2")], "query_id long, chunk_id string")
+    questions = spark.createDataFrame([(1, "Is the pump shut?")], "query_id long, question string")
+    blocks = C.text_blocks(ranked, chunks, questions).where(F.length(F.trim("block")) > 0)
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "content" in x]
+    assert [(r.query_id, r.chunk_id) for r in blocks.collect()] == [(1, "c1")]
