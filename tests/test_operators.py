@@ -332,3 +332,19 @@ def test_text_blocks_are_not_computed_in_a_join(spark):
     plan = blocks._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join" in x and "content" in x]
     assert [(r.query_id, r.chunk_id) for r in blocks.collect()] == [(1, "c1")]
+
+
+def test_first_matches_are_those_of_all_pairs(spark):
+    import random
+
+    dice = random.Random(5)
+    books = ["a", "b", "c", None]
+    terms = [(dice.randrange(6), dice.choice("xyz"), dice.choice([None, [], ["a"], ["a", "b", None], ["c"]]), dice.random() < 0.3) for _ in range(30)]
+    matched = [(dice.choice("xyzw"), dice.choice(books), f"S{dice.randrange(40)}") for _ in range(300)]
+    t, m = spark.createDataFrame(terms, "query_id int, term string, book_ids array<string>, cross_book boolean"), spark.createDataFrame(matched, "term string, book_id string, section string")
+    for limit in (4, None):
+        want = set()
+        for q in {x[0] for x in terms}:
+            own = {s for _, term, ids, cross in (x for x in terms if x[0] == q) for t2, b, s in matched if t2 == term and (cross or not ids or (b is not None and b in ids))}
+            want |= {(q, s) for s in sorted(own)[:limit]}
+        assert {tuple(r) for r in G._first_matches(t, m, ["section"], limit).collect()} == want
