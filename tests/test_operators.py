@@ -348,3 +348,25 @@ def test_first_matches_are_those_of_all_pairs(spark):
             own = {s for _, term, ids, cross in (x for x in terms if x[0] == q) for t2, b, s in matched if t2 == term and (cross or not ids or (b is not None and b in ids))}
             want |= {(q, s) for s in sorted(own)[:limit]}
         assert {tuple(r) for r in G._first_matches(t, m, ["section"], limit).collect()} == want
+
+
+def test_texts_are_not_shuffled_for_the_few_that_are_ranked(spark):
+    from docloom.operators import propositions, retrieval
+    from docloom.session import repeated_keys
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.createDataFrame([("c1", "pump valve"), ("c2", "tank")], "chunk_id string, content string")
+        candidates = spark.createDataFrame([(1, "c1", 2.0, None, True, False)], "query_id int, chunk_id string, direct_score double, child_score double, from_direct boolean, from_graph boolean")
+        questions = spark.createDataFrame([(1, "the pump", 3, 1.0)], "query_id int, question string, top_n int, boost double")
+        ranked = retrieval.reranked(candidates, chunks, questions)
+        assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString() and [r.rerank_score for r in ranked.collect()] == [0.5]
+        rows = [("k", "b", 1, None, "text", "The pump is a Turbine of the hall.", ["A", "B"]), ("k", "b", 1, None, "text", "The pump is a Turbine of the hall.", ["A", "C"]), ("l", "b", 2, None, "text", "The other Turbine is in the hall.", None), (None, "b", 3, None, "text", "The third Turbine is in the hall.", ["A"])]
+        chunk = spark.createDataFrame(rows, "chunk_id string, book_id string, chunk_seq int, page_range struct<start:int,end:int>, type string, content string, section_path array<string>")
+        got = propositions.section_sentences(chunk, repeated_keys(chunk, "chunk_id"))
+        section = chunk.select("chunk_id", F.coalesce(F.try_element_at("section_path", F.lit(-1)), F.lit("")).alias("section")).distinct()
+        want = propositions.chunk_sentences(chunk).join(section, "chunk_id").select(got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
