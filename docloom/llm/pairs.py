@@ -13,8 +13,9 @@ other_language. Two models are fitted on labelled texts:
 
 Refusals, for which no model is named, are denials of answering itself in one of the first two sentences, outside quotations, however long the response is.
 
-The models are fitted on at most `LABELLED_PER_LANGUAGE` distinct texts of each language, taken by a hash of the text over the
-whole table, so that their size doesn't depend on the corpus. They go to the workers with the function; scoring is a narrow pass.
+The models are fitted on every distinct labelled text. Tasks count n-grams, contexts and words in arrays and hand on partial sums; a second pass over
+the texts counts how often the known contexts stand anywhere. What the driver holds are the sums: they grow with the distinct contexts at the ends of sentences
+and the distinct n-grams, not with the texts. They go to the workers with the function; scoring is a narrow pass.
 
 Cases: a null question has no language and copies nothing; null, blank and placeholder answers are empty; an answer without
 enough letters, or a language the texts don't hold, has no other language; repeated rows come out once.
@@ -25,20 +26,24 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docloom.session import cut as materialised
+from docloom.session import distinct_rows, repeated_keys
+
 from .sentences import ATERM, CLOSE, STERM, sentence_ends
 from .truncation import signs_of
 
-#: The labelled texts of each language on which the models are fitted, at most, and their lengths: what the driver holds is bounded by both.
-LABELLED_PER_LANGUAGE, LABELLED_CHARS = 400, (40, 4000)
+#: Characters that are counted at once, distinct keys that a task holds before it hands on their sums, and bins of a direct count. None of them changes a result.
+COUNTED_CHARS, HELD_KEYS, BINS = 1_000_000, 200_000, 1 << 22
 #: The longest character n-grams of the language classifier.
 NGRAM = 3
 #: How often prompt and response are in one language beforehand, and the probability after seeing both below which they are not.
@@ -108,12 +113,63 @@ def _letters(text: str) -> str:
     return " ".join(_LETTER_WORDS.findall(_CODES.sub(" ", _TAGS.sub(" ", " ".join(lines))))).lower()
 
 
-def _grams(text: str) -> Counter:
-    padded = f" {text} "
+def _points(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _letter_stream(texts: list[str]) -> np.ndarray:
+    """The code points of `_letters` of each text with a space before and after, a zero after each text. Codes and words are found in arrays; only texts
+    that may hold addresses, tables or markup are read one by one. A text without letters leaves no more than a space."""
+    plain = [(_letters(t) if "<" in t or "&" in t or "|" in t or "http" in t else t).replace("\0", " ") for t in texts]
+    points = _points("".join(f" {t} \0" for t in plain))
+    kinds = np.zeros(0x110000, dtype=np.uint8)  # 1: a letter, 2: part of a code, 4: a digit, 8: joins letters
+    for c in np.flatnonzero(np.bincount(points)):
+        char = chr(c)
+        code = char.isascii() and (char.isalnum() or char in ".,:/_+-")
+        kinds[c] = (char.isalnum() and not char.isdecimal()) + 2 * code + 4 * (code and char.isdigit()) + 8 * (char in "'’-")
+    kind = kinds[points]
+    edges = np.flatnonzero(np.diff((kind & 2).astype(np.int8), prepend=0, append=0))
+    begins, ends = edges[::2], edges[1::2]
+    digits = np.concatenate([[0], np.cumsum(kind & 4 != 0)])
+    coded = digits[ends] > digits[begins]
+    change = np.zeros(len(points) + 1, dtype=np.int8)
+    change[begins[coded]], change[ends[coded]] = 1, -1
+    letter = (kind & 1 != 0) & (np.cumsum(change[:-1], dtype=np.int8) == 0)
+    kept = letter.copy()
+    kept[1:-1] |= (kind[1:-1] & 8 != 0) & letter[:-2] & letter[2:]
+    end = points == 0
+    follows = np.zeros(len(points), dtype=bool)
+    follows[:-1] = kept[1:] | end[1:]
+    chosen = kept | end | follows & ~kept
+    stream = np.where(kept | end, points, 32)[chosen].astype(np.uint32)
+    return _points(stream.tobytes().decode("utf-32-le", "surrogatepass").lower())
+
+
+def gram_counts(texts: list[str]) -> Counter:
+    """How often each character n-gram of one to `NGRAM` stands in what the language classifier reads of some texts. A space by itself isn't counted."""
     out: Counter = Counter()
+    if not texts:
+        return out
+    stream = _letter_stream(texts)
+    alphabet = np.flatnonzero(np.bincount(stream))  # zero is the first
+    place = np.zeros(int(alphabet[-1]) + 1, dtype=np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    ids = place[stream]
+    code, whole = ids, ids > 0
     for n in range(1, NGRAM + 1):
-        out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
-    del out[" "]
+        if n > 1:
+            code, whole = code[:-1] * len(alphabet) + ids[n - 1 :], whole[:-1] & (ids[n - 1 :] > 0)
+        if len(alphabet) ** n <= BINS:
+            times = np.bincount(code[whole])
+            found = np.flatnonzero(times)
+            times = times[found]
+        else:
+            found, times = np.unique(code[whole], return_counts=True)
+        chars = np.stack([alphabet[found // len(alphabet) ** k % len(alphabet)] for k in range(n - 1, -1, -1)], axis=1) if len(found) else np.zeros((0, n))
+        joined = chars.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        out.update({joined[i * n : i * n + n]: t for i, t in enumerate(times.tolist())})
+    out.pop(" ", None)
     return out
 
 
@@ -121,16 +177,29 @@ class LanguageModel:
     """Naive Bayes over character n-grams of one to three."""
 
     def __init__(self, labelled: list[tuple[str, str]]):
-        counts: dict[str, Counter] = defaultdict(Counter)
+        texts: dict[str, list[str]] = defaultdict(list)
         for language, text in labelled:
-            counts[language].update(_grams(_letters(text)))
-        self.languages = sorted(counts)
-        vocabulary = {g for c in counts.values() for g, n in c.items() if n > 1}
-        size = len(vocabulary) + 1
-        totals = [sum(counts[x].values()) for x in self.languages]
-        alpha = 0.1
+            texts[language].append(text)
+        counts = {language: gram_counts(own) for language, own in texts.items()}
+        self._fit({x: sum(c.values()) for x, c in counts.items()}, {g: {x: c[g] for x, c in counts.items() if g in c} for own in counts.values() for g, n in own.items() if n > 1})
+
+    @classmethod
+    def counted(cls, totals: dict[str, int], vocabulary: dict[str, dict[str, int]]) -> LanguageModel:
+        """From the number of n-grams of each language, and the counts by language of those that stand more than once in one."""
+        model = cls.__new__(cls)
+        model._fit(totals, vocabulary)
+        return model
+
+    def _fit(self, totals: dict[str, int], vocabulary: dict[str, dict[str, int]]) -> None:
+        self.languages = sorted(totals)
+        at = {x: i for i, x in enumerate(self.languages)}
+        alpha, size = 0.1, len(vocabulary) + 1
         self.index = {g: i for i, g in enumerate(sorted(vocabulary))}
-        self.logs = np.array([[math.log((counts[x][g] + alpha) / (t + alpha * size)) for x, t in zip(self.languages, totals)] for g in self.index])
+        counts = np.zeros((len(self.index), len(self.languages)))
+        for g, by in vocabulary.items():
+            for x, n in by.items():
+                counts[self.index[g], at[x]] = n
+        self.logs = np.log((counts + alpha) / (np.array([totals[x] for x in self.languages], dtype=float) + alpha * size))
 
     def posterior(self, text: str | None) -> np.ndarray | None:
         """The probability of each language; none for a text without letters that the model knows."""
@@ -144,41 +213,123 @@ class LanguageModel:
         return odds / odds.sum()
 
 
+def end_counts(texts: Iterable[str]) -> tuple[Counter, Counter, Counter, Counter, Counter]:
+    """Over the sentences of some texts, but for the last of each: how often each context ends one; how often each context that ends with a terminator ends one, and how
+    often it stands there; how often each word is the last of one (of all sentences), and how often it stands there."""
+    ended, closing, stops, last, words = [], [], [], [], []
+    for text in texts:
+        text = _shape(text)
+        ends = sentence_ends(text)[:-1]
+        lower = text.lower()
+        words += _LETTER_WORDS.findall(lower)
+        if not ends:
+            continue
+        for end in ends:
+            core = text[max(0, end - 40) : end].rstrip(_ENDING)
+            ended += [core[-n:] for n in CONTEXTS if len(core) >= n]
+        closed = {len(text[:end].rstrip(CLOSE)) for end in ends}
+        find = _STOPS_ASCII if text.isascii() else _STOPS_NEAR if max(text) <= "\uffff" else _STOPS
+        for at in (m.end() for m in find.finditer(text, 0, ends[-1])):
+            keys = [text[at - n : at] for n in CONTEXTS if at >= n]
+            stops += keys
+            if at in closed:
+                closing += keys
+        last += [word for at in {len(text[:end].rstrip(_ENDING)) for end in ends} if (word := _word_before(lower, at))]
+    return Counter(ended), Counter(closing), Counter(stops), Counter(last), Counter(words)
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _word_before(text: str, at: int) -> str | None:
+    """The word that ends at a place."""
+    if not at or not _is_letter(text[at - 1 : at]) or _GOES_ON.match(text, at):
+        return None
+    begin = at
+    while begin and ((c := text[begin - 1]) in "'’-" or _is_letter(c)):
+        begin -= 1
+    return next((m.group() for m in _LETTER_WORDS.finditer(text, begin, at) if m.end() == at), None)
+
+
+#: The base of the polynomial that stands for a context; sums are taken modulo 2 ** 64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
+
+
+class ContextTotals:
+    """Counts how often known contexts stand anywhere in texts. A context is known only if its ends are, so that the longer are looked up only where the shorter were found."""
+
+    def __init__(self, known: Iterable[str]):
+        by: dict[int, list[str]] = {n: [] for n in CONTEXTS}
+        for k in known:
+            by[len(k)].append(k)
+        self.keys, self.hashes, self.filters = {}, {}, {}
+        for n, keys in by.items():
+            points = _points("".join(keys)).reshape(-1, n).astype(np.uint64)
+            hashes = np.zeros(len(keys), dtype=np.uint64)
+            for j in range(n):
+                hashes = hashes * _BASE + points[:, j]
+            order = np.argsort(hashes)
+            self.keys[n], self.hashes[n] = [keys[i] for i in order], hashes[order]
+            self.filters[n] = np.zeros(1 << 22, dtype=bool)
+            self.filters[n][(self.hashes[n] * _BASE) >> np.uint64(42)] = True
+
+    def count(self, texts: list[str]) -> dict[int, np.ndarray]:
+        """By length: how often each known context stands in the texts."""
+        points = _points("".join(texts)).astype(np.uint64)
+        points[(points >= 48) & (points <= 57)] = 48  # as in _shape
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        place = np.arange(1, len(points) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+        def after(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+            """Of each place the polynomial over what `left` has n places before and over the n of `right`."""
+            out = right.copy()
+            out[n:] += left[:-n] * _power(n)
+            return out
+
+        two = after(points, points, 1)
+        three, four = after(two, points, 1), after(two, two, 2)
+        eight = after(four, four, 4)
+        rolled = {2: (None, two, 0), 4: (None, four, 0), 7: (four, three, 3), 11: (eight, three, 3), 16: (eight, eight, 8), 24: (after(eight, eight, 8), eight, 8)}
+        at, out = np.flatnonzero(place >= CONTEXTS[0]), {}
+        for n in CONTEXTS:
+            left, right, shift = rolled[n]
+            at = at[place[at] >= n]
+            value = right[at] if left is None else right[at] + left[at - shift] * _power(shift)
+            may = self.filters[n][(value * _BASE) >> np.uint64(42)]
+            at, value = at[may], value[may]
+            slot = np.searchsorted(self.hashes[n], value)
+            held = slot < len(self.hashes[n])
+            held[held] = self.hashes[n][slot[held]] == value[held]
+            at = at[held]
+            out[n] = np.bincount(slot[held], minlength=len(self.hashes[n]))
+        return out
+
+
 class EndModel:
     """How likely a sentence ends after the last characters of a text."""
 
     def __init__(self, texts: list[str]):
-        ended: Counter = Counter()
-        stops: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        shaped = []
-        for text in texts:
-            text = _shape(text)
-            shaped.append(text)
-            ends = sentence_ends(text)[:-1]
-            for end in ends:
-                core = text[max(0, end - 40) : end].rstrip(_ENDING)
-                ended.update(core[-n:] for n in CONTEXTS if len(core) >= n)
-            closed = {len(text[:end].rstrip(CLOSE)) for end in ends}
-            for at in (m.end() for m in _STOPS.finditer(text[: ends[-1]] if ends else "")):
-                for n in CONTEXTS:
-                    if at >= n:
-                        seen = stops[text[at - n : at]]
-                        seen[0] += at in closed
-                        seen[1] += 1
-            last = {len(text[:end].rstrip(_ENDING)) for end in ends}
-            for m in _LETTER_WORDS.finditer(text.lower()):
-                seen = words[m.group()]
-                seen[0] += m.end() in last
-                seen[1] += 1
-        total: Counter = Counter()
-        for n in CONTEXTS:
-            known = {k for k in ended if len(k) == n}
-            for text in shaped:
-                total.update(g for i in range(n, len(text) + 1) if (g := text[i - n : i]) in known)
-        self.table = {k: (v, max(v, total[k])) for k, v in ended.items() if v > 1 or len(k) <= 11}
-        self.stops = {k: (v, n) for k, (v, n) in stops.items() if n > 1}
-        self.words = {k: (v, n) for k, (v, n) in words.items() if n >= WORD_SEEN}
+        ended, closing, stops, last, words = end_counts(texts)
+        known = {k: v for k, v in ended.items() if _told(k, v)}
+        totals = ContextTotals(known)
+        total = {k: t for n, times in totals.count(texts).items() for k, t in zip(totals.keys[n], times.tolist())}
+        self._fit(known, total, {k: (closing[k], n) for k, n in stops.items() if n > 1}, {k: (last[k], n) for k, n in words.items() if n >= WORD_SEEN})
+
+    @classmethod
+    def counted(cls, ended: dict[str, int], total: dict[str, int], stops: dict[str, tuple[int, int]], words: dict[str, tuple[int, int]]) -> EndModel:
+        """From the sums over all texts."""
+        model = cls.__new__(cls)
+        model._fit(ended, total, stops, words)
+        return model
+
+    def _fit(self, ended: dict, total: dict, stops: dict, words: dict) -> None:
+        self.table = {k: (v, max(v, total.get(k, 0))) for k, v in ended.items()}
+        self.stops, self.words = stops, words
 
     def after_terminator(self, text: str) -> float:
         """The likelihood that a sentence ends with a terminator in its context."""
@@ -213,6 +364,15 @@ class EndModel:
 
 _ENDING = STERM + ATERM + CLOSE
 _STOPS = re.compile(f"[{re.escape(STERM + ATERM)}]")
+# The same without characters that a text doesn't hold, which is several times faster.
+_STOPS_NEAR = re.compile(f"[{re.escape(''.join(c for c in STERM + ATERM if c <= '\uffff'))}]")
+_STOPS_ASCII = re.compile(f"[{re.escape(''.join(c for c in STERM + ATERM if c.isascii()))}]")
+_GOES_ON = re.compile(r"(?:['’-])?[^\W\d_]")
+
+
+def _told(context: str, ends: int) -> bool:
+    """Whether a context at the end of sentences is kept: a long one that ended one only isn't."""
+    return ends > 1 or len(context) <= 11
 
 
 def _shape(text: str) -> str:
@@ -323,22 +483,98 @@ def defect(question: str | None, answer: str | None, languages: LanguageModel, e
     return None
 
 
-def labelled_sample(texts: DataFrame, text: str, language: str, per_language: int = LABELLED_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most `per_language` distinct texts of each label, of a bounded length, by a hash of the text; labels are reduced to two lower-case letters. Copies
-    are removed by label and hash before the hashes are ranked, so that only numbers are shuffled; the hashes chosen are few."""
+def labelled(texts: DataFrame, text: str, language: str) -> DataFrame:
+    """(_label, _text) of the distinct texts with a label of a language; labels are reduced to two lower-case letters. Only copies are shuffled."""
     label = F.regexp_extract(F.lower(F.trim(F.col(language))), r"^([a-z]{2})(?:[-_].*)?$", 1)
-    rows = texts.select(label.alias("_label"), F.col(text).alias("_text")).where((F.col("_label") != "") & F.length("_text").between(*LABELLED_CHARS))
-    rows = rows.withColumn("_at", F.xxhash64("_text"))
-    hashes = rows.select("_label", "_at").distinct()
-    ranked = hashes.withColumn("_rank", F.row_number().over(Window.partitionBy("_label").orderBy("_at"))).where(F.col("_rank") <= per_language)
-    chosen = rows.join(F.broadcast(ranked.select("_label", "_at")), ["_label", "_at"]).select("_label", "_text").distinct()
-    return sorted((r[0], r[1]) for r in chosen.collect())
+    rows = texts.select(label.alias("_label"), F.col(text).alias("_text")).where((F.col("_label") != "") & F.col("_text").isNotNull())
+    rows = rows.withColumn("_at", F.xxhash64("_label", "_text"))
+    return distinct_rows(rows, "_at", repeated_keys(rows, "_at")).select("_label", "_text")
+
+
+def labelled_sample(texts: DataFrame, text: str, language: str, per_language: int) -> list[tuple[str, str]]:
+    """At most `per_language` of the distinct labelled texts of each label, by a hash of the text. For trials only: the models are fitted on all."""
+    ranked = Window.partitionBy("_label").orderBy(F.xxhash64("_text"))
+    chosen = labelled(texts, text, language).withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= per_language)
+    return sorted((r[0], r[1]) for r in chosen.select("_label", "_text").collect())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
+    """The (label, text) of a task, some characters at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+            held.append(row)
+            size += len(row[1])
+            if size >= COUNTED_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+_COUNTED = "kind string, label string, key string, n long, m long"
+
+
+def _counted_batches(sums: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (kind, label), (n, m) in sums.items():
+        keys = list(m)
+        table = pa.table([pa.array([kind] * len(keys), pa.string()), pa.array([label] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array(list(m.values()), pa.int64())], names=["kind", "label", "key", "n", "m"])
+        yield from table.to_batches(max_chunksize=10_000)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partial sums of both models over the texts of a task."""
+    sums: dict = defaultdict(lambda: (Counter(), Counter()))
+    for rows in _pieces(batches):
+        own: dict[str, list[str]] = defaultdict(list)
+        for label, text in rows:
+            own[label].append(text)
+        for label, texts in own.items():
+            sums["gram", label][1].update(gram_counts(texts))
+        ended, closing, stops, last, words = end_counts(t for _, t in rows)
+        for kind, n, m in (("ended", Counter(), ended), ("stop", closing, stops), ("word", last, words)):
+            sums[kind, ""][0].update(n)
+            sums[kind, ""][1].update(m)
+        if sum(len(m) for _, m in sums.values()) > HELD_KEYS:
+            yield from _counted_batches(sums)
+            sums.clear()
+    yield from _counted_batches(sums)
+
+
+def fitted(texts: DataFrame, text: str = "text", language: str = "lang") -> tuple[LanguageModel, EndModel]:
+    """Both models from every distinct labelled text."""
+    rows = labelled(texts, text, language)
+    sums = materialised(rows.mapInArrow(_count, _COUNTED).groupBy("kind", "label", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    grams = sums.where("kind = 'gram'")
+    totals = {r[0]: r[1] for r in grams.groupBy("label").agg(F.sum("m")).collect()}
+    often = grams.groupBy("key").agg(F.collect_list(F.struct("label", "m")).alias("by"), F.max("m").alias("most")).where("most > 1")
+    vocabulary = {r["key"]: {x["label"]: x["m"] for x in r["by"]} for r in often.select("key", "by").collect()}
+    told = (F.col("m") > 1) | (F.length("key") <= 11)
+    ended = {r[0]: r[1] for r in sums.where((F.col("kind") == "ended") & told).select("key", "m").collect()}
+    stops = {r[0]: (r[1], r[2]) for r in sums.where("kind = 'stop' and m > 1").select("key", "n", "m").collect()}
+    words = {r[0]: (r[1], r[2]) for r in sums.where((F.col("kind") == "word") & (F.col("m") >= WORD_SEEN)).select("key", "n", "m").collect()}
+
+    counter = ContextTotals(ended)
+    shared = texts.sparkSession.sparkContext.broadcast(counter)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for piece in _pieces(batches):
+            for n, times in shared.value.count([t for _, t in piece]).items():
+                found[n] = found[n] + times if n in found else times
+        for n, times in found.items():
+            at = np.flatnonzero(times)
+            table = pa.table([pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(at), pa.array(times[at])], names=["size", "at", "n"])
+            yield from table.to_batches(max_chunksize=10_000)
+
+    standing = rows.mapInArrow(total, "size int, at long, n long").groupBy("size", "at").agg(F.sum("n"))
+    everywhere = {counter.keys[r[0]][r[1]]: r[2] for r in standing.collect()}
+    return LanguageModel.counted(totals, vocabulary), EndModel.counted(ended, everywhere, stops, words)
 
 
 def pair_defects(pairs: DataFrame, key: str, question: str, answer: str, texts: DataFrame, text: str = "text", language: str = "lang") -> DataFrame:
     """(key, defect) of every distinct defective pair. `texts` holds the labelled texts on which the models are fitted."""
-    sample = labelled_sample(texts, text, language)
-    models = pairs.sparkSession.sparkContext.broadcast((LanguageModel(sample), EndModel([t for _, t in sample])))
+    models = pairs.sparkSession.sparkContext.broadcast(fitted(texts, text, language))
 
     def flag(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         languages, ends = models.value

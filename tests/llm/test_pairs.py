@@ -1,6 +1,11 @@
+import math
+from collections import Counter
+
 import pytest
 
-from docloom.llm.pairs import EndModel, LanguageModel, copies, cut, defect, end_likelihood, is_empty, labelled_sample, pair_defects, refuses, same_language
+from docloom.llm.pairs import (
+    ContextTotals, EndModel, LanguageModel, _letters, copies, cut, defect, end_likelihood, fitted, gram_counts, is_empty, labelled_sample, pair_defects, refuses, same_language,
+)
 
 TEXTS = {
     "en": ["The pump must be closed before the valve is opened. Store the wheel upright at all times. Never open the tank while the pump is hot."] * 3,
@@ -76,3 +81,34 @@ def test_the_likelihood_decides_what_is_cut():
     assert held[0] <= whole[0]
     few = EndModel(["Put it on the wheel of the pump. See the valve."] * 40)
     assert cut("See the", few) and not cut("Vikas Engine", few) and not cut("26.1 bar", few)
+
+
+def test_models_are_fitted_on_every_labelled_text(spark):
+    distinct = [f"Text number {i} of the hall ends with turbine{i % 7}. The pump is shut and valve {i} stays open." for i in range(500)] + ["A long text goes on. " * 300, "Short."]
+    rows = [(t, lang) for t in distinct for lang in ("en", "EN-x")] + [(t, lang) for lang, ts in TEXTS.items() for t in ts] + [("12 %", "en"), (None, "en"), ("unlabelled", "und")]
+    languages, ends = fitted(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang")
+    labelled_rows = sorted({(lang.lower()[:2], t) for t, lang in rows if t is not None and lang != "und"})
+    brute: dict = {}
+    for lang, t in labelled_rows:
+        padded = f" {_letters(t)} " if _letters(t) else ""
+        brute.setdefault(lang, Counter()).update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+    assert set(languages.index) == {g for c in brute.values() for g, n in c.items() if n > 1} and languages.languages == sorted(brute)
+    size, total = len(languages.index) + 1, sum(brute["en"].values())
+    assert abs(languages.logs[languages.index["pum"], languages.languages.index("en")] - math.log((brute["en"]["pum"] + 0.1) / (total + 0.1 * size))) < 1e-9
+    assert ends.table["urbine0"] == (sum(t.count("turbine") for _, t in labelled_rows),) * 2
+    assert ends.words["hall"][1] == sum(t.lower().count("hall") for _, t in labelled_rows)
+    local = EndModel([t for _, t in labelled_rows])
+    assert (ends.table, ends.stops, ends.words) == (local.table, local.stops, local.words)
+
+
+def test_counts_in_arrays_equal_those_of_each_text():
+    texts = ["", "12 %", "İstanbul a1-b2 ΑΣ ΟΔΟΣ. x", "a\0b c", "see http://a.b/c?d e-f g", "<b>x</b> y &amp; z", "| a | b |\nword-", "it's ’tis rock-n-roll -- a-", "3.5 bar A4 x² 𝒜b", "第3次试验中，水箱没有泄漏。"]
+    want: Counter = Counter()
+    for t in texts:
+        padded = f" {_letters(t)} " if _letters(t) else ""
+        want.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+    assert gram_counts(texts) == want and gram_counts([]) == Counter()
+    counter = ContextTotals(["ab", "abab", "cababab", "ng"])
+    texts = ["abababcababab", "", "b", "ng 4", "ing"]
+    got = {k: int(n) for size, times in counter.count(texts).items() for k, n in zip(counter.keys[size], times)}
+    assert got == {k: sum(t.startswith(k, i) for t in texts for i in range(len(t))) for k in ("ab", "abab", "cababab", "ng")}
