@@ -370,3 +370,12 @@ def test_texts_are_not_shuffled_for_the_few_that_are_ranked(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_garbage_is_collected_once_for_each_kept_stage(spark, monkeypatch):
+    from docloom.plans import retrieval
+
+    calls = []
+    monkeypatch.setattr(retrieval, "release", calls.append)
+    stages = retrieval.Stages(spark, "/root/testdata/sf0.001")
+    assert stages.kept("numbers", lambda: spark.range(3)).count() == stages.kept("numbers", lambda: spark.range(4)).count() == 3 and len(calls) == 1
