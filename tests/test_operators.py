@@ -379,3 +379,40 @@ def test_garbage_is_collected_once_for_each_kept_stage(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "release", calls.append)
     stages = retrieval.Stages(spark, "/root/testdata/sf0.001")
     assert stages.kept("numbers", lambda: spark.range(3)).count() == stages.kept("numbers", lambda: spark.range(4)).count() == 3 and len(calls) == 1
+
+
+def test_release_hands_back_what_the_jvm_has_freed_outside_its_heap(spark):
+    from pathlib import Path
+
+    from docloom.session import release
+
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    resident = lambda: int(next(x for x in status.read_text().splitlines() if x.startswith("VmRSS")).split()[1]) // 1024
+    platform, size = jvm.org.apache.spark.unsafe.Platform, 100_000
+    jvm.System.gc()
+    blocks = [platform.allocateMemory(size) for _ in range(2000)]
+    for at in blocks:
+        platform.setMemory(at, 1, size)
+    for i, at in enumerate(blocks):
+        if i % 10:  # the rest holds the ends of the C library's pools
+            platform.freeMemory(at)
+    before = resident()
+    release(spark)
+    after = resident()
+    for at in blocks[::10]:
+        platform.freeMemory(at)
+    assert after < before - 100
+
+
+def test_no_plan_of_the_candidates_reads_the_chunks_many_times(spark, monkeypatch):
+    from docloom.plans import retrieval
+
+    scans, cut = [], retrieval.cut
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return cut(df)
+
+    monkeypatch.setattr(retrieval, "cut", counted)
+    assert retrieval.Stages(spark, "/root/testdata/sf0.001", 1).candidates().count() and max(scans) <= 20, scans
